@@ -11,10 +11,9 @@ Nothing is paired; every step is an aggregation by digest, combined before the s
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +24,17 @@ REACH = 64
 _SLICE = 1 << 20
 _PLACE_BITS = 26
 
-_CHUNK = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("chunk", pa.binary()), ("start", pa.int32()), ("windows", pa.int32())])
-_CHUNK_DDL = "doc_id bigint, anchor bigint, chunk binary, start int, windows int"
-_WINDOW = pa.schema([("chunk", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("window", pa.binary())])
-_WINDOW_DDL = "chunk binary, anchor bigint, at int, window binary"
+#: Chosen chunks are broadcast to the texts up to this many, and joined by shuffle beyond.
+BROADCAST_CHUNKS = 1_000_000
+
+_CHUNK = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("chunk", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_CHUNK_DDL = "doc_id bigint, anchor bigint, chunk bigint, start int, windows int"
+_WINDOW = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int32()), ("window", pa.int64())])
+_WINDOW_DDL = "anchor bigint, chunk bigint, low bigint, high bigint, at int, window bigint"
+
+
+def _signed(digests: list[int]) -> np.ndarray:
+    return np.array(digests, np.uint64).view(np.int64)
 
 
 def _gear(code: np.ndarray) -> np.ndarray:
@@ -78,6 +84,8 @@ def _anchored(code: np.ndarray, least: int):
 
 
 def _chunks(least: int):
+    digest = xxhash.xxh3_64_intdigest
+
     def chunks(batches):
         for batch in batches:
             docs, anchors, digests, starts, counts = [], [], [], [], []
@@ -91,34 +99,36 @@ def _chunks(least: int):
                     anchors.append(hashes.view(np.int64))
                     starts.append(first)
                     counts.append(count)
-                    digests += [hashlib.blake2b(view[4 * s : 4 * (s + n + least - 1)], digest_size=16).digest() for s, n in zip(first.tolist(), count.tolist(), strict=True)]
+                    digests += [digest(view[4 * s : 4 * (s + n + least - 1)]) for s, n in zip(first.tolist(), count.tolist(), strict=True)]
             if docs:
                 join = lambda a, t: pa.array(np.concatenate(a), t)
-                columns = [pa.array(docs, pa.int64()), join(anchors, pa.int64()), pa.array(digests, pa.binary()), join(starts, pa.int32()), join(counts, pa.int32())]
+                columns = [pa.array(docs, pa.int64()), join(anchors, pa.int64()), pa.array(_signed(digests)), join(starts, pa.int32()), join(counts, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_CHUNK)
 
     return chunks
 
 
 def _windows(least: int):
-    """The single windows of chosen chunks; `wanted` is an array of (chunk, anchor, start, windows)."""
+    """The single windows of chosen chunks; `wanted` is an array of (anchor, chunk, low, high, start, windows)."""
+    digest = xxhash.xxh3_64_intdigest
 
     def windows(batches):
         for batch in batches:
-            chunk_out, anchor_out, at_out, window_out = [], [], [], []
+            wide: list[list[int]] = [[], [], [], []]
+            at, found = [], []
             for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
                 view = memoryview(text.encode("utf-32-le", "surrogatepass"))
                 for w in wanted:
                     n, s = w["windows"], w["start"]
                     # Should an id have several texts, only the one that holds the chunk counts.
-                    if hashlib.blake2b(view[4 * s : 4 * (s + n + least - 1)], digest_size=16).digest() != w["chunk"]:
+                    if digest(view[4 * s : 4 * (s + n + least - 1)]) != w["chunk"] & 0xFFFFFFFFFFFFFFFF:
                         continue
-                    chunk_out += [w["chunk"]] * n
-                    anchor_out += [w["anchor"]] * n
-                    at_out += range(n)
-                    window_out += [hashlib.blake2b(view[4 * i : 4 * (i + least)], digest_size=12).digest() for i in range(s, s + n)]
-            columns = (chunk_out, anchor_out, at_out, window_out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _WINDOW.types, strict=True)], schema=_WINDOW)
+                    for column, name in zip(wide, ("anchor", "chunk", "low", "high"), strict=True):
+                        column += [w[name]] * n
+                    at += range(n)
+                    found += [digest(view[4 * i : 4 * (i + least)]) for i in range(s, s + n)]
+            columns = [*(pa.array(c, pa.int64()) for c in wide), pa.array(at, pa.int32()), pa.array(_signed(found))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
 
     return windows
 
@@ -129,24 +139,26 @@ def shared_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     `least` is at least 128. Characters are code points and are compared exactly. Documents without id are
     left out, null and short texts share nothing, rows with one id are one document as far as sharing
-    goes (a span repeated inside one document isn't shared). Equality is that of 96- or 128-bit digests.
+    goes (a span repeated inside one document isn't shared). Equality is that of two 64-bit digests, the anchor's and the chunk's or window's.
     """
     if least < 2 * REACH:
         raise ValueError(f"least must be {2 * REACH} or more")
-    corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].alias("text")).where("doc_id is not null")
-    chunks = cut(corpus.where(F.length("text") >= least).mapInArrow(_chunks(least), _CHUNK_DDL))
-    one = F.min(F.struct("doc_id", "start", "windows"))
-    distinct = chunks.groupBy("anchor", "chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), one.alias("one"))
-    by_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("chunks"), F.min("low").alias("a"), F.max("high").alias("z")).where("a <> z")
-    # Anchors that two documents have; the others can't lie in a shared span.
-    distinct = cut(distinct.join(by_anchor.select("anchor", "chunks"), "anchor"))
-
-    whole = distinct.where("low <> high").select("anchor", "chunk", F.lit(0).alias("at"), (F.col("one.windows") - 1).alias("last"))
-    edges = distinct.where("chunks > 1")
-    wanted = edges.groupBy(F.col("one.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("chunk", "anchor", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted"))
-    windows = cut(corpus.where(F.length("text") >= least).join(wanted, "doc_id").select("text", "wanted").mapInArrow(_windows(least), _WINDOW_DDL).join(edges.select("anchor", "chunk", "low", "high"), ["anchor", "chunk"]))
+    corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[text].alias("text")).where("doc_id is not null").where(F.length("text") >= least)
+    everything = cut(corpus.mapInArrow(_chunks(least), _CHUNK_DDL))
+    # Anchors that two documents have; windows of others can't be shared.
+    common = everything.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("anchor")
+    chunks = cut(everything.join(common, "anchor", "left_semi"))
+    distinct = chunks.groupBy("anchor", "chunk").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("windows").alias("windows"))
+    several = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+
+    whole = distinct.where("low <> high").select("anchor", "chunk", F.lit(0).alias("at"), (F.col("windows") - 1).alias("last"))
+    edges = distinct.join(several, "anchor", "left_semi")
+    places = chunks.select("anchor", "chunk", F.col("doc_id").alias("low"), "start").join(edges, ["anchor", "chunk", "low"]).groupBy("anchor", "chunk", "low", "high", "windows").agg(F.min("start").alias("start"))
+    wanted = cut(places.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "chunk", "low", "high", "start", "windows")).alias("wanted")))
+    some = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    windows = corpus.join(F.broadcast(wanted) if some <= BROADCAST_CHUNKS else wanted, "doc_id").select("text", "wanted").mapInArrow(_windows(least), _WINDOW_DDL)
     held = windows.groupBy("anchor", "window").agg(F.min("low").alias("a"), F.max("high").alias("z")).where("a <> z").select("anchor", "window")
-    single = windows.where("low = high").join(held, ["anchor", "window"], "left_semi").select("anchor", "chunk", "at", F.col("at").alias("last"))
+    single = windows.where("low = high").select("anchor", "chunk", "at", "window").join(held, ["anchor", "window"], "left_semi").select("anchor", "chunk", "at", F.col("at").alias("last"))
     parts = whole.unionByName(single).groupBy("anchor", "chunk").agg(F.collect_list(F.struct("at", "last")).alias("parts"))
     return (
         chunks.join(parts, ["anchor", "chunk"])
