@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
+_USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
 def instant(text: Column) -> Column:
     """TIMESTAMP of an ISO string, null if it is none. A zone-less value is UTC (see `session.prepare`)."""
     clean = F.upper(F.trim(text))
-    return F.when(clean.rlike(ISO), clean.try_cast("timestamp"))
+    # Spark's cast knows no zone after minutes, no blank before a zone and no offset without its colon.
+    whole = F.regexp_replace(clean, r"^(.{10}[T ]\d{2}:\d{2})(?!:)(?=.)", "$1:00")
+    whole = F.regexp_replace(F.regexp_replace(whole, r"(?<=:\d{2}(\.\d{1,9})?)\s", ""), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(clean.rlike(_USUAL), clean.try_cast("timestamp")).when(clean.rlike(ISO), whole.try_cast("timestamp"))
 
 
 def micros(text: Column) -> Column:

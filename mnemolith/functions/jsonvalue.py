@@ -17,12 +17,15 @@ def number(text: str) -> Number:
     """1, 1.0 and 10e-1 are one number; so are 0 and -0."""
     if "." not in text and "e" not in text and "E" not in text:
         return Number("\0" + ("0" if text == "-0" else text))
-    value = Decimal(text)
-    if not value:
+    sign, digits, exponent = Decimal(text).as_tuple()
+    plain = "".join(map(str, digits)).rstrip("0")
+    exponent += len(digits) - len(plain)
+    plain = plain.lstrip("0")
+    if not plain:
         return Number("\x000")
-    value = value.normalize()
-    plain = 0 <= value.as_tuple().exponent < 400
-    return Number("\0" + (format(value, "f") if plain else str(value)))
+    if 0 <= exponent < 400:
+        plain, exponent = plain + "0" * exponent, 0
+    return Number(f"\0{'-' * sign}{plain}" + (f"e{exponent}" if exponent else ""))
 
 
 def _no_constant(name: str) -> None:
