@@ -62,8 +62,8 @@ def _locator(locator: Column) -> Column:
 
 def source_id(source_type: Column, origin_uri: Column, raw_ref: Column, content_hash: Column) -> Column:
     """Of the origin's URI, or of the raw reference where there is none."""
-    by_uri = canonical_struct(source_type=source_type, origin_or_raw_ref=origin_uri, content_hash=content_hash)
-    by_ref = canonical_struct(source_type=source_type, origin_or_raw_ref=_locator(raw_ref), content_hash=content_hash)
+    by_uri = canonical_struct(source_type=source_type, origin_or_raw_ref=origin_uri, content_hash_sha256=content_hash)
+    by_ref = canonical_struct(source_type=source_type, origin_or_raw_ref=_locator(raw_ref), content_hash_sha256=content_hash)
     return prefixed_id("src", F.when(origin_uri.isNotNull(), by_uri).otherwise(by_ref))
 
 
@@ -76,9 +76,10 @@ def span_id(source: Column, locator: Column) -> Column:
 
 
 def ledger_id(ledger_type: Column, spans: Column, semantic: Mapping[str, Column]) -> Column:
-    """Of the type, the sorted evidence and the meaning of an entry."""
+    """Of the type, the sorted evidence and the meaning of an entry, of which both are a part too."""
     prefix = F.when(ledger_type == "fact", "fact").when(ledger_type == "preference", "pref").when(ledger_type == "decision", "dec")
-    meaning = F.struct(*[semantic[k].alias(k) for k in sorted(semantic)])
+    whole = {**semantic, "ledger_type": ledger_type, "evidence_span_ids": F.array_sort(spans)}
+    meaning = F.struct(*[whole[k].alias(k) for k in sorted(whole)])
     return prefixed_id(prefix, canonical_struct(ledger_type=ledger_type, evidence_span_ids=F.array_sort(spans), normalized_payload=meaning))
 
 

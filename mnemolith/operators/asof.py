@@ -4,11 +4,12 @@ Changes are bitemporal: `known_at` says when a version arrived, `rank_by` which
 is the current one. Each event gets the version with the greatest `rank_by` (then the latest `known_at`)
 among those of its entity that were known by the event's time.
 
-Plan: time is cut at quantiles of `known_at` into blocks, so that even an entity with a third of all
-rows has no more than its share of a block in one group. One aggregation finds the best version per
+Plan: time is cut at quantiles of event and arrival times into blocks, so that even an entity with a third
+of all rows has no more than its share of a block in one group. One aggregation finds the best version per
 (entity, block); a running maximum over the few blocks of an entity gives what each block starts with.
-Events and changes are then co-grouped by a hash of (entity, block), and inside a group one vectorised
-binary search serves all its entities at once.
+Should one (entity, block) still have too many events, as when they share one instant, those are dealt out
+to several groups that each get its changes. Events and changes are then co-grouped by a hash of (entity,
+block, part), and inside a group one vectorised binary search serves all its entities at once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import groups_for
+from ..session import ROWS_PER_GROUP, groups_for
 
 _NEVER = -(1 << 63)
 _START = _NEVER + 1
@@ -56,6 +57,18 @@ def _search(events: pd.DataFrame, changes: pd.DataFrame, versions: list[str]) ->
     return out
 
 
+def _parts(events: DataFrame, changes: DataFrame, columns: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_part`: events of a crowded (entity, block) in several parts, its changes in all of them."""
+    crowded = events.groupBy("_key", "_block").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowded = crowded.where("_key is not null").select("_key", "_block", F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    if crowded.isEmpty():
+        return events.withColumn("_part", F.lit(0)), changes.withColumn("_part", F.lit(0))
+    # At most one row per `most` events, so it is small against either side.
+    ev = events.join(crowded, ["_key", "_block"], "left").withColumn("_part", F.pmod(F.floor(F.rand(7) * 1_000_003), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    ch = changes.join(crowded, ["_key", "_block"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return ev, ch
+
+
 def as_known_at(
     events: DataFrame,
     changes: DataFrame,
@@ -67,6 +80,7 @@ def as_known_at(
     versions: Sequence[str],
     blocks: int | None = None,
     groups: int | None = None,
+    most_events: int = ROWS_PER_GROUP,
 ) -> DataFrame:
     """`events` with `known_<c>` for each string column c of `versions`, and `is_known`.
 
@@ -87,9 +101,10 @@ def as_known_at(
     ev = events.withColumns(
         {"_key": F.col(entity).cast("string"), "_time": F.coalesce(F.unix_micros(event_time), F.lit(_NEVER))}
     )
-    rows = max(1, ch.count())
+    times = ch.select(F.col("_known").alias("t")).unionByName(ev.where(F.col("_time") > _NEVER).select(F.col("_time").alias("t")))
+    rows = max(1, times.count())
     blocks = blocks or groups_for(rows, least=4, most=1024)
-    cuts = sorted(set(ch.approxQuantile("_known", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
+    cuts = sorted(set(times.approxQuantile("t", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
     cuts = [int(c) for c in cuts]
     # The first block takes everything up to the first cut; at most `blocks` literals.
     block = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < c)) if cuts else F.lit(0)
@@ -106,8 +121,9 @@ def as_known_at(
     both = ch.withColumn("_at", F.col("_known")).unionByName(carried)
 
     groups = groups or groups_for(rows, least=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    group = F.pmod(F.xxhash64("_key", "_block"), F.lit(groups))
-    ev, both = ev.withColumn("_group", group), both.withColumn("_group", group)
+    ev, both = _parts(ev, both, events.columns, most_events)
+    group = F.pmod(F.xxhash64("_key", "_block", "_part"), F.lit(groups))
+    ev, both = ev.withColumn("_group", group).drop("_part"), both.withColumn("_group", group).drop("_part")
     kept = [f for f in events.schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`known_{c}` string" for c in versions] + ["is_known boolean"])
 

@@ -10,10 +10,13 @@ projection per file, under which all files of a kind come out as one table.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import jsonvalue
 from ..session import cut, groups_for
@@ -208,3 +211,60 @@ def canonical_names(scripts: DataFrame, files: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["feed", "ix", "field", "name"])
 
     return renames.unionByName(ends).groupBy("feed").applyInPandas(compose, "feed string, ix int, field string, name string")
+
+
+def _renamed(batches):
+    """Documents with their fields under canonical names; `names` maps the touched ones, members as field.member."""
+    for batch in batches:
+        docs, ids, ok = [], [], []
+        for text, names in zip(batch["doc"].to_pylist(), batch["names"].to_pylist(), strict=True):
+            try:
+                record = json.loads(text) if text is not None else None
+            except ValueError:
+                record = None
+            ok.append(isinstance(record, dict))
+            if not ok[-1]:
+                docs.append(None)
+                ids.append(None)
+                continue
+            names = dict(names or ())
+            out = {}
+            for field, value in record.items():
+                name = names.get(field, field)
+                if isinstance(value, dict):
+                    value = {names.get(f"{field}.{m}", f"{name}.{m}").rpartition(".")[2] if f"{field}.{m}" in names else m: v for m, v in value.items()}
+                out[name] = value
+            docs.append(json.dumps(out, ensure_ascii=True))
+            ids.append(out["id"] if isinstance(out.get("id"), str) else None)
+        kept = batch.drop_columns(["doc", "names"]) if hasattr(batch, "drop_columns") else batch.select([n for n in batch.schema.names if n not in ("doc", "names")])
+        table = pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids, pa.string()), pa.array(docs, pa.string())], names=[*kept.schema.names, "id", "record"])
+        yield table.filter(pa.array(ok, pa.bool_()))
+
+
+#: A record kind with more fields than this is no schema that drifts.
+MOST_FIELDS = 10_000
+
+
+def unify(lines: DataFrame, scripts: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str) -> DataFrame:
+    """One table of all records: (source_feed, source_file, source_line, id, and each field under its canonical name).
+
+    Each file's projection is composed from the scripts up to it. Scalars come out as text, arrays and
+    objects as JSON text, absent fields as null; a record's own fields that clash with the four leading
+    columns get the prefix `field_`. Repeated lines come out once; lines that are no JSON object not at all.
+    """
+    rows = lines.select(F.coalesce(F.col(feed).cast("string"), F.lit("")).alias("feed"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(exported).alias("exported"), F.col(line).cast("bigint").alias("line"), F.col(doc).alias("doc"))
+    order = Window.partitionBy("feed").orderBy("exported", "file")
+    files = cut(rows.groupBy("feed", "file").agg(F.min("exported").alias("exported")).withColumn("ix", F.row_number().over(order)).select("feed", "file", "ix"))
+    steps = canonical_names(scripts, files).groupBy("feed", "ix").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("field", "name")), lambda x: x["field"].isNotNull())).alias("step"))
+    filled = Window.partitionBy("feed").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    projections = files.join(steps, ["feed", "ix"], "left").select("feed", "file", F.last("step", ignorenulls=True).over(filled).alias("names"))
+    once = rows.select("feed", "file", "line", "doc").distinct().join(projections, ["feed", "file"])
+    renamed = cut(once.select("feed", "file", "line", "doc", "names").mapInArrow(_renamed, "feed string, file string, line bigint, id string, record string"))
+    names = sorted(r[0] for r in renamed.select(F.explode(F.json_object_keys("record")).alias("k")).distinct().limit(MOST_FIELDS + 1).collect())
+    if len(names) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields")
+    names = [n for n in names if n != "id"]
+    lead = {"source_feed", "source_file", "source_line", "id"}
+    schema = StructType([StructField(n, StringType()) for n in names])
+    fields = [F.col("r").getField(n).alias(f"field_{n}" if n.lower() in lead else n) for n in names]
+    return renamed.select("feed", "file", "line", "id", F.from_json("record", schema).alias("r")).select(F.col("feed").alias("source_feed"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), "id", *fields)

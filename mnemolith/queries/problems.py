@@ -49,6 +49,22 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("file", "file_name").distinct()
 
 
+def _unified(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    columns = {"feed": "feed", "file": "file_name", "exported": "exported_at", "line": "line_no", "doc": "doc"}
+    rows = _table(spark, sf, "raw_export").where(F.col("record_kind") == kind)
+    return drift.unify(rows, drift.drift(rows, **columns), **columns)
+
+
+def p2_ledger_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """All exported ledger entries as one table."""
+    return _unified(spark, sf, "ledger_entry")
+
+
+def p2_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """All exported reducer decisions as one table."""
+    return _unified(spark, sf, "memory_reducer_decision")
+
+
 def time_values(spark: SparkSession, sf: str) -> DataFrame:
     """(record_table, record_id, field_name, agent, value) of the four time fields, each spelling once."""
     entry, decision = _table(spark, sf, "ledger_entry"), _table(spark, sf, "memory_reducer_decision")
@@ -146,7 +162,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_attributes, p2_found, p3_found, p3_instants, p4_found, p4_history, p5_found, p5_records, p5_truths, p6_found, p6_hierarchy, p6_descendants, p7_found)
+    for f in (p1_found, p1_attributes, p2_found, p2_ledger_entries, p2_decisions, p3_found, p3_instants, p4_found, p4_history, p5_found, p5_records, p5_truths, p6_found, p6_hierarchy, p6_descendants, p7_found)
 }
 
 _KNOWN_SQL = """

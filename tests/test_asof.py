@@ -41,6 +41,12 @@ def test_against_brute_force_with_a_hot_entity(spark, blocks):
     assert run(spark, events, changes, blocks=blocks, groups=5) == brute(events, changes)
 
 
+def test_crowded_instant_is_dealt_out(spark):
+    events = [(i, "hot", T0, "") for i in range(50)] + [(99, "cold", T0, "")]
+    changes = [("hot", T0, T0, "v", 0), ("cold", T0, T0 - timedelta(hours=1), "w", 0)]
+    assert run(spark, events, changes, most_events=7, groups=9) == brute(events, changes)
+
+
 def test_nulls_and_ties(spark):
     events = [(1, None, T0, ""), (2, "a", None, ""), (3, "a", T0, ""), (4, "b", T0, ""), (4, "b", T0, "")]
     changes = [("a", None, T0, "old", 0), ("a", T0, None, "never", 0), (None, T0, T0, "x", 0), ("b", T0, T0, "k", 0), ("b", T0, T0, "z", 0)]
