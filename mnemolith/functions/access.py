@@ -24,6 +24,12 @@ class Scope:
             raise ValueError(f"unknown privacy class: {self.max_privacy_class!r}")
 
 
+def scope_from_dict(options: dict) -> Scope:
+    """A scope from loose options; a class that is unknown or missing counts as internal."""
+    wanted = options.get("max_privacy_class")
+    return Scope(wanted if wanted in PRIVACY_CLASSES else "internal", tuple(options.get("record_types") or ()))
+
+
 def public_scope() -> Scope:
     return Scope("public")
 

@@ -38,6 +38,22 @@ def dedup_first(bundle: DataFrame) -> DataFrame:
     return bundle.where("id is not null").groupBy("id").agg(F.min_by("doc", "pos").alias("doc"), F.min("pos").alias("pos"))
 
 
+def dedup_in_order(bundle: DataFrame) -> DataFrame:
+    """(id, doc, place) of the last record per id, placed where the id was first seen; null ids are left out."""
+    return bundle.where("id is not null").groupBy("id").agg(F.max_by("doc", "pos").alias("doc"), F.min("pos").alias("place"))
+
+
+def flatten_planes(planes: dict[str, DataFrame]) -> DataFrame:
+    """(plane_ord, plane, pos, id, doc) of all planes (pos, id, doc), in the order given."""
+    out = None
+    for order, (plane, rows) in enumerate(planes.items()):
+        part = rows.select(F.lit(order).alias("plane_ord"), F.lit(plane).alias("plane"), "pos", "id", "doc")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no planes")
+    return out
+
+
 def _joined(batches):
     first = True
     for batch in batches:

@@ -98,6 +98,17 @@ def paths(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth:
     return done.join(g.nodes.select(F.col("id").alias("at"), F.col("kind").alias("end_kind")), "at").select("start_id", "path", "relations", "end_kind")
 
 
+def reached(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int = 2) -> DataFrame:
+    """(start_id, id): where the walks from each start end; backward gives predecessors, forward descendants."""
+    found = paths(g, starts, direction=direction, max_depth=max_depth)
+    return found.select("start_id", F.element_at("path", -1).alias("id")).distinct()
+
+
+def nodes_named(g: Graph, ids: DataFrame) -> DataFrame:
+    """(id, kind, record_type) of the nodes among the ids; ids without a row are no nodes."""
+    return g.nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def shortest_paths(g: Graph, pairs: DataFrame, *, max_depth: int = 8) -> DataFrame:
     """(source_id, target_id, path) along edges, the least by ids among equally short ones; no row if none.
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.instants import micros
+from ..functions.instants import micros, trimmed
 from ..session import cut
 
 _FAN_BITS = 4
@@ -23,9 +23,9 @@ _FAN_BITS = 4
 def _same(name: str, kind: str) -> Column:
     """A value in the form in which it is compared; null and empty are one."""
     if kind == "list":
-        clean = F.array_sort(F.array_distinct(F.filter(F.transform(name, lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))))
+        clean = F.array_sort(F.array_distinct(F.filter(F.transform(name, lambda x: F.lower(trimmed(x))), lambda x: x.isNotNull() & (x != ""))))
         return F.when(F.size(clean) > 0, F.to_json(clean))
-    clean = F.lower(F.trim(F.col(name).cast("string")))
+    clean = F.lower(trimmed(F.col(name).cast("string")))
     clean = F.when(clean != "", clean)
     if kind == "instant":
         return F.coalesce(micros(F.col(name)).cast("string"), clean)

@@ -109,6 +109,22 @@ def ledger_bundle(sources: DataFrame, spans: DataFrame, candidates: DataFrame, d
     )
 
 
+def taste_bundle(sources: DataFrame, spans: DataFrame, signals: DataFrame, decisions: DataFrame, cards: DataFrame) -> DataFrame:
+    """All violations of a bundle of taste cards and the decisions that made them."""
+    parts = [duplicates(decisions, "duplicate decision"), duplicates(cards, "duplicate card"), dangling(decisions, "target_taste_card_ids", cards), dangling(decisions, "target_taste_signal_ids", signals)]
+    parts += [dangling(cards, "reducer_decision_id", decisions), dangling(cards, "source_record_ids", sources), dangling(cards, "evidence_span_ids", spans), dangling(cards, "candidate_taste_signal_ids", signals.where("candidate_type = 'taste_signal'"))]
+    parts += [not_within(cards, f, "evidence_span_ids") for f in ("positive_example_span_ids", "negative_example_span_ids") if f in cards.columns]
+    return _all([*parts, undeclared_span_origins(cards, spans), supersession(cards)])
+
+
+def row_violations(planes: dict[str, DataFrame]) -> DataFrame:
+    """(record_type, rule, id) over tables by record type: what the catalogue demands of each row."""
+    from .rules import catalogue_rules, violations
+
+    parts = [violations(rows, catalogue_rules(kind, rows)).select(F.lit(kind).alias("record_type"), "rule", "id") for kind, rows in planes.items()]
+    return _all(parts)
+
+
 def state_bundle(states: DataFrame, *, group: str, trusted: DataFrame) -> DataFrame:
     """Duplicate snapshots, references to trusted records that are missing, and periods of one group that overlap."""
     from .temporal import overlaps

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.instants import ISO
+from ..functions.canonical import PREFIXES
+from ..functions.instants import ISO, instant
 from ..schemas import ENUMS, fields_of
 
 
@@ -46,19 +47,36 @@ def all_start_with(ids: Column, *prefixes: str) -> Column:
 
 def ordered(earlier: Column, later: Column) -> Column:
     """Of two ISO strings the first is not after the second, if both are there."""
-    a, b = F.upper(F.trim(earlier)).try_cast("timestamp"), F.upper(F.trim(later)).try_cast("timestamp")
-    return F.coalesce(a <= b, F.lit(True))
+    return F.coalesce(instant(earlier) <= instant(later), F.lit(True))
 
 
-def catalogue_rules(record_type: str, columns: list[str]) -> dict[str, Column]:
-    """The rules that the catalogue implies for the columns at hand: required fields and enumerations."""
-    rules: dict[str, Column] = {}
+#: Which prefix the ids of a list have, by the list's name.
+_LIST_PREFIXES = {
+    "source_record_ids": ("src_",), "episode_record_ids": ("ep_",), "candidate_ids": ("cand_",), "target_candidate_ids": ("cand_",), "target_ledger_entry_ids": ("fact_", "pref_", "dec_"), "active_fact_ids": ("fact_",),
+    "active_preference_ids": ("pref_",), "active_decision_ids": ("dec_",), "active_taste_card_ids": ("taste_",), "active_project_state_ids": ("projstate_",), "target_taste_card_ids": ("taste_",),
+}
+
+
+def catalogue_rules(record_type: str, rows: DataFrame) -> dict[str, Column]:
+    """The rules that the catalogue implies for a table's columns: ids and their prefixes, required texts,
+    enumerations, times and their order."""
+    columns, rules = dict(rows.dtypes), {}
+    if "id" in columns:
+        rules["id has its prefix"] = F.col("id").startswith(f"{PREFIXES.get(record_type, '')}_" if record_type in PREFIXES else "")
     for field, kind, enum in fields_of(record_type):
-        if field in columns:
-            if kind == "s":
-                rules[f"{field} is required"] = F.coalesce(F.trim(F.col(field)), F.lit("")) != ""
-            if enum:
-                rules[f"{field} is known"] = F.col(field).isin(*ENUMS[enum])
+        if field not in columns:
+            continue
+        if kind == "s" and columns[field] == "string":
+            rules[f"{field} is required"] = F.coalesce(F.trim(F.col(field)), F.lit("")) != ""
+        if enum:
+            rules[f"{field} is known"] = F.col(field).isin(*ENUMS[enum])
+        if columns[field] == "string" and (field.endswith("_at") or field in ("valid_from", "valid_until", "stale_after", "as_of")):
+            rules[f"{field} is a time"] = iso_or_null(F.col(field))
+        if columns[field] == "array<string>" and (field in _LIST_PREFIXES or field.endswith("span_ids")):
+            rules[f"{field} have their prefix"] = all_start_with(F.col(field), *_LIST_PREFIXES.get(field, ("span_",)))
+    for later in ("valid_until", "stale_after"):
+        if {"valid_from", later} <= set(columns):
+            rules[f"{later} is not before valid_from"] = ordered(F.col("valid_from"), F.col(later))
     return rules
 
 

@@ -13,19 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.instants import trimmed
 from ..session import cut
 
 # Texts that only say that nothing is known, in lower case.
 NO_VALUE = (
     "", "-", "--", "---", "?", "??", "???", ".", "...", "n/a", "na", "n.a.", "#n/a", "nan", "nil", "none", "null", "(none)", "(null)", "<none>", "<null>",
     "missing", "no data", "no value", "not available", "not applicable", "not known", "not set", "not specified", "tba", "tbc", "tbd", "to be decided",
-    "to be determined", "undefined", "unknown", "(unknown)", "<unknown>", "unspecified", "unset", "–", "—",
+    "to be determined", "unbekannt", "undefined", "unknown", "desconocido", "(unknown)", "<unknown>", "unspecified", "unset", "–", "—",
 )
 
 
 def has_value(text: Column) -> Column:
     """False for null, blank and texts that only say that nothing is known."""
-    return F.coalesce(~F.lower(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")).isin(*NO_VALUE), F.lit(False))
+    return F.coalesce(~F.lower(trimmed(text)).isin(*NO_VALUE), F.lit(False))
 
 
 def survivors(variants: DataFrame, *, group: str, record: str, fields: Sequence[str], latest: Sequence[Column]) -> DataFrame:

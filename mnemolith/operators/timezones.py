@@ -19,7 +19,7 @@ from ..functions.timestamps import readings
 from ..session import cut
 
 #: Written as it should be; such values need no interpretation.
-CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+CANONICAL = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\z"
 # How the project writes dates (TESTDATA.md), as formats that are not used.
 CONVENTIONS = {"dotted month first": 0.0, "slashed day first": 0.0, "dashed month first": 0.0}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instants import instant, micros
+from ..functions.instants import instant, micros, trimmed
 from ..operators import asof, differences, drift, hierarchy, history, survivorship, timezones
 from ..session import cut, prepare
 
@@ -37,7 +37,7 @@ def p1_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.lower(F.trim("known_status"))
+    status = F.lower(trimmed(F.col("known_status")))
     starts, ends = instant(F.col("known_valid_from")), instant(F.col("known_stale_after"))
     usable = F.col("is_known") & (status == "active") & (starts.isNull() | (starts <= F.col("at"))) & (ends.isNull() | (ends > F.col("at")))
     found = as_known(spark, sf).where(~F.coalesce(usable, F.lit(False)))

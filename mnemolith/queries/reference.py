@@ -487,6 +487,30 @@ def reduce_promotions(spark, sf):
     return reducer.promote(_judged(spark, sf), now=_now())
 
 
+@query()
+def row_rule_violations(spark, sf):
+    """What the catalogue demands of every row of the domain tables."""
+    entries = _table(spark, sf, "ledger_entry")
+    planes = {f"{k}_ledger_entry": entries.where(F.col("ledger_type") == k) for k in ("fact", "preference", "decision")}
+    planes |= {n: _table(spark, sf, n) for n in ("source_record", "evidence_span", "memory_reducer_decision", "conflict_resolution")}
+    return integrity.row_violations(planes)
+
+
+@query()
+def expected_ids(spark, sf):
+    """Identifiers that content demands against those given (the test tables' ids are not derived from content)."""
+    from ..functions.identity import with_id_check
+
+    rows = with_id_check(_table(spark, sf, "memory_reducer_decision"), "memory_reducer_decision")
+    return rows.select("id", "expected_id", "id_matches").distinct()
+
+
+@query(_GRAPH + "select distinct c.from_id start_id, coalesce(d.to_id, c.to_id) id from edge c left join edge d on d.from_id = c.to_id where c.relation = 'cites' union select id, id from node where kind = 'claim' and id not in (select from_id from edge)")
+def citation_descendants(spark, sf):
+    g = _graph(spark, sf)
+    return citations.reached(g, g.nodes.where("kind = 'claim'"))
+
+
 @query("select coalesce(schema_version, '1.0.0') migrated_from, '1.1.0' schema_version, count(*) records from ledger_entry group by 1")
 def migrate_versions(spark, sf):
     return migrate.counts(migrate.default_migrator().migrate(_table(spark, sf, "ledger_entry"), "1.1.0"))

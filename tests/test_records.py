@@ -170,3 +170,40 @@ def test_truncation(spark):
 def test_window_is_inclusive(spark):
     at = F.lit("2025-01-01T00:00:00Z").cast("timestamp")
     assert one(spark, validity.in_window(at, valid_from=F.lit(None).cast("string"), valid_until=F.lit("2025-01-01T00:00:00Z")))[0]
+
+
+def test_expected_ids(spark):
+    from mnemolith.functions.identity import HEAD, MEANING, expected_id, with_id_check
+
+    row = [("fact_600a5293619a492d193f51f5", "fact", "linear", "p", "o", "global", "2026-05-30T13:00:00Z", ["span_b6013eb2af9174a65f293646"])]
+    df = spark.createDataFrame(row, "id string, ledger_type string, subject string, predicate string, object string, scope string, valid_from string, evidence_span_ids array<string>")
+    assert with_id_check(df, "fact_ledger_entry").first().id_matches
+    for kind in (*MEANING, "memory_reducer_decision", "taste_reducer_decision", "state_reducer_decision"):
+        assert df.select(expected_id(kind, df.columns)).first()[0].startswith(canonical.PREFIXES[kind] + "_")
+    assert set(HEAD)
+    with pytest.raises(ValueError):
+        expected_id("nothing", [])
+
+
+def test_tools(spark):
+    from mnemolith.plans import tools
+
+    assert "evidence_span" in tools.list_schemas() and tools.read_schema("evidence_span")["type"] == "object"
+    spans = spark.createDataFrame([("span_1", "", None, "odd")], "id string, source_id string, text_excerpt string, privacy_class string")
+    assert tools.validate_bundle({"evidence_span": spans, "taste_card": spans.limit(0)}) == {"evidence_span": ["[span_1] privacy_class is known", "[span_1] source_id is required"], "taste_card": []}
+    records = spark.createDataFrame([("a", "public", "fact"), ("b", "private", "fact")], "id string, privacy_class string, record_type string")
+    assert rows(tools.check_access(records, {"max_privacy_class": "odd"}), "id", "action") == [("a", "allow"), ("b", "drop")]
+    states = spark.createDataFrame([("p2", "project_state"), ("p1", "project_state"), ("c", "core_state")], "id string, state_type string")
+    named = lambda *ids: tools.state_reference(states, spark.createDataFrame([(i,) for i in ids], "id string"))
+    assert named("p1", "p2") == {"core_state_id": None, "project_state_ids": ["p1", "p2"]} and named()["core_state_id"] == "c"
+    with pytest.raises(ValueError):
+        tools.state_reference(states.limit(0), states)
+
+
+def test_blanks_of_any_kind(spark):
+    from mnemolith.functions.instants import instant, trimmed
+    from mnemolith.operators.survivorship import has_value
+
+    df = spark.createDataFrame([("\t2025-01-01T00:00:00Z\u00a0\n",), ("\u00a0N/A\t",), ("\u00a0",), ("real",)], "t string")
+    got = [tuple(r) for r in df.select(trimmed(F.col("t")), has_value(F.col("t")), instant(F.col("t")).isNotNull()).collect()]
+    assert got == [("2025-01-01T00:00:00Z", True, True), ("N/A", False, False), ("", False, False), ("real", True, False)]
