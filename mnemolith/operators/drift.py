@@ -3,9 +3,10 @@
 A file's schema is a tree: fields, and members of object-valued fields. Between a file and the one before
 it in its feed, a constrained tree edit distance finds the cheapest script of additions, removals, renames
 and changes of type. What a rename may cost is settled by the values: over the records that both files
-hold, a gone and a new field of the same object must agree. The evidence is one join of gone with new
-cells on (file, record, object); the trees are small and are compared per file. Scripts compile into one
-projection per file, under which all files of a kind come out as one table.
+hold, a gone and a new field of the same object must agree. Schemas are reduced to a few rows per file where the lines are
+read. Only files with both gone and new fields of one object are read again, for just those fields; the
+evidence is one join on (file, record). The trees are small and are compared per file. Scripts compile
+into one projection per file, under which all files of a kind come out as one table.
 """
 
 from __future__ import annotations
@@ -24,36 +25,68 @@ from ..session import cut, groups_for
 # JSON types as bits of a set; null has no bit.
 TYPE_BITS = {"null": 0, "boolean": 1, "number": 2, "string": 4, "array": 8, "object": 16}
 
-_CELL = pa.schema(
-    [("feed", pa.string()), ("file", pa.string()), ("id", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("bit", pa.int32()), ("value", pa.binary())]
-)
-_CELL_DDL = "feed string, file string, id string, parent string, name string, bit int, value binary"
+#: Files whose fields are to be read again are broadcast to the lines up to this many, and joined by shuffle beyond.
+BROADCAST_FILES = 200_000
 
+_FIELD = pa.schema([("feed", pa.string()), ("file", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("types", pa.int32())])
+_FIELD_DDL = "feed string, file string, parent string, name string, types int"
+_VALUE = pa.list_(pa.struct([("parent", pa.string()), ("name", pa.string()), ("value", pa.binary())]))
+_VALUE_DDL = "array<struct<parent:string,name:string,value:binary>>"
 
-def _cells_of(key: str, opaque: frozenset[str]):
-    def cells(batches):
+
+def _clean(name: str) -> str:
+    """A key that can be written as UTF-8 (JSON may hold lone surrogates)."""
+    return name if name.isascii() else name.encode("utf-8", "replace").decode()
+
+
+def _fields_of(key: str, opaque: frozenset[str]):
+    """Per batch, the fields of each file and the set of their types."""
+
+    def fields(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in _CELL]
+            seen: dict[tuple, int] = {}
             for feed, file, doc in zip(batch["feed"].to_pylist(), batch["file"].to_pylist(), batch["doc"].to_pylist(), strict=True):
                 record = jsonvalue.parse_object(doc)
-                if record is None:
+                for name, value in (record or {}).items():
+                    if name == key:
+                        continue
+                    at = (feed, file, "", name)
+                    seen[at] = seen.get(at, 0) | TYPE_BITS[jsonvalue.kind(value)]
+                    if isinstance(value, dict) and name not in opaque:
+                        for member, inner in value.items():
+                            at = (feed, file, name, member)
+                            seen[at] = seen.get(at, 0) | TYPE_BITS[jsonvalue.kind(inner)]
+            rows = [(feed, file, _clean(parent), _clean(name), types) for (feed, file, parent, name), types in seen.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_FIELD)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELD.types, strict=True)], schema=_FIELD)
+
+    return fields
+
+
+def _values_of(key: str):
+    """Per record with an id, its values of the wanted paths; absent ones are left out, null ones are null."""
+
+    def values(batches):
+        for batch in batches:
+            ids, found, kept = [], [], []
+            for row, (doc, paths) in enumerate(zip(batch["doc"].to_pylist(), batch["paths"].to_pylist(), strict=True)):
+                record = jsonvalue.parse_object(doc)
+                rid = None if record is None else record.get(key)
+                if rid is None:
                     continue
-                rid = record.get(key)
-                rid = rid if isinstance(rid, str) and not isinstance(rid, jsonvalue.Number) else None if rid is None else jsonvalue.canonical(rid)
-                todo = [("", record)]
-                for parent, fields in todo:
-                    for name, value in fields.items():
-                        if not parent and name == key:
-                            continue
-                        is_object = isinstance(value, dict)
-                        row = (feed, file, rid, parent, name.encode("utf-8", "replace").decode(), TYPE_BITS[jsonvalue.kind(value)], None if value is None else jsonvalue.digest(value))
-                        for column, x in zip(out, row, strict=True):
-                            column.append(x)
-                        if is_object and not parent and name not in opaque:
-                            todo.append((name, value))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CELL.types, strict=True)], schema=_CELL)
-
-    return cells
+                kept.append(row)
+                ids.append(_clean(rid) if isinstance(rid, str) and not isinstance(rid, jsonvalue.Number) else jsonvalue.canonical(rid))
+                mine = []
+                for path in paths:
+                    holder = record.get(path["parent"]) if path["parent"] else record
+                    if isinstance(holder, dict) and path["name"] in holder:
+                        value = holder[path["name"]]
+                        mine.append({"parent": path["parent"], "name": path["name"], "value": None if value is None else jsonvalue.digest(value)})
+                found.append(mine)
+            lead = batch.select(["feed", "target", "role", "line", "tie"]).take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*lead.columns, pa.array(ids, pa.string()), pa.array(found, _VALUE)], names=[*lead.schema.names, "id", "fields"])
+
+    return values
 
 
 def matching(pairs: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
@@ -122,31 +155,36 @@ def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, d
     """
     rows = lines.select(F.coalesce(F.col(feed).cast("string"), F.lit("")).alias("feed"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(exported).alias("exported"), F.col(line).alias("line"), F.col(doc).alias("doc"))
     order = Window.partitionBy("feed").orderBy("exported", "file")
-    files = rows.groupBy("feed", "file").agg(F.min("exported").alias("exported")).withColumns({"before": F.lag("file").over(order), "after": F.lead("file").over(order)})
-    files = cut(files.select("feed", "file", "before", "after"))
-
-    parse = _cells_of(key, frozenset(opaque))
-    cells = cut(rows.groupBy("feed", "file", "doc").agg(F.max("line").alias("line")).select("feed", "file", "doc").mapInArrow(parse, _CELL_DDL))
-    schema = cells.groupBy("feed", "file", "parent", "name").agg(F.bit_or("bit").alias("types"))
-    pairs_of_files = files.where("before is not null")
-    now = schema.join(pairs_of_files.select("feed", "file"), ["feed", "file"]).select("feed", "file", "parent", "name", F.col("types").alias("now"), F.lit(None).cast("int").alias("was"))
-    was = schema.withColumnRenamed("file", "before").join(pairs_of_files.select("feed", "file", "before"), ["feed", "before"]).select("feed", "file", "parent", "name", F.lit(None).cast("int").alias("now"), F.col("types").alias("was"))
+    files = rows.groupBy("feed", "file").agg(F.min("exported").alias("exported")).withColumn("before", F.lag("file").over(order))
+    files = cut(files.select("feed", "file", "before"))
+
+    schema = cut(rows.select("feed", "file", "doc").mapInArrow(_fields_of(key, frozenset(opaque)), _FIELD_DDL).groupBy("feed", "file", "parent", "name").agg(F.bit_or("types").alias("types")))
+    pairs_of_files = files.where("before is not null").select("feed", "file", "before")
+    nothing = F.lit(None).cast("int")
+    now = schema.join(pairs_of_files.select("feed", "file"), ["feed", "file"]).select("feed", "file", "parent", "name", F.col("types").alias("now"), nothing.alias("was"))
+    was = schema.withColumnRenamed("file", "before").join(pairs_of_files, ["feed", "before"]).select("feed", "file", "parent", "name", nothing.alias("now"), F.col("types").alias("was"))
     compared = now.unionByName(was).groupBy("feed", "file", "parent", "name").agg(F.max("was").alias("was"), F.max("now").alias("now"))
     state = F.when(F.col("now").isNull(), "gone").when(F.col("was").isNull(), "new").otherwise("both")
     compared = cut(compared.withColumn("state", state).where("state <> 'both' or (was <> now and was <> 0 and now <> 0)"))
 
-    # Evidence for renames: per id that both files hold, gone cells of the file before against new cells of this one.
-    single = cells.groupBy("feed", "file", "id", "parent", "name").agg(F.count("*").alias("n"))
-    clashing = single.where("n > 1").select("feed", "file", "id").distinct()
-    docs = cells.where("id is not null")
-    last = _last_records(rows, clashing, parse)
-    docs = docs.join(clashing, ["feed", "file", "id"], "left_anti").unionByName(last)
-    gone = compared.where("state = 'gone'").join(pairs_of_files.select("feed", "file", "before"), ["feed", "file"])
-    gone = docs.withColumnRenamed("file", "before").join(gone.select("feed", "file", "before", "parent", "name"), ["feed", "before", "parent", "name"]).select("feed", "file", "id", "parent", F.col("name").alias("old"), F.col("value").alias("a"))
-    new = docs.join(compared.where("state = 'new'").select("feed", "file", "parent", "name"), ["feed", "file", "parent", "name"]).select("feed", "file", "id", "parent", F.col("name").alias("new"), F.col("value").alias("b"))
+    # Renames are possible where an object has both gone and new fields; lists here are as short as a schema.
+    in_state = lambda s: F.collect_list(F.when(F.col("state") == s, F.struct("parent", "name")))
+    chances = compared.groupBy("feed", "file", "parent").agg(in_state("gone").alias("gone"), in_state("new").alias("new")).where("size(gone) > 0 and size(new) > 0")
+    chances = chances.groupBy("feed", "file").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("new")).alias("new")).join(pairs_of_files, ["feed", "file"])
+    wanted = cut(
+        chances.select("feed", F.col("before").alias("file"), F.col("file").alias("target"), F.lit(0).alias("role"), F.col("gone").alias("paths")).unionByName(
+            chances.select("feed", "file", F.col("file").alias("target"), F.lit(1).alias("role"), F.col("new").alias("paths"))
+        )
+    )
+    asked = rows.select("feed", "file", F.col("line").cast("bigint").alias("line"), F.xxhash64("doc").alias("tie"), "doc").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_FILES else wanted, ["feed", "file"])
+    values = asked.select("feed", "target", "role", "line", "tie", "doc", "paths").mapInArrow(_values_of(key), f"feed string, target string, role int, line bigint, tie bigint, id string, fields {_VALUE_DDL}")
+    last = values.groupBy("feed", "target", "id", "role").agg(F.max_by("fields", F.struct("line", "tie")).alias("fields"))
+    sides = last.groupBy("feed", "target", "id").agg(*[F.max(F.when(F.col("role") == r, F.col("fields"))).alias(f"side{r}") for r in (0, 1)]).where("size(side0) > 0 and size(side1) > 0")
+    cross = F.flatten(F.transform("side0", lambda a: F.transform(F.filter("side1", lambda b: b["parent"] == a["parent"]), lambda b: F.struct(a["parent"].alias("parent"), a["name"].alias("old"), b["name"].alias("new"), a["value"].alias("a"), b["value"].alias("b")))))
     same = F.col("a").eqNullSafe(F.col("b"))
     evidence = (
-        gone.join(new, ["feed", "file", "id", "parent"])
+        sides.select("feed", F.col("target").alias("file"), F.explode(cross).alias("x"))
+        .select("feed", "file", "x.*")
         .groupBy("feed", "file", "parent", "old", "new")
         .agg(F.min(same).alias("all_same"), F.sum((same & F.col("a").isNotNull()).cast("long")).alias("proof"))
         .where("all_same and proof > 0")
@@ -154,17 +192,6 @@ def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, d
     return _scripts(compared, evidence)
 
 
-def _last_records(rows: DataFrame, clashing: DataFrame, parse) -> DataFrame:
-    """The cells of the last record of each id that occurs several times in a file."""
-    some = rows.join(clashing.select("feed", "file").distinct(), ["feed", "file"], "left_semi")
-    one = some.groupBy("feed", "file", "doc").agg(F.max("line").alias("line"))
-    by_line = one.select("feed", F.to_json(F.struct("file", "line", F.xxhash64("doc").alias("h"))).alias("file"), "doc").mapInArrow(parse, _CELL_DDL)
-    by_line = by_line.withColumn("at", F.from_json("file", "file string, line bigint, h bigint")).withColumn("file", F.col("at.file")).join(clashing, ["feed", "file", "id"], "left_semi")
-    whole = F.max(F.struct(F.col("at.line").alias("line"), F.col("at.h").alias("h")))
-    latest = by_line.groupBy("feed", "file", "id").agg(whole.alias("latest"))
-    return by_line.join(latest, ["feed", "file", "id"]).where("at.line <=> latest.line and at.h = latest.h").select("feed", "file", "id", "parent", "name", "bit", "value")
-
-
 def _scripts(compared: DataFrame, evidence: DataFrame) -> DataFrame:
     spark = compared.sparkSession
     none = F.lit(None)
