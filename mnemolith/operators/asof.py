@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ROWS_PER_GROUP, groups_for
+from .blocks import block_of, cut_points
 
 _NEVER = -(1 << 63)
 _START = _NEVER + 1
@@ -64,7 +65,10 @@ def _parts(events: DataFrame, changes: DataFrame, columns: list[str], most: int)
     if crowded.isEmpty():
         return events.withColumn("_part", F.lit(0)), changes.withColumn("_part", F.lit(0))
     # At most one row per `most` events, so it is small against either side.
-    ev = events.join(crowded, ["_key", "_block"], "left").withColumn("_part", F.pmod(F.floor(F.rand(7) * 1_000_003), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    # By content, not by chance: a task that runs again must deal out its events as before.
+    kinds = dict(events.dtypes)
+    content = F.xxhash64(*[c for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]])
+    ev = events.join(crowded, ["_key", "_block"], "left").withColumn("_part", F.pmod(content, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     ch = changes.join(crowded, ["_key", "_block"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return ev, ch
 
@@ -87,7 +91,7 @@ def as_known_at(
     Nulls: an event without entity or time knows nothing (`is_known` false); a change without entity or
     `known_at` is never known; a null `rank_by` is the oldest. Versions equal in both times are decided
     by the greatest values of `versions`, in order. Repeated changes make no difference, repeated events
-    come out as often as they came in. Columns of `changes` other than `versions` are not read, so names
+    come out as often as they came in (identical ones in one group, so deduplicate first if they abound). Columns of `changes` other than `versions` are not read, so names
     may clash. Empty tables give no rows, or events of which nothing is known.
     """
     versions = list(versions)
@@ -104,11 +108,8 @@ def as_known_at(
     times = ch.select(F.col("_known").alias("t")).unionByName(ev.where(F.col("_time") > _NEVER).select(F.col("_time").alias("t")))
     rows = max(1, times.count())
     blocks = blocks or groups_for(rows, least=4, most=1024)
-    cuts = sorted(set(times.approxQuantile("t", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
-    cuts = [int(c) for c in cuts]
-    # The first block takes everything up to the first cut; at most `blocks` literals.
-    block = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < c)) if cuts else F.lit(0)
-    ch, ev = ch.withColumn("_block", block(F.col("_known"))), ev.withColumn("_block", block(F.col("_time")))
+    cuts = cut_points(times, "t", blocks)
+    ch, ev = ch.withColumn("_block", block_of(F.col("_known"), cuts)), ev.withColumn("_block", block_of(F.col("_time"), cuts))
 
     best = F.max(F.struct("_rank", "_known", *versions))
     per_block = ch.groupBy("_key", "_block").agg(best.alias("_best")).unionByName(

@@ -10,10 +10,11 @@ import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
+from .blocks import numbered
 
 
 def envelope(records: DataFrame, *, doc: str, position: str, bundle_ix: int = 0, id_field: str = "id") -> DataFrame:
@@ -104,7 +105,7 @@ def diff_summary(changes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Merge:
-    """records (id, doc); conflicts (id, variants); duplicate_ids (id, place), place counting from 1."""
+    """records (id, doc); conflicts (id, variants); duplicate_ids (id, bundle_ix, pos) with the first repetition's place."""
 
     records: DataFrame
     conflicts: DataFrame
@@ -137,8 +138,8 @@ def merge(bundles: DataFrame, *, prefer: str = "last") -> Merge:
 
 
 def in_order(duplicates: DataFrame) -> DataFrame:
-    """Duplicate ids in the order in which their repetition was first seen, with that order's number."""
-    return duplicates.withColumn("place", F.row_number().over(Window.orderBy("bundle_ix", "pos"))).select("place", "id")
+    """(place, id): duplicate ids numbered in the order in which their repetition was first seen."""
+    return numbered(duplicates, [F.col("bundle_ix"), F.col("pos")], "place").select("place", "id")
 
 
 def union(left: DataFrame, right: DataFrame) -> DataFrame:

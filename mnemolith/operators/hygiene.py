@@ -46,7 +46,9 @@ def evidence_gaps(records: DataFrame, known: DataFrame, *, key: str = "id") -> D
     trusted = records.where(plane_of_id(F.coalesce(F.col(key), F.lit(""))).isin("ledger", "taste", "state"))
     missing = trusted.agg(_count(F.coalesce(F.array_size("evidence_span_ids"), F.lit(0)) == 0).alias("missing"))
     cited = trusted.select(F.col(key).alias("id"), F.explode("evidence_span_ids").alias("ref")).join(known.select(F.col("id").alias("ref")), "ref", "left_anti")
-    return missing.crossJoin(F.broadcast(cited.agg(F.count_distinct("id").alias("orphaned"))))  # one row each
+    none = F.lit(None).cast("bigint")
+    both = missing.select("missing", none.alias("orphaned")).unionByName(cited.agg(F.count_distinct("id").alias("orphaned")).select(none.alias("missing"), "orphaned"))
+    return both.agg(F.max("missing").alias("missing"), F.max("orphaned").alias("orphaned"))
 
 
 def window(records: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.validity import holds_as_of, is_active, period
-from ..session import cut
+from ..session import cut, groups_for
+from .blocks import block_of, cut_points
 
 _FIELDS = ("status", "superseded_by", "valid_from", "valid_until", "stale_after")
 
@@ -55,14 +56,21 @@ def supersession_chains(records: DataFrame, *, key: str = "id", superseded_by: s
     return state.select("id", F.when(~looped, F.col("last_id")).alias("last_id"), F.when(~looped, F.col("steps")).alias("steps"), F.when(looped, "cycle").otherwise(F.col("ends")).alias("ends"))
 
 
-def overlaps(records: DataFrame, *, group: str, key: str = "id") -> DataFrame:
+def overlaps(records: DataFrame, *, group: str, key: str = "id", blocks: int | None = None) -> DataFrame:
     """(group, id, overlaps_id): records that begin before an earlier one of their group has ended.
 
     Periods run from valid_from to the earlier of valid_until and stale_after; touching isn't overlapping.
     One running maximum per group instead of pairs: each record is reported against the earlier record
-    that ends last, so every overlap is found, though not every pair is listed.
+    that ends last, so every overlap is found, though not every pair is listed. The maximum runs inside
+    blocks of time and is carried over the few blocks of a group, so a big group is many tasks.
     """
-    rows = records.where(F.col(group).isNotNull()).select(group, key, period(F.col("valid_from"), F.col("valid_until"), F.col("stale_after")).alias("p"))
-    before = Window.partitionBy(group).orderBy("p.begins", "p.ends", key).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.where("p.begins < p.ends").withColumn("open", F.max(F.struct(F.col("p.ends").alias("ends"), F.col(key).alias("id"))).over(before))
-    return seen.where("open.ends > p.begins").select(group, key, F.col("open.id").alias("overlaps_id"))
+    rows = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), period(F.col("valid_from"), F.col("valid_until"), F.col("stale_after")).alias("p"))
+    rows = cut(rows.select("g", "k", "p.begins", "p.ends").where("begins < ends"))
+    blocks = blocks or groups_for(max(1, rows.count()), least=4, most=1024)
+    rows = rows.withColumn("block", block_of(F.col("begins"), cut_points(rows, "begins", blocks)))
+    longest = F.max(F.struct(F.col("ends").alias("ends"), F.col("k").alias("id")))
+    earlier = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("g", "block").agg(longest.alias("last")).select("g", "block", F.max("last").over(earlier).alias("carried"))
+    before = Window.partitionBy("g", "block").orderBy("begins", "ends", "k").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("inside", longest.over(before)).join(carried, ["g", "block"]).withColumn("open", F.greatest("inside", "carried"))
+    return seen.where("open.ends > begins").select(F.col("g").alias(group), F.col("k").alias(key), F.col("open.id").alias("overlaps_id"))

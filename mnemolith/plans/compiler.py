@@ -15,6 +15,7 @@ from ..functions.access import Scope, access_decision
 from ..functions.canonical import content_id
 from ..functions.decay import DecayPolicy, decay_score
 from ..functions.instants import instant
+from ..operators.blocks import numbered
 from ..operators.citations import Graph, in_degree, supported
 from ..schemas import ENUMS
 
@@ -67,9 +68,8 @@ def select_records(records: DataFrame, g: Graph | None, scope: Scope, policy: Po
         backed = supported(g).unionByName(g.nodes.where("kind = 'source'").select("id")).distinct().withColumn("backed", F.lit(True))
         rows = rows.join(backed, "id", "left").withColumn("excluded", F.coalesce("excluded", F.when(F.col("backed").isNull(), "no_source_backing"))).drop("backed")
     kept, out = rows.where("excluded is null"), rows.where("excluded is not null")
-    # The order is total, and only the order of the kept records needs one: a range sort, ranked without a single-task window.
     if policy.strategy == "diverse":
-        kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("record_type").orderBy(F.desc("score"), "id")))
+        kept = _turns(kept, policy.max_records)
         order = [F.asc("turn"), F.asc("record_type")]
     elif policy.strategy == "frequent" and g is not None:
         kept = kept.join(in_degree(g), "id", "left").withColumn("turn", -F.coalesce("in_degree", F.lit(0))).drop("in_degree")
@@ -82,15 +82,31 @@ def select_records(records: DataFrame, g: Graph | None, scope: Scope, policy: Po
         order = [F.desc("score"), F.asc("id")]
     columns = ["id", "record_type", "score", "excluded"]
     if policy.max_records:
-        top = kept.orderBy(*order).limit(policy.max_records)  # a top-k: no global sort
+        top = kept.where("turn is not null").orderBy(*order).limit(policy.max_records)  # a top-k: no global sort
         ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
         over = kept.join(ranked.select("id"), "id", "left_anti").select("id", "record_type", "score", F.lit("exceeded_max_records").alias("excluded"), F.lit(None).cast("int").alias("rank"))
         ranked = ranked.select(*columns, "rank").unionByName(over)
     else:
-        ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(*columns, "rank")
+        ranked = numbered(kept, order, "rank").select(*columns, "rank")
     return ranked.unionByName(out.select(*columns, F.lit(None).cast("int").alias("rank")))
 
 
+def _turns(kept: DataFrame, most: int) -> DataFrame:
+    """`kept` with `turn`, each record's place within its type; null beyond `most` (0: no limit).
+
+    With a limit, the rank filter becomes a limit per task before the shuffle. Without one, a type with most
+    of the rows would be one task, so all records are numbered in one range sort by type and the numbers of
+    each type are shifted to begin at 1.
+    """
+    best = [F.desc("score"), F.asc("id")]
+    if most:
+        first = kept.select("id", "record_type", "score").withColumn("turn", F.row_number().over(Window.partitionBy("record_type").orderBy(*best))).where(F.col("turn") <= most)
+        return kept.join(first.select("id", "turn"), "id", "left")
+    placed = numbered(kept, [F.asc("record_type"), *best], "place")
+    starts = placed.groupBy("record_type").agg(F.min("place").alias("start"))
+    return placed.join(starts, placed["record_type"].eqNullSafe(starts["record_type"])).drop(starts["record_type"]).withColumn("turn", F.col("place") - F.col("start") + 1).drop("place", "start")
+
+
 def exclusions(selected: DataFrame) -> DataFrame:
     """(reason, records)."""
     return selected.where("excluded is not null").groupBy(F.col("excluded").alias("reason")).agg(F.count("*").alias("records"))
@@ -112,7 +128,7 @@ def pack(selected: DataFrame, *, task_id: str, pack_type: str, created_at: str)
     kept = selected.where("rank is not null").groupBy("record_type").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("ids"))
     sections = kept.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("record_type", F.col("ids.id"))))).alias("sections"))
     left_out = exclusions(selected).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "records")))).alias("excluded"))
-    both = sections.crossJoin(F.broadcast(left_out))  # one row each
+    both = sections.unionByName(left_out, allowMissingColumns=True).agg(F.any_value("sections", F.lit(True)).alias("sections"), F.any_value("excluded", F.lit(True)).alias("excluded"))
     inputs = F.array_sort(F.flatten(F.map_values("sections")))
     key = content_id("context_pack", pack_type=F.lit(pack_type), task_id=F.lit(task_id), created_at=F.lit(created_at), record_ids=inputs)
     return both.select(key.alias("id"), F.lit(pack_type).alias("pack_type"), F.lit(task_id).alias("task_id"), F.lit(created_at).alias("created_at"), "sections", "excluded", F.sha2(F.to_json(inputs), 256).alias("build_inputs_hash"))

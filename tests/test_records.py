@@ -87,6 +87,7 @@ def test_validity_and_chains(spark):
     assert chains["v1"] == ("v2", 1, "current") and chains["dang"] == ("gone", 1, "dangling") and chains["l1"] == (None, None, "cycle")
     # An open period overlaps what begins within it; touching ones don't overlap.
     assert rows(temporal.overlaps(df, group="g"), "g", "id", "overlaps_id") == [("b", "late", "open")]
+    assert rows(temporal.overlaps(df, group="g", blocks=1)) == rows(temporal.overlaps(df, group="g", blocks=9))
     assert temporal.only_current(df, at("2025-02-15T00:00:00Z"), F.col("g") == "a").id == "v2"
     assert temporal.only_current(df, at("2025-02-15T00:00:00Z"), F.col("g") == "none") is None
     with pytest.raises(ValueError):
@@ -207,3 +208,30 @@ def test_blanks_of_any_kind(spark):
     df = spark.createDataFrame([("\t2025-01-01T00:00:00Z\u00a0\n",), ("\u00a0N/A\t",), ("\u00a0",), ("real",)], "t string")
     got = [tuple(r) for r in df.select(trimmed(F.col("t")), has_value(F.col("t")), instant(F.col("t")).isNotNull()).collect()]
     assert got == [("2025-01-01T00:00:00Z", True, True), ("N/A", False, False), ("", False, False), ("real", True, False)]
+
+
+def test_overlaps_in_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    day = lambda n: f"2025-01-{n:02d}T00:00:00Z"
+    data = [(f"k{i:03d}", "hot" if rng.random() < 0.6 else "cold", day(b := rng.randrange(1, 25)), day(b + rng.randrange(0, 5)), None) for i in range(80)]
+    df = spark.createDataFrame(data, "id string, g string, valid_from string, valid_until string, stale_after string")
+    want, seen = [], {}
+    for key, g, begins, ends, _ in sorted((d for d in data if d[2] < d[3]), key=lambda d: (d[1], d[2], d[3], d[0])):
+        if g in seen and seen[g][0] > begins:
+            want.append((g, key, seen[g][1]))
+        seen[g] = max(seen.get(g, ("", "")), (ends, key))
+    for blocks in (1, 3, 12):
+        assert rows(temporal.overlaps(df, group="g", blocks=blocks)) == sorted(want, key=repr)
+
+
+def test_unlimited_selection_is_numbered(spark):
+    from mnemolith.plans.compiler import Policy, select_records
+
+    data = [(f"r{i:02d}", 0, "1.0.0", "fact" if i % 3 else "preference", "active", "high", "public", f"2025-01-{1 + i % 28:02d}T00:00:00Z") for i in range(40)]
+    df = spark.createDataFrame(data, "id string, pos int, schema_version string, record_type string, status string, confidence string, privacy_class string, asserted_at string")
+    for strategy in ("recent", "diverse"):
+        whole = rows(select_records(df, None, access.team_scope(), Policy(0, strategy)).where("rank is not null"), "rank", "id")
+        some = rows(select_records(df, None, access.team_scope(), Policy(10, strategy)).where("rank is not null"), "rank", "id")
+        assert sorted(r for r, _ in whole) == list(range(1, 41)) and set(some) <= set(whole) and len(some) == 10

@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolith.functions.timestamps import readings
 from mnemolith.operators.timezones import mixture, normalised
@@ -71,8 +72,8 @@ def test_mixture_learns_the_order_of_a_source():
 
 def test_operator(spark):
     data = [("s", t, h) for t, h, _ in CASES] + [("s", t, None) for t in NONE] + [("s", "2024-02-19T20:05:34.123456Z", None), ("s", "13.25.2024 10:00:00", "UTC"), ("amb", "2024-02-26 10:00:00 IST", None)]
-    df = spark.createDataFrame(data, "format string, epoch_us string, home string")
-    found = normalised(df.withColumnRenamed("epoch_us", "value"), value="value", home="home", source=["format"]) if False else normalised(df.withColumnsRenamed({"epoch_us": "value", "format": "src"}), value="value", home="home", source=["src"])
+    df = spark.createDataFrame(data, "src string, value string, home string").withColumn("epoch", F.lit("clash"))
+    found = normalised(df, value="value", home="home", source=["src"])
     got = {(r.value, r.home): r for r in found.collect()}
     for text, home, expected in CASES:
         assert got[text, home].epoch_us == expected
@@ -81,4 +82,4 @@ def test_operator(spark):
     assert got["13.25.2024 10:00:00", "UTC"].epoch_us is None
     assert got["2024-02-26 10:00:00 IST", None].ambiguous
     assert sum(r.ambiguous for r in got.values()) == 1
-    assert rows(normalised(df.limit(0).withColumnsRenamed({"epoch_us": "value", "format": "src"}), value="value", home="home", source=["src"])) == []
+    assert rows(normalised(df.limit(0), value="value", home="home", source=["src"])) == []
