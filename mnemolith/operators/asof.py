@@ -91,8 +91,8 @@ def as_known_at(
     Nulls: an event without entity or time knows nothing (`is_known` false); a change without entity or
     `known_at` is never known; a null `rank_by` is the oldest. Versions equal in both times are decided
     by the greatest values of `versions`, in order. Repeated changes make no difference, repeated events
-    come out as often as they came in (identical ones in one group, so deduplicate first if they abound). Columns of `changes` other than `versions` are not read, so names
-    may clash. Empty tables give no rows, or events of which nothing is known.
+    come out as often as they came in (identical ones in one group, so deduplicate first if they abound). Columns of `changes` other than `versions` are not read, and columns of `events`
+    that have the names of the result are replaced. Empty tables give no rows, or events of which nothing is known.
     """
     versions = list(versions)
     spark = events.sparkSession
@@ -102,9 +102,10 @@ def as_known_at(
         F.coalesce(F.unix_micros(rank_by), F.lit(_NEVER)).alias("_rank"),
         *[F.col(c).cast("string").alias(c) for c in versions],
     ).where("_key is not null and _known is not null")
-    ev = events.withColumns(
-        {"_key": F.col(entity).cast("string"), "_time": F.coalesce(F.unix_micros(event_time), F.lit(_NEVER))}
-    )
+    # Inside, the columns of events go by number, so that their names can't clash with ours.
+    kept = [f for f in events.schema.fields if f.name not in {"is_known", *(f"known_{c}" for c in versions)}]
+    place = {f.name: f"e{i}" for i, f in enumerate(kept)}
+    ev = events.select(*[F.col(f"`{name}`").alias(e) for name, e in place.items()], F.col(entity).cast("string").alias("_key"), F.coalesce(F.unix_micros(event_time), F.lit(_NEVER)).alias("_time"))
     times = ch.select(F.col("_known").alias("t")).unionByName(ev.where(F.col("_time") > _NEVER).select(F.col("_time").alias("t")))
     rows = max(1, times.count())
     blocks = blocks or groups_for(rows, least=4, most=1024)
@@ -122,13 +123,12 @@ def as_known_at(
     both = ch.withColumn("_at", F.col("_known")).unionByName(carried)
 
     groups = groups or groups_for(rows, least=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ev, both = _parts(ev, both, events.columns, most_events)
+    ev, both = _parts(ev, both, list(place.values()), most_events)
     group = F.pmod(F.xxhash64("_key", "_block", "_part"), F.lit(groups))
     ev, both = ev.withColumn("_group", group).drop("_part"), both.withColumn("_group", group).drop("_part")
-    kept = [f for f in events.schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`known_{c}` string" for c in versions] + ["is_known boolean"])
+    schema = ", ".join([f"{place[f.name]} {f.dataType.simpleString()}" for f in kept] + [f"`known_{c}` string" for c in versions] + ["is_known boolean"])
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _search(a, b, versions)
 
-    return ev.groupBy("_group").cogroup(both.groupBy("_group")).applyInPandas(search, schema)
+    return ev.groupBy("_group").cogroup(both.groupBy("_group")).applyInPandas(search, schema).withColumnsRenamed({e: name for name, e in place.items()})

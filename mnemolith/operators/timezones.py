@@ -62,10 +62,13 @@ def normalised(values: DataFrame, *, value: str, home: str, source: Sequence[str
 
     `home` is the column with the zone of zone-less values. `epoch_us` is null where the value denotes no
     instant; `ambiguous` is true where several readings remain and none reaches the posterior `sure` (the
-    likeliest one is still given). Null and empty values denote nothing. Canonical values are read by
+    likeliest one is still given). Columns of those names are replaced. Null and empty values denote nothing. Canonical values are read by
     Spark's own cast and never reach Python.
     """
-    source = list(source)
+    source, made = list(source), {"epoch_us", "format", "posterior", "ambiguous"}
+    if made & {value, home, *source}:
+        raise ValueError(f"columns named {sorted(made)} can't be read, they are made")
+    values = values.drop(*made)
     kept = values.columns
     rows = values.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(kept)})
     place = {c: f"_{i}" for i, c in enumerate(kept)}

@@ -47,6 +47,13 @@ def test_crowded_instant_is_dealt_out(spark):
     assert run(spark, events, changes, most_events=7, groups=9) == brute(events, changes)
 
 
+def test_clashing_names(spark):
+    events = spark.createDataFrame([("a", T0, 1, "x", True, "y")], "entity string, at timestamp, _key int, known_status string, is_known boolean, `e.0` string")
+    changes = spark.createDataFrame([("a", T0, T0, "s", 0)], CHANGES)
+    found = as_known_at(events, changes, entity="entity", event_time=F.col("at"), known_at=F.col("received"), rank_by=F.col("taken"), versions=["status"])
+    assert found.columns == ["entity", "at", "_key", "e.0", "known_status", "is_known"] and tuple(found.first())[2:] == (1, "y", "s", True)
+
+
 def test_nulls_and_ties(spark):
     events = [(1, None, T0, ""), (2, "a", None, ""), (3, "a", T0, ""), (4, "b", T0, ""), (4, "b", T0, "")]
     changes = [("a", None, T0, "old", 0), ("a", T0, None, "never", 0), (None, T0, T0, "x", 0), ("b", T0, T0, "k", 0), ("b", T0, T0, "z", 0)]

@@ -108,3 +108,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("validate", a, "--schema", "evidence_span", "--jsonl")[0] == 1
     assert cli.main(["merge", str(a), str(b), "--prefer", "raise"]) == 2
     assert cli.main(["--json", "fingerprint", str(tmp_path / "none.jsonl")]) == 2
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    from mnemolith.sources import sqlite
+
+    path = tmp_path / "m.db"
+    with sqlite3.connect(path) as db:
+        db.execute("create table memory (id integer, kind text, payload text, created_at text, source text)")
+        db.executemany("insert into memory values (?, 'fact', ?, '2025', 'chat')", [(i * 7, f"p{i}") for i in range(50)] + [(None, "keyless")])
+        db.execute("create table none (id integer, n real)")
+    sqlite.register(spark)
+    read = lambda **options: spark.read.format("sqlite_table").options(path=str(path), **options)
+    for parts in (1, 3, 400):
+        got = read(partitions=parts).load()
+        assert sorted(r.payload for r in got.collect()) == sorted([f"p{i}" for i in range(50)] + ["keyless"])
+    assert read(table="none").schema("n double").load().count() == 0
+    assert jsonio.import_memories(read().load().where("id is not null")).count() == 250
+    with pytest.raises(Exception, match="plain name"):
+        read(table="x; drop").load().count()

@@ -72,7 +72,7 @@ def test_mixture_learns_the_order_of_a_source():
 
 def test_operator(spark):
     data = [("s", t, h) for t, h, _ in CASES] + [("s", t, None) for t in NONE] + [("s", "2024-02-19T20:05:34.123456Z", None), ("s", "13.25.2024 10:00:00", "UTC"), ("amb", "2024-02-26 10:00:00 IST", None)]
-    df = spark.createDataFrame(data, "src string, value string, home string").withColumn("epoch", F.lit("clash"))
+    df = spark.createDataFrame(data, "src string, value string, home string").withColumns({"epoch_us": F.lit("clash"), "format": F.lit("clash"), "readings": F.lit("clash")})
     found = normalised(df, value="value", home="home", source=["src"])
     got = {(r.value, r.home): r for r in found.collect()}
     for text, home, expected in CASES:
@@ -83,3 +83,5 @@ def test_operator(spark):
     assert got["2024-02-26 10:00:00 IST", None].ambiguous
     assert sum(r.ambiguous for r in got.values()) == 1
     assert rows(normalised(df.limit(0), value="value", home="home", source=["src"])) == []
+    with pytest.raises(ValueError):
+        normalised(df, value="value", home="format", source=["src"])
