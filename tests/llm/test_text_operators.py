@@ -11,7 +11,7 @@ import pytest
 
 from mnemolith.llm import leakage, packing, spans, tokens
 from mnemolith.llm.words import words
-from tests.helpers import SF, rows
+from tests.helpers import SF, oracle, rows
 
 DOCS = "doc_id long, text string, start int, anchor string"
 
@@ -229,7 +229,11 @@ def test_token_counts(spark):
 
 
 def test_queries_run(spark):
-    from mnemolith.llm.queries import QUERIES
+    from mnemolith.llm.queries import QUERIES, SQL
+
+    for name, sql in SQL.items():
+        df = QUERIES[name](spark, SF)
+        assert Counter(repr(tuple(r)) for r in df.collect()) == oracle(sql, df.columns)
 
     for name, query in QUERIES.items():
         df = query(spark, SF)
