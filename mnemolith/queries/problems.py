@@ -229,7 +229,33 @@ leaves as (
 ), a as (select * from fields where bundle_ix = 0), b as (select * from fields where bundle_ix = 1),
 ids as (select coalesce(x.id, y.id) id, x.id is not null in_0, y.id is not null in_1 from (select id from last where bundle_ix = 0) x full join (select id from last where bundle_ix = 1) y on x.id = y.id)
 """
+_DRIFT_SQL = r"""
+with doc as (select distinct feed, file_name, line_no, cast(doc as json) j from raw_export where json_valid(doc) and json_type(case when json_valid(doc) then doc else 'null' end) = 'OBJECT'),
+files as (select feed, file_name, min(exported_at) e from raw_export group by all),
+pair as (select feed, file_name, lag(file_name) over (partition by feed order by e, file_name) prev from files qualify prev is not null),
+tops as (select doc.feed, doc.file_name, doc.j ->> '$.id' id, '' parent, k.key name, k.value v, k.type t from doc, json_each(doc.j) k where k.key <> 'id'),
+cell as (select * from tops union all select tops.feed, tops.file_name, tops.id, tops.name, m.key, m.value, m.type from tops, json_each(case when tops.t = 'OBJECT' then tops.v else '{}' end) m where tops.t = 'OBJECT' and tops.name <> 'metadata'),
+known as (select *, case when t in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') then 'number' when t = 'NULL' then null else t end kind,
+  case when t = 'NULL' then null when t in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') then cast(cast(v as double) as varchar) when t = 'OBJECT' then (select string_agg(o.key || '=' || o.value, ';' order by o.key) from json_each(v) o) else cast(v as varchar) end text from cell),
+field as (select feed, file_name, parent, name, list_sort(list_distinct(list(kind) filter (kind is not null))) kinds from known group by all),
+now as (select p.feed, p.file_name, f.parent, f.name, coalesce(f.kinds, []) kinds from pair p join field f on f.feed = p.feed and f.file_name = p.file_name),
+was as (select p.feed, p.file_name, f.parent, f.name, coalesce(f.kinds, []) kinds from pair p join field f on f.feed = p.feed and f.file_name = p.prev),
+gone as (select * from was anti join now using (feed, file_name, parent, name)), fresh as (select * from now anti join was using (feed, file_name, parent, name)),
+old as (select distinct p.feed, p.file_name, a.id, a.parent, a.name, a.kind, a.text from pair p join known a on a.feed = p.feed and a.file_name = p.prev semi join gone g on g.feed = p.feed and g.file_name = p.file_name and g.parent = a.parent and g.name = a.name),
+new as (select distinct p.feed, p.file_name, b.id, b.parent, b.name, b.kind, b.text from pair p join known b on b.feed = p.feed and b.file_name = p.file_name semi join fresh g on g.feed = p.feed and g.file_name = p.file_name and g.parent = b.parent and g.name = b.name),
+renamed as (select a.feed, a.file_name, a.parent, a.name old_name, b.name new_name from old a join new b on a.feed = b.feed and a.file_name = b.file_name and a.id = b.id and a.parent = b.parent
+  group by all having bool_and(a.text is not distinct from b.text and a.kind is not distinct from b.kind) and count(a.text) > 0),
+edit as (
+  select feed, file_name, parent, 'renamed' change_kind, old_name, new_name from renamed
+  union all select feed, file_name, parent, 'removed', name, '' from gone g where not exists (select 1 from renamed r where r.feed = g.feed and r.file_name = g.file_name and r.parent = g.parent and r.old_name = g.name)
+  union all select feed, file_name, parent, 'added', '', name from fresh g where not exists (select 1 from renamed r where r.feed = g.feed and r.file_name = g.file_name and r.parent = g.parent and r.new_name = g.name)
+  union all select n.feed, n.file_name, n.parent, 'retyped', n.name, n.name from now n join was w using (feed, file_name, parent, name) where n.kinds <> w.kinds and len(n.kinds) > 0 and len(w.kinds) > 0
+)
+select feed, file_name, change_kind, case when old_name = '' or parent = '' then old_name else parent || '.' || old_name end old_field, case when new_name = '' or parent = '' then new_name else parent || '.' || new_name end new_field
+from edit e where parent = '' or not exists (select 1 from edit t where t.feed = e.feed and t.file_name = e.file_name and t.parent = '' and e.parent in (t.old_name, t.new_name))
+"""
 SQL: dict[str, str] = {
+    "p2_found": _DRIFT_SQL,
     "p1_found": _KNOWN_SQL
     + """select distinct pack_id, entry_id, case when is_known then coalesce(lower(trim(status)), '') else 'unknown' end known_status from best
 where n = 1 and not coalesce(is_known and lower(trim(status)) = 'active' and coalesce(try_cast(valid_from as timestamptz) <= cast(created_at as timestamptz), true)
