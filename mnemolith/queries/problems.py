@@ -254,8 +254,39 @@ edit as (
 select feed, file_name, change_kind, case when old_name = '' or parent = '' then old_name else parent || '.' || old_name end old_field, case when new_name = '' or parent = '' then new_name else parent || '.' || new_name end new_field
 from edit e where parent = '' or not exists (select 1 from edit t where t.feed = e.feed and t.file_name = e.file_name and t.parent = '' and e.parent in (t.old_name, t.new_name))
 """
+_INSTANT_SQL = r"""
+with decision as (select id, max(decided_by.agent) agent from memory_reducer_decision where id is not null group by id),
+zone as (select agent, max(tz_name) tz from agent_zone group by agent),
+value as (
+  select distinct 'ledger_entry' record_table, e.id record_id, x.f field_name, d.agent, x.v from (select id, reducer_decision_id, unnest([{'f': 'observed_at', 'v': observed_at}, {'f': 'created_at', 'v': created_at}]) x from ledger_entry) e left join decision d on d.id = e.reducer_decision_id
+  union select 'candidate', id, 'extracted_at', extracted_by.agent, extracted_at from candidate
+  union select 'memory_reducer_decision', id, 'decided_at', decided_by.agent, decided_at from memory_reducer_decision),
+odd as (select v.*, upper(trim(v, e' \t\r\n')) s, z.tz home from value v left join zone z on z.agent = v.agent where v is not null and not regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z')),
+part as (select *, case
+  when regexp_matches(s, '^\d{4}([-/])\d{2}[-/]\d{2}[T ]\d') then regexp_extract(s, '^(\d{4})[-/](\d{2})[-/](\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?()\s*(.*)$', ['y', 'm', 'd', 'h', 'i', 'c', 'f', 'p', 'z'])
+  when regexp_matches(s, '^\d{8}T') then regexp_extract(s, '^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})()()(.*)$', ['y', 'm', 'd', 'h', 'i', 'c', 'f', 'p', 'z'])
+  when regexp_matches(s, '^\d{2}[.]') then regexp_extract(s, '^(\d{2})[.](\d{2})[.](\d{4}) (\d{2}):(\d{2}):(\d{2})()()\s*(.*)$', ['d', 'm', 'y', 'h', 'i', 'c', 'f', 'p', 'z'])
+  when regexp_matches(s, '^\d{2}/') then regexp_extract(s, '^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2}):(\d{2})() ([AP])M\s*(.*)$', ['m', 'd', 'y', 'h', 'i', 'c', 'f', 'p', 'z'])
+  when regexp_matches(s, '^([A-Z]{3}, )?\d{1,2} [A-Z]') then regexp_extract(s, '^(?:[A-Z]{3}, )?(\d{1,2}) ([A-Z]{3})[A-Z]* (\d{4}) (\d{2}):(\d{2}):(\d{2})()()\s*(.*)$', ['d', 'm', 'y', 'h', 'i', 'c', 'f', 'p', 'z'])
+  else regexp_extract(s, '^([A-Z]{3})[A-Z]* (\d{1,2}), (\d{4}) (\d{2}):(\d{2})()() ([AP])M\s*(.*)$', ['m', 'd', 'y', 'h', 'i', 'c', 'f', 'p', 'z']) end r from odd),
+clock as (select *, try_cast(r.h as int) hh, case when regexp_matches(r.m, '^\d') then r.m else cast((strpos('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', r.m) + 2) // 3 as varchar) end mon from part),
+local as (select *, try_cast(r.y || '-' || lpad(mon, 2, '0') || '-' || lpad(r.d, 2, '0') || ' ' || lpad(cast(case when r.p = '' then hh when hh between 1 and 12 then hh % 12 + case r.p when 'P' then 12 else 0 end end as varchar), 2, '0') || ':' || r.i || ':' || case when r.c = '' then '00' else r.c end as timestamp) t,
+  coalesce(try_cast(rpad(left(r.f, 6), 6, '0') as bigint), 0) micro,
+  case when r.z in ('Z', 'UTC', 'GMT', '[UTC]') then 0 when regexp_matches(r.z, '^[+-]\d{2}(:?\d{2})?$') then cast(left(r.z, 1) || '1' as int) * (cast(r.z[2:3] as int) * 60 + coalesce(try_cast(right(r.z[4:], 2) as int), 0))
+    else case r.z when 'CET' then 60 when 'CEST' then 120 when 'EST' then -300 when 'EDT' then -240 when 'PST' then -480 when 'PDT' then -420 when 'JST' then 540 end end off,
+  case when r.z = '' then home when regexp_matches(r.z, '^\[.+/.+\]$') then (select any_value(tz_name) from agent_zone where upper(tz_name) = trim(r.z, '[]')) end tz from clock),
+spot as (select *, timezone(tz, t) u from local where hh < 24),
+fair as (select *, case when off is not null then epoch_us(t) - cast(off as bigint) * 60000000
+  when timezone(tz, u) <> t then epoch_us(t) - (epoch_us(timezone(tz, u - interval 1 day)) - epoch_us(u - interval 1 day))
+  when timezone(tz, u - interval 1 hour) = t then epoch_us(u - interval 1 hour) else epoch_us(u) end + micro us from spot),
+number as (select *, cast(s as decimal(38, 6)) n from odd where regexp_full_match(s, '\d+(\.\d{1,6})?')),
+counted as (select *, unnest([n * 1000000, n * 1000, n, n / 1000]) us from number)
+select distinct record_table, record_id, field_name, us epoch_us from fair where us is not null
+union select distinct record_table, record_id, field_name, cast(floor(us) as bigint) from counted where us >= 1704067200000000 and us < 1767225600000000
+"""
 SQL: dict[str, str] = {
     "p2_found": _DRIFT_SQL,
+    "p3_found": _INSTANT_SQL,
     "p1_found": _KNOWN_SQL
     + """select distinct pack_id, entry_id, case when is_known then coalesce(lower(trim(status)), '') else 'unknown' end known_status from best
 where n = 1 and not coalesce(is_known and lower(trim(status)) = 'active' and coalesce(try_cast(valid_from as timestamptz) <= cast(created_at as timestamptz), true)

@@ -324,7 +324,7 @@ def hygiene_gaps(spark, sf):
 
 
 @query("""with t as (select cast(x as timestamptz) t from (select unnest([asserted_at, valid_from, valid_until, updated_at]) x from ledger_entry) where x is not null)
-select strftime(min(t), '%Y-%m-%dT%H:%M:%SZ') window_start, strftime(max(t), '%Y-%m-%dT%H:%M:%SZ') window_end from t""")
+select strftime(timezone('UTC', min(t)), '%Y-%m-%dT%H:%M:%SZ') window_start, strftime(timezone('UTC', max(t)), '%Y-%m-%dT%H:%M:%SZ') window_end from t""")
 def hygiene_window(spark, sf):
     return hygiene.window(_table(spark, sf, "ledger_entry").select("asserted_at", "valid_from", "valid_until", "updated_at"))
 
