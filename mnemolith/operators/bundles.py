@@ -91,10 +91,15 @@ def tree_fingerprint(bundle: DataFrame) -> DataFrame:
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, status, old_doc, new_doc): added, removed, changed and unchanged records; one shuffle."""
-    nothing = F.lit(None).cast("string")
-    both = dedup_last(left).select("id", F.col("doc").alias("old_doc"), nothing.alias("new_doc")).unionByName(dedup_last(right).select("id", nothing.alias("old_doc"), F.col("doc").alias("new_doc")))
-    merged = both.groupBy("id").agg(F.max("old_doc").alias("old_doc"), F.max("new_doc").alias("new_doc"))
+    """(id, status, old_doc, new_doc): added, removed, changed and unchanged records.
+
+    Deduplication and comparison are one aggregation, so there is one shuffle, combined on the map side.
+    """
+    none = F.lit(None)
+    key = F.coalesce("id", F.lit("")).alias("id")
+    old = left.select(key, F.col("pos").cast("bigint").alias("old_pos"), F.col("doc").alias("old"), none.cast("bigint").alias("new_pos"), none.cast("string").alias("new"))
+    new = right.select(key, none.cast("bigint").alias("old_pos"), none.cast("string").alias("old"), F.col("pos").cast("bigint").alias("new_pos"), F.col("doc").alias("new"))
+    merged = old.unionByName(new).groupBy("id").agg(F.max_by("old", "old_pos").alias("old_doc"), F.max_by("new", "new_pos").alias("new_doc"))
     status = F.when(F.col("old_doc").isNull(), "added").when(F.col("new_doc").isNull(), "removed").when(F.col("old_doc") == F.col("new_doc"), "unchanged").otherwise("changed")
     return merged.select("id", status.alias("status"), "old_doc", "new_doc")
 
@@ -124,7 +129,7 @@ def merge(bundles: DataFrame, *, prefer: str = "last") -> Merge:
     per_bundle = rows.groupBy("bundle_ix", "id").agg(F.max_by("doc", "pos").alias("doc"), F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     # An id has at most one record per bundle here, so lists are as short as the list of bundles.
     merged = per_bundle.groupBy("id").agg(
-        F.max_by("doc", "bundle_ix").alias("last"), F.min_by("doc", "bundle_ix").alias("first"), F.array_sort(F.collect_list(F.struct("bundle_ix", "doc"))).alias("variants"), F.min("doc").alias("lo"), F.max("doc").alias("hi")
+        F.array_sort(F.collect_list(F.struct("bundle_ix", "doc"))).alias("variants"), F.min("doc").alias("lo"), F.max("doc").alias("hi")
     )
     conflicts = merged.where("lo <> hi").select("id", "variants")
     if prefer == "raise":
@@ -134,7 +139,10 @@ def merge(bundles: DataFrame, *, prefer: str = "last") -> Merge:
     repeated = per_bundle.where("n > 1").select("bundle_ix", "id", "first_pos")
     second = rows.join(repeated, ["bundle_ix", "id"]).where("pos > first_pos").groupBy("id", "bundle_ix").agg(F.min("pos").alias("pos"))
     seen = second.groupBy("id").agg(F.min(F.struct("bundle_ix", "pos")).alias("seen"))
-    return Merge(merged.select("id", F.col("first" if prefer == "first" else "last").alias("doc")), conflicts, seen.select("id", F.col("seen.bundle_ix").alias("bundle_ix"), F.col("seen.pos").alias("pos")))
+    # The records alone take one aggregation: the preferred bundle's last record.
+    order = F.struct(-F.col("bundle_ix") if prefer == "first" else F.col("bundle_ix"), "pos")
+    records = rows.groupBy("id").agg(F.max_by("doc", order).alias("doc"))
+    return Merge(records, conflicts, seen.select("id", F.col("seen.bundle_ix").alias("bundle_ix"), F.col("seen.pos").alias("pos")))
 
 
 def in_order(duplicates: DataFrame) -> DataFrame:
