@@ -4,8 +4,10 @@ The items are a query set of bounded size, taken in blocks and broadcast; the co
 block and never shuffled. Shared four-word seeds of an item's own wording name the (item, document)
 pairs to look at. Each pair goes through greedy string tiling: the longest common runs of unmarked words,
 found by running Karp-Rabin hashes, are marked as tiles, longest first. Tiles that follow one another in
-both texts are chained into passages; the words between them count as edits. Coverage, the share of the
-item's own words that lie in tiles, doesn't depend on their order.
+both texts are chained into passages; the words between them count as edits. As a tile uses up the words
+of the item for the whole window, an exact banded edit distance around the seeds' diagonals then looks for
+the longest passage at each place of the document. Coverage, the share of the item's own words that lie in
+tiles, doesn't depend on their order.
 """
 
 from __future__ import annotations
@@ -201,6 +203,58 @@ def _ends(a: list[int], b: list[int], own: list[bool], start: int, start_b: int
     return [(s, e, x + y) for s, x in left for e, y in right if all(own[end:e])]
 
 
+def closest(a: list[int], own: list[bool], text: list[int], diagonals: set[int], least: int, per_edit: int = 8) -> tuple[int, int]:
+    """(words, edits) of the longest passage of at least `least` own words that is close enough, else (0, 0).
+
+    Exact for passages that touch one of the `diagonals` (place in text less place in a): the edits of a
+    passage bound how far it can leave them. A passage begins and ends with words that both texts have;
+    what is edited, and the words beside it, are own. Close enough is one edit for every `per_edit` words begun.
+    """
+    far = -(-len(a) // per_edit)
+    bands: list[list[int]] = []
+    for d in sorted(diagonals):
+        if bands and d - bands[-1][0] <= far:
+            bands[-1][1] = d
+        else:
+            bands.append([d, d])
+    none = 1 << 20
+    best = (0, 0)
+    whole = len(a) - own.index(True) - own[::-1].index(True) if any(own) else 0
+    for first, last in bands:
+        if best == (whole, 0):
+            break
+        base, width = first - far, last - first + 2 * far + 1
+        stretch = np.zeros(len(a) + width - 1, np.int64)
+        lo, hi = max(base, 0), min(base + len(stretch), len(text))
+        stretch[lo - base : hi - base] = text[lo:hi]
+        same = np.lib.stride_tricks.sliding_window_view(stretch, width) == np.array(a, np.int64)[:, None]
+        steps = np.arange(width)
+        # Fewest edits per start in a (rows, ascending) and diagonal, when a is used up to word i.
+        cost, starts = np.empty((0, width), np.int64), np.empty(0, np.int64)
+        for i, hit in enumerate(same):
+            new = np.where(hit, cost, none)
+            if own[i]:
+                if hit.any():
+                    new = np.vstack([new, np.where(hit, 0, none)])
+                    starts, cost = np.append(starts, i), np.vstack([cost, np.full(width, none)])
+                n = i + 1 - starts
+                edits = new.min(axis=1, initial=none)
+                ok = np.flatnonzero((n >= least) & (edits <= -(-n // per_edit)))
+                if len(ok):
+                    best = max(best, (int(n[ok[0]]), int(edits[ok[0]])), key=lambda x: (x[0], -x[1]))
+                if 0 < i < len(a) - 1 and own[i - 1] and own[i + 1]:
+                    new = np.minimum(new, cost + 1)
+                    new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+                if i < len(a) - 1 and own[i + 1]:
+                    new = np.minimum.accumulate(new - steps, axis=1) + steps
+            # A later start with no fewer edits can't lead to a longer passage.
+            if len(starts) > 1:
+                new[1:][new[1:] >= np.minimum.accumulate(new, axis=0)[:-1]] = none
+            alive = new.min(axis=1, initial=none) <= far
+            cost, starts = new[alive], starts[alive]
+    return best
+
+
 def _search(items: Items, least: int, shortest: int):
     longest = max(map(len, items.texts.values()), default=0)
 
@@ -217,7 +271,7 @@ def _search(items: Items, least: int, shortest: int):
                 docs.append(doc)
                 starts.append(len(flat))
             ids = np.array(flat, np.uint64)
-            hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             if len(ids) >= SEED and len(items.keys):
                 at = np.flatnonzero((ids[:-3] != 0) & (ids[1:-2] != 0) & (ids[2:-1] != 0) & (ids[3:] != 0))
                 key = ids[at]
@@ -228,8 +282,8 @@ def _search(items: Items, least: int, shortest: int):
                 at, place = at[ok], place[ok]
                 of = np.searchsorted(np.array(starts), at, "right") - 1
                 for p, k, d in zip(at.tolist(), place.tolist(), of.tolist(), strict=True):
-                    for item, _ in items.where[k]:
-                        hits[(item, d)].append(p)
+                    for item, i in items.where[k]:
+                        hits[(item, d)].append((p, i))
             for (item, d), places in hits.items():
                 rows.append((item, docs[d], *_judge(items, item, flat, starts[d], starts[d + 1] - 3, places, longest, least, shortest)))
             columns = list(zip(*rows, strict=True)) or [()] * len(_OUT)
@@ -238,13 +292,13 @@ def _search(items: Items, least: int, shortest: int):
     return search
 
 
-def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, places: list[int], longest: int, least: int, shortest: int) -> tuple[int, int, float]:
+def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, places: list[tuple[int, int]], longest: int, least: int, shortest: int) -> tuple[int, int, float]:
     """Longest passage, its edits and the item's coverage, over the stretches of the document near seeds."""
     a, own = items.texts[item], items.own[item]
     known = set(a)
     best, covered = (0, 0), [False] * len(a)
     spans: list[list[int]] = []
-    for p in sorted(places):
+    for p in sorted({p for p, _ in places}):
         lo, hi = max(start, p - 2 * longest), min(stop, p + SEED + 2 * longest)
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(hi, spans[-1][1])
@@ -259,6 +313,8 @@ def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, plac
             best = max(best, passage(a, b, found, own, least), key=lambda x: (x[0] >= least, x[0], -x[1]))
             for i, _, n in found:
                 covered[i : i + n] = [True] * n
+    # The diagonals of seeds, over the whole document: what one quote uses up another still has.
+    best = max(best, closest(a, own, flat[start:stop], {p - start - i for p, i in places}, least), key=lambda x: (x[0] >= least, x[0], -x[1]))
     mine = sum(own)
     return best[0], best[1], sum(c and o for c, o in zip(covered, own, strict=True)) / mine if mine else 0.0
 

@@ -128,6 +128,46 @@ def test_leaks_own_wording_only(spark):
     assert found(spark, [(1, None, 0), (None, header, 0), (2, "too short", 0)], texts) == []
 
 
+def test_one_quote_does_not_use_up_the_words_of_another(spark):
+    w = item_words(30, "q")
+    edited = w[:24]
+    edited[6], edited[15] = "other", "words"
+    texts = [(1, " ".join(w[7:18] + ["and"] * 3 + edited)), (2, " ".join(edited + ["and"] * 3 + w[7:18])), (3, " ".join(w[7:18] + ["and"] * 3 + w[7:18]))]
+    assert found(spark, [(1, " ".join(w), 0)], texts) == [(1, 1), (1, 2)]
+
+
+def longest_passage(a, b, least):
+    """By full edit distances of every stretch of a to every stretch of b that begin and end alike."""
+    best = (0, 0)
+    for s, t in itertools.product(range(len(a)), range(len(b))):
+        if a[s] == b[t]:
+            row = [None] * (t + 1) + list(range(len(b) - t))
+            for i in range(s + 1, len(a)):
+                new = [None] * (t + 1) + [i - s]
+                for j in range(t + 2, len(b) + 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a[i] != b[j - 1])))
+                    n = i - s + 1
+                    if a[i] == b[j - 1] and n >= least and row[j - 1] <= -(-n // 8):
+                        best = max(best, (n, row[j - 1]), key=lambda x: (x[0], -x[1]))
+                row = new
+    return best
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_closest_passage_against_brute_force(seed):
+    rng = random.Random(seed)
+    a = [rng.randrange(1, rng.choice([6, 200])) for _ in range(rng.randrange(15, 30))]
+    b = [0] * rng.randrange(4)
+    for _ in range(2):
+        part = a[rng.randrange(6) :][: rng.randrange(8, 30)]
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(1, len(part)), rng.randrange(3)
+            part[at : at + (kind != 1)] = [] if kind == 0 else [0]
+        b += part + [0] * rng.randrange(3)
+    seeds = {j - i for i in range(len(a) - 3) for j in range(len(b) - 3) if a[i : i + 4] == b[j : j + 4]}
+    assert leakage.closest(a, [True] * len(a), b, seeds, 15) == longest_passage(a, b, 15)
+
+
 def test_coverage_ignores_order(spark):
     w = item_words(24, "k")
     it = spark.createDataFrame([(1, " ".join(w), 0)], "item_id long, text string, doc_id long")
