@@ -11,6 +11,7 @@ into one projection per file, under which all files of a kind come out as one ta
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pandas as pd
@@ -212,32 +213,72 @@ def _scripts(compared: DataFrame, evidence: DataFrame) -> DataFrame:
     return both.groupBy(bucket.alias("bucket")).applyInPandas(edit, "feed string, file string, change_kind string, old_field string, new_field string")
 
 
-def canonical_names(scripts: DataFrame, files: DataFrame) -> DataFrame:
+def canonical_names(scripts: DataFrame, files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """(feed, file, field, name): the compiled projections. `name` is what the feed called the field first.
 
     `files` has feed, file and its number `ix` in the feed. Only fields that a rename has touched are
-    listed; all others keep their name. A removal or addition ends or begins a chain of renames.
+    listed; all others keep their name. A removal or addition ends or begins a chain of renames. A field
+    that is added under the canonical name of another one that lives gets a name of its own, `name_2` or the
+    next that is free: no name of `taken` (feed, field) or of the scripts, so that no later field has it.
+    Members follow the field that holds them.
     """
-    renames = scripts.where("change_kind = 'renamed'").join(files, ["feed", "file"]).select("feed", "ix", "old_field", "new_field")
-    ends = scripts.where("change_kind = 'removed'").join(files, ["feed", "file"]).select("feed", "ix", F.col("old_field"), F.lit("").alias("new_field"))
+    # Feeds without a rename need no projection.
+    kinds = scripts.where("change_kind in ('renamed', 'removed', 'added')").join(scripts.where("change_kind = 'renamed'").select("feed").distinct(), "feed", "left_semi")
+    kinds = kinds.join(files, ["feed", "file"]).select("feed", "ix", "old_field", "new_field")
+    avoid = scripts.select("feed", F.explode(F.array("old_field", "new_field")).alias("field"))
+    avoid = (avoid if taken is None else avoid.unionByName(taken.select("feed", "field"))).select(F.col("feed").alias("of"), "field").distinct()
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(pdf: pd.DataFrame, reserved: pd.DataFrame) -> pd.DataFrame:
         names: dict[str, str] = {}
-        out, first = [], pdf["feed"].iloc[0]
+        out, avoided = [], set(reserved["field"])
+        first = pdf["feed"].iloc[0] if len(pdf) else None
         steps: dict[int, list] = {}
         for ix, old, new in zip(pdf["ix"], pdf["old_field"], pdf["new_field"], strict=True):
             steps.setdefault(int(ix), []).append((old, new))
         for ix in sorted(steps):
-            moved = {}
+            moved, before = {}, dict(names)
             for old, new in steps[ix]:
-                name = names.pop(old, old)
-                if new:
-                    moved[new] = name
+                if old:
+                    name = names.pop(old, old)
+                    # An entry of a member has the holder's name of the file on both sides.
+                    members = {m: names.pop(m) for m in [m for m, inner in names.items() if m.startswith(f"{old}.") and inner.startswith(f"{old}.")]}
+                    if new:
+                        moved[new] = name
+                        moved |= {new + m[len(old) :]: new + inner[len(old) :] for m, inner in members.items()}
             names |= {new: name for new, name in moved.items() if new != name}
-            out += [(first, ix, new, name) for new, name in names.items()] or [(first, ix, None, None)]
+            for new in sorted(new for old, new in steps[ix] if not old):
+                if new in (used := set(names.values())):
+                    names[new] = next(n for n in (f"{new}_{k}" for k in itertools.count(2)) if n not in used and n not in avoided)
+            # The projection before goes on where a file only adds.
+            if names != before or any(old for old, _ in steps[ix]):
+                out += [(first, ix, new, name) for new, name in names.items()] or [(first, ix, None, None)]
         return pd.DataFrame(out, columns=["feed", "ix", "field", "name"])
 
-    return renames.unionByName(ends).groupBy("feed").applyInPandas(compose, "feed string, ix int, field string, name string")
+    return kinds.groupBy("feed").cogroup(avoid.groupBy("of")).applyInPandas(compose, "feed string, ix int, field string, name string")
+
+
+def _names_return(scripts: DataFrame) -> bool:
+    """Whether some field is added under a name, within its object, that a rename has left."""
+    inner = lambda c: F.element_at(F.split(c, r"\."), -1).alias("inner")
+    left = scripts.where("change_kind = 'renamed'").select("feed", inner("old_field")).distinct()
+    return not scripts.where("change_kind = 'added'").select("feed", inner("new_field")).join(left, ["feed", "inner"]).isEmpty()
+
+
+def _projected(value: dict, names: dict[str, str], path: str = "") -> dict:
+    """An object's fields under their canonical names, which never take the place of another field.
+
+    Under a retyped field members come and go without an edit, so a name of theirs may be in use; the field
+    keeps its own then.
+    """
+    target = {m: n[len(path) :] if (n := names.get(path + m, "")).startswith(path) and n else m for m in value}
+    plain = {m for m, n in target.items() if m == n}
+    out: dict = {}
+    for m, v in value.items():
+        name = target[m] if m in plain or target[m] not in plain and target[m] not in out else m
+        while name in out or (name in plain and name != m):
+            name += "_2"
+        out[name] = v
+    return out
 
 
 def _renamed(batches):
@@ -255,12 +296,7 @@ def _renamed(batches):
                 ids.append(None)
                 continue
             names = dict(names or ())
-            out = {}
-            for field, value in record.items():
-                name = names.get(field, field)
-                if isinstance(value, dict):
-                    value = {names.get(f"{field}.{m}", f"{name}.{m}").rpartition(".")[2] if f"{field}.{m}" in names else m: v for m, v in value.items()}
-                out[name] = value
+            out = _projected({f: _projected(v, names, f"{f}.") if isinstance(v, dict) else v for f, v in record.items()}, names)
             docs.append(json.dumps(out, ensure_ascii=True))
             ids.append(out["id"] if isinstance(out.get("id"), str) else None)
         kept = batch.drop_columns(["doc", "names"]) if hasattr(batch, "drop_columns") else batch.select([n for n in batch.schema.names if n not in ("doc", "names")])
@@ -275,14 +311,21 @@ MOST_FIELDS = 10_000
 def unify(lines: DataFrame, scripts: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str) -> DataFrame:
     """One table of all records: (source_feed, source_file, source_line, id, and each field under its canonical name).
 
-    Each file's projection is composed from the scripts up to it. Scalars come out as text, arrays and
+    Each file's projection is composed from the scripts up to it; no two fields of a record share a name in
+    it, so a new field under the name that a renamed one keeps comes out as `name_2`. Scalars come out as text, arrays and
     objects as JSON text, absent fields as null; a record's own fields that clash with the four leading
     columns get the prefix `field_`. Repeated lines come out once; lines that are no JSON object not at all.
     """
     rows = lines.select(F.coalesce(F.col(feed).cast("string"), F.lit("")).alias("feed"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(exported).alias("exported"), F.col(line).cast("bigint").alias("line"), F.col(doc).alias("doc"))
     order = Window.partitionBy("feed").orderBy("exported", "file")
     files = cut(rows.groupBy("feed", "file").agg(F.min("exported").alias("exported")).withColumn("ix", F.row_number().over(order)).select("feed", "file", "ix"))
-    steps = canonical_names(scripts, files).groupBy("feed", "ix").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("field", "name")), lambda x: x["field"].isNotNull())).alias("step"))
+    scripts = cut(scripts)
+    # What a field of its own may not be called is only read where a name comes back.
+    taken = None
+    if _names_return(scripts):
+        taken = rows.select("feed", "file", "doc").mapInArrow(_fields_of("id", frozenset()), _FIELD_DDL)
+        taken = taken.select("feed", F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name")).alias("field"))
+    steps = canonical_names(scripts, files, taken).groupBy("feed", "ix").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("field", "name")), lambda x: x["field"].isNotNull())).alias("step"))
     filled = Window.partitionBy("feed").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     projections = files.join(steps, ["feed", "ix"], "left").select("feed", "file", F.last("step", ignorenulls=True).over(filled).alias("names"))
     once = rows.select("feed", "file", "line", "doc").distinct().join(projections, ["feed", "file"])

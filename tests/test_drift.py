@@ -4,7 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
-from mnemolith.operators.drift import canonical_names, drift, edit_script, matching
+from mnemolith.operators.drift import canonical_names, drift, edit_script, matching, unify
 from tests.helpers import rows
 
 T0 = datetime(2025, 1, 1)
@@ -88,3 +88,34 @@ def test_projection_follows_chains_of_renames(spark):
     scripts = spark.createDataFrame([("f", "2", "renamed", "a", "b"), ("f", "3", "renamed", "b", "c"), ("f", "4", "removed", "c", ""), ("f", "5", "added", "", "c")], "feed string, file string, change_kind string, old_field string, new_field string")
     files = spark.createDataFrame([("f", str(i), i) for i in range(1, 6)], "feed string, file string, ix int")
     assert rows(canonical_names(scripts, files)) == [("f", 2, "b", "a"), ("f", 3, "c", "a"), ("f", 4, None, None)]
+
+
+def unified(spark, data, *columns):
+    df, names = spark.createDataFrame(data, DDL), {"feed": "feed", "file": "file", "exported": "exported", "line": "line", "doc": "doc"}
+    return rows(unify(df, drift(df, **names), **names), "source_file", *columns)
+
+
+def test_a_new_field_never_takes_the_place_of_a_renamed_one(spark):
+    # a becomes b, then a new a is added and goes and comes back; a_2 is a field of its own all along.
+    data = lines("1", 0, [{"id": "1", "a": 1, "a_2": 7}]) + lines("2", 1, [{"id": "1", "b": 1, "a_2": 7}]) + lines("3", 2, [{"id": "1", "b": 1, "a": 2, "a_2": 7}])
+    data += lines("4", 3, [{"id": "1", "b": 1, "a_2": 7}]) + lines("5", 4, [{"id": "1", "a": 3, "b": 1, "a_2": 7}])
+    want = [("1", "1", "7", None), ("2", "1", "7", None), ("3", "1", "7", "2"), ("4", "1", "7", None), ("5", "1", "7", "3")]
+    assert unified(spark, data, "a", "a_2", "a_3") == want
+
+
+def test_a_new_member_never_takes_the_place_of_a_renamed_one(spark):
+    stages = [{"o": {"m": 1}}, {"o": {"w": 1}}, {"o": {"w": 1, "m": 2}}, {"p": {"w": 1, "m": 2}}, {"p": {"w": 1, "m": 2}, "o": {"w": 5, "m": 6}}]
+    data = [x for i, s in enumerate(stages) for x in lines(str(i), i, [{"id": "1", **s}])]
+    got = [(f, json.loads(o), o2 and json.loads(o2)) for f, o, o2 in unified(spark, data, "o", "o_2")]
+    assert got == [("0", {"m": 1}, None), ("1", {"m": 1}, None), *[(f, {"m": 1, "m_2": 2}, None) for f in "23"], ("4", {"m": 1, "m_2": 2}, {"w": 5, "m": 6})]
+
+
+def test_members_of_a_retyped_field_keep_their_values(spark):
+    stages = [{"o": {"m": 1}}, {"o": {"w": 1}}, {"o": "text"}, {"o": {"w": 3, "m": 4}}]
+    data = [x for i, s in enumerate(stages) for x in lines(str(i), i, [{"id": "1", **s}])]
+    assert json.loads(unified(spark, data, "o")[3][1]) == {"w": 3, "m": 4}
+
+
+def test_a_rename_back_goes_on_with_its_column(spark):
+    data = lines("1", 0, [{"id": "1", "a": 1}]) + lines("2", 1, [{"id": "1", "b": 1}]) + lines("3", 2, [{"id": "1", "a": 1}])
+    assert unified(spark, data, "a") == [("1", "1"), ("2", "1"), ("3", "1")]
