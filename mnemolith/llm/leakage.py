@@ -144,7 +144,8 @@ def passage(a: list[int], b: list[int], found: list[tuple[int, int, int]], own:
     """(words, edits) of the longest passage of own wording that is close enough, else of the longest one.
 
     A passage is a chain of tiles in the order of both texts with at most `gap` words between two, and, at
-    its ends, single words beyond an edit. Close enough is one edit for every `per_edit` words begun.
+    its ends, single words beyond an edit. Close enough is one edit for every `per_edit` words begun. Edits
+    that leave no tile between them are beyond it: `closest` has no such limits.
     """
     best = (False, 0, 0)
     at = sorted(found)

@@ -136,6 +136,14 @@ def test_one_quote_does_not_use_up_the_words_of_another(spark):
     assert found(spark, [(1, " ".join(w), 0)], texts) == [(1, 1), (1, 2)]
 
 
+def test_edits_that_cluster_are_found_as_well(spark):
+    w = item_words(24, "c")
+    swap = lambda n, *at: " ".join("other" if i + 1 in at else x for i, x in enumerate(w[:n]))
+    texts = [(1, swap(15, 3, 6)), (2, swap(24, 9, 11, 13)), (3, swap(15, 3, 6, 9)), (4, swap(14, 3, 6))]
+    # One edit for every eight words begun: two in 15, three in 24.
+    assert found(spark, [(1, swap(24), 0)], texts) == [(1, 1), (1, 2)]
+
+
 def longest_passage(a, b, least):
     """By full edit distances of every stretch of a to every stretch of b that begin and end alike."""
     best = (0, 0)
