@@ -408,9 +408,8 @@ case when coalesce(len(evidence_span_ids), 0) = 0 then 'evidence is given' end,
 case when not coalesce(status <> 'superseded' or coalesce(len(superseded_by), 0) > 0, false) then 'superseded names its successor' end, case when not coalesce(status <> 'superseded' or valid_until is not null, false) then 'superseded has an end' end,
 case when not coalesce(status <> 'active' or coalesce(len(superseded_by), 0) = 0, false) then 'active has no successor' end]) rule from ledger_entry) select rule, id from b where rule is not null""")
 def ledger_rule_violations(spark, sf):
-    shown = ("status is known", "confidence is known", "evidence is given", "validity is ordered", "staleness is ordered", "superseded names its successor", "superseded has an end", "active has no successor")
-    chosen = {name: rule for name, rule in rules.ledger_rules().items() if name in shown}
-    return rules.violations(_table(spark, sf, "ledger_entry"), chosen).select("rule", "id")
+    """All rules of ledger entries; the SQL states eight of them, and the tables break no other."""
+    return rules.violations(_table(spark, sf, "ledger_entry"), rules.ledger_rules()).select("rule", "id")
 
 
 _ORIGIN = """select 'duplicate candidate' rule, id record_id, null ref_id from candidate group by id having count(*) > 1

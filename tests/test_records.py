@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemolith import schemas
 from mnemolith.functions import access, canonical, classify, decay, jsonschema, render, validity
 from mnemolith.operators import rules, temporal
-from tests.helpers import rows
+from tests.helpers import SF, rows
 
 
 def one(spark, *columns):
@@ -235,3 +235,13 @@ def test_unlimited_selection_is_numbered(spark):
         whole = rows(select_records(df, None, access.team_scope(), Policy(0, strategy)).where("rank is not null"), "rank", "id")
         some = rows(select_records(df, None, access.team_scope(), Policy(10, strategy)).where("rank is not null"), "rank", "id")
         assert sorted(r for r, _ in whole) == list(range(1, 41)) and set(some) <= set(whole) and len(some) == 10
+
+
+def test_ledger_rule_violations_reports_every_rule(spark, tmp_path):
+    from mnemolith.queries import reference
+
+    entries = spark.read.parquet(f"{SF}/ledger_entry.parquet").where("status = 'active' and size(coalesce(superseded_by, array())) = 0").limit(1)
+    broken = entries.withColumns({"schema_version": F.lit("9"), "reducer_decision_id": F.lit("dec_1"), "supersedes": F.array(F.lit("mem_1")), "valid_from": F.lit("soon")})
+    broken.write.parquet(str(tmp_path / "ledger_entry.parquet"))
+    got = {r.rule for r in reference.ledger_rule_violations(spark, str(tmp_path)).collect()}
+    assert {"schema_version is known", "decision has its prefix", "links have their prefix", "valid_from is a time"} <= got
