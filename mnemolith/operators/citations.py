@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,13 +54,15 @@ def in_degree(g: Graph) -> DataFrame:
 
 
 def supported(g: Graph) -> DataFrame:
-    """Ids of claims from which a path leads to a source."""
-    of_kind = lambda k: g.nodes.where(F.col("kind") == k).select("id")
-    cites = g.edges.where("relation = 'cites'")
-    sources = of_kind("source")
-    derived = g.edges.where("relation = 'derives_from'").join(sources.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("to_id"))
-    grounded = derived.unionByName(sources.withColumnRenamed("id", "to_id")).distinct()
-    return cites.join(grounded, "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
+    """Ids of claims from which a path leads to a source, over however many edges."""
+    steps = g.edges.select("from_id", "to_id").distinct()
+    front = cut(g.nodes.where("kind = 'source'").select("id"))
+    seen = front
+    while not front.isEmpty():
+        front = steps.join(front.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
+        front = cut(front.join(seen, "id", "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return seen.join(g.nodes.where("kind = 'claim'").select("id"), "id", "left_semi")
 
 
 def unsupported_claims(g: Graph, claim: Column | None = None) -> DataFrame:
@@ -72,14 +75,14 @@ def unused_sources(g: Graph, source: Column | None = None) -> DataFrame:
     return g.nodes.where(F.col("kind") == "source" if source is None else source).join(g.edges.select(F.col("to_id").alias("id")), "id", "left_anti").select("id")
 
 
-def paths(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int = 2) -> DataFrame:
+def paths(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
     """(start_id, path, relations, end_kind) from each start (id): walks along edges that end at a node
-    without further edges, or after `max_depth`.
+    without further edges, or after `max_depth` edges (None: however many).
 
     `direction` is forward (to sources), backward or both. A walk doesn't visit a node twice. Start ids that
     are no nodes give nothing.
     """
-    if max_depth < 0:
+    if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth must not be negative")
     ahead = g.edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next"), "relation")
     back = g.edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("next"), "relation")
@@ -87,18 +90,22 @@ def paths(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth:
     if steps is None:
         raise ValueError(f"unknown direction: {direction!r}")
     front = starts.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi").select(F.col("id").alias("start_id"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("relations"))
+    # A walk is no longer than the nodes are many, so it ends.
     done = None
-    for depth in range(max_depth + 1):
-        ended = front
-        if depth < max_depth:
+    for depth in itertools.count():
+        ended, more = front, max_depth is None or depth < max_depth
+        if more:
             grown = front.join(steps, "at").where(~F.array_contains("path", F.col("next")))
             ended = front.join(grown.select("start_id", "path").distinct(), ["start_id", "path"], "left_anti")
             front = grown.select("start_id", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("relations", F.col("relation")).alias("relations"))
+            front = cut(front)
         done = ended.select("start_id", "at", "path", "relations") if done is None else done.unionByName(ended.select("start_id", "at", "path", "relations"))
+        if not more or front.isEmpty():
+            break
     return done.join(g.nodes.select(F.col("id").alias("at"), F.col("kind").alias("end_kind")), "at").select("start_id", "path", "relations", "end_kind")
 
 
-def reached(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int = 2) -> DataFrame:
+def reached(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
     """(start_id, id): where the walks from each start end; backward gives predecessors, forward descendants."""
     found = paths(g, starts, direction=direction, max_depth=max_depth)
     return found.select("start_id", F.element_at("path", -1).alias("id")).distinct()
@@ -109,7 +116,7 @@ def nodes_named(g: Graph, ids: DataFrame) -> DataFrame:
     return g.nodes.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def shortest_paths(g: Graph, pairs: DataFrame, *, max_depth: int = 8) -> DataFrame:
+def shortest_paths(g: Graph, pairs: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(source_id, target_id, path) along edges, the least by ids among equally short ones; no row if none.
 
     `pairs` has source_id and target_id; a node is its own path. The frontier keeps one path per (pair, node).
@@ -119,7 +126,7 @@ def shortest_paths(g: Graph, pairs: DataFrame, *, max_depth: int = 8) -> DataFra
     pairs = pairs.select("source_id", "target_id").distinct().join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     front = cut(pairs.select("source_id", "target_id", F.col("source_id").alias("at"), F.array("source_id").alias("path")))
     seen, found = front.select("source_id", "target_id", "at"), front.where("at = target_id")
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         front = front.where("at <> target_id").join(steps, "at").groupBy("source_id", "target_id", "next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
         front = cut(front.withColumnRenamed("next", "at").join(seen, ["source_id", "target_id", "at"], "left_anti").join(found.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti"))
         if front.isEmpty():

@@ -41,6 +41,17 @@ def test_linear_diamond_and_disconnected(spark):
     assert ids(citations.cycles(g)) == []
 
 
+def test_claims_that_cite_claims_reach_their_sources(spark):
+    chain = [(f"c{i}", [f"c{i + 1}"]) for i in range(9)] + [("c9", ["e"])]
+    g = graph(spark, ["s"], [("e", "s")], [*chain, ("x", ["y"]), ("y", ["x"])])
+    assert ids(citations.unsupported_claims(g)) == ["x", "y"]
+    whole = [*[f"c{i}" for i in range(10)], "e", "s"]
+    start = g.nodes.where("id = 'c0'")
+    assert rows(citations.paths(g, start), "path") == [(whole,)] and rows(citations.reached(g, start)) == [("c0", "s")]
+    pairs = spark.createDataFrame([("c0", "s")], "source_id string, target_id string")
+    assert rows(citations.shortest_paths(g, pairs), "path") == [(whole,)]
+
+
 def test_cycles_and_empty(spark):
     g = graph(spark, [], [], [("a", ["b"]), ("b", ["c"]), ("c", ["a"]), ("tail", ["a"]), ("self", ["self"])])
     assert ids(citations.cycles(g)) == ["a", "b", "c", "self"]
