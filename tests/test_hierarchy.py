@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from mnemolith.operators.hierarchy import descendants, hierarchy, links
 from tests.helpers import rows
 
@@ -21,9 +23,9 @@ def brute(edges):
     return out
 
 
-def check(spark, edges):
+def check(spark, edges, **options):
     want = brute(edges)
-    tree = hierarchy(spark.createDataFrame(edges, "parent string, child string"), paths=True).cache()
+    tree = hierarchy(spark.createDataFrame(edges, "parent string, child string"), paths=True, **options).cache()
     got = {r.id: r for r in tree.collect()}
     assert got.keys() == want.keys()
     below = {n: sum(p is not None and n in p[:-1] for p in want.values()) for n in want}
@@ -55,3 +57,16 @@ def test_links_need_both_ends(spark):
     data = [("a", None, ["b", "gone", None]), ("b", ["a"], None), ("c", ["a"], []), ("c", ["a"], []), (None, ["a"], ["b"])]
     nodes = spark.createDataFrame(data, "id string, supersedes array<string>, superseded_by array<string>")
     assert rows(links(nodes, key="id", parents="supersedes", children="superseded_by")) == [("a", "b"), ("a", "c")]
+
+
+@pytest.mark.parametrize("local_rows", [0, 25])
+def test_rounds_over_the_cluster(spark, local_rows):
+    rng = random.Random(8)
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 50) if rng.random() < 0.9]
+    edges += [("c7", "n0"), ("l1", "l2"), ("l2", "l3"), ("l3", "l1"), ("l3", "d1"), ("d1", "d2"), ("d1", "d3"), ("self", "self"), ("self", "e1"), ("a", "b"), ("b", "a")]
+    check(spark, edges, local_rows=local_rows)
+
+
+def test_peeling_agrees_with_depths_and_paths_left_out(spark):
+    edges = spark.createDataFrame([("r", "x"), ("x", "y"), ("x", "z"), ("o", "o")], "parent string, child string")
+    assert rows(hierarchy(edges, local_rows=0)) == [("o", "", -1, None), ("r", "r", 0, 3), ("x", "r", 1, 2), ("y", "r", 2, 0), ("z", "r", 2, 0)]
