@@ -30,21 +30,22 @@ def brute(events, changes):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("blocks", [1, 4, 16])
-def test_against_brute_force_with_a_hot_entity(spark, blocks):
-    rng = random.Random(blocks)
+@pytest.mark.parametrize("rows_per_block", [5, 60, 10_000])
+def test_against_brute_force_with_a_hot_entity(spark, rows_per_block):
+    rng = random.Random(rows_per_block)
     when = lambda: T0 + timedelta(hours=rng.randrange(60))
     entity = lambda: "hot" if rng.random() < 0.4 else f"e{rng.randrange(6)}"
     events = [(i, entity(), when(), "other") for i in range(120)]
     changes = [(entity(), when(), when(), rng.choice(["a", "b", None]), 1) for _ in range(150)]
     changes += changes[:20]
-    assert run(spark, events, changes, blocks=blocks, groups=5) == brute(events, changes)
+    assert run(spark, events, changes, rows_per_block=rows_per_block) == brute(events, changes)
 
 
-def test_crowded_instant_is_dealt_out(spark):
+def test_crowded_instants_are_one_row_each(spark):
     events = [(i, "hot", T0, "") for i in range(50)] + [(99, "cold", T0, "")]
     changes = [("hot", T0, T0, "v", 0), ("cold", T0, T0 - timedelta(hours=1), "w", 0)]
-    assert run(spark, events, changes, most_events=7, groups=9) == brute(events, changes)
+    changes += [("hot", T0 - timedelta(days=i), T0, f"v{i}", 0) for i in range(60)]
+    assert run(spark, events, changes, rows_per_block=3) == brute(events, changes)
 
 
 def test_clashing_names(spark):
