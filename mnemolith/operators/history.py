@@ -1,9 +1,9 @@
 """History of changing entity attributes (problem 4).
 
-Every export is a Merkle tree over hash buckets of the key: leaf digests are one aggregation, upper
-levels aggregations of few rows. Consecutive exports are compared level by level, going down only where
-digests differ; rows are read and compared in changed leaves alone, and what changed there opens, closes
-or replaces versions.
+Every export is a Merkle tree over hash buckets of the key. One aggregation puts the digests of a leaf at
+two consecutive exports side by side, and upper levels combine those few rows. From the root down only the
+branches below differing nodes are compared; rows are read and compared in changed leaves alone, and what
+changed there opens, closes or replaces versions.
 """
 
 from __future__ import annotations
@@ -32,15 +32,33 @@ def _same(name: str, kind: str) -> Column:
     return clean
 
 
-def _compare(nodes: DataFrame, parents: DataFrame | None) -> DataFrame:
-    """(at, node) whose digest at export `at` differs from that at export `at - 1`, below changed parents."""
-    digest = F.struct("rows", "x", "y")
-    both = nodes.select(F.col("no").alias("at"), "node", digest.alias("now"), F.lit(None).cast("struct<rows:bigint,x:bigint,y:bigint>").alias("was")).unionByName(
-        nodes.select((F.col("no") + 1).alias("at"), "node", F.lit(None).cast("struct<rows:bigint,x:bigint,y:bigint>").alias("now"), digest.alias("was"))
-    )
-    if parents is not None:
-        both = both.withColumn("parent", F.shiftright("node", _FAN_BITS)).join(parents.select("at", F.col("node").alias("parent")), ["at", "parent"], "left_semi")
-    return both.groupBy("at", "node").agg(F.max("now").alias("now"), F.max("was").alias("was")).where(~F.col("now").eqNullSafe(F.col("was"))).select("at", "node")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(at, node, now, was): digests of each leaf at export `at` and at the one before, in one aggregation."""
+    here = F.struct(F.lit(1).cast("bigint").alias("rows"), F.xxhash64("key", "sig").alias("x"), F.xxhash64("sig", "key", F.lit(1)).alias("y"))
+    # Every row is part of two comparisons: of its own export and of the next one.
+    both = rows.select("leaf", here.alias("h"), F.explode(F.array(F.struct(F.col("no").alias("at"), F.lit(True).alias("now")), F.struct((F.col("no") + 1).alias("at"), F.lit(False).alias("now")))).alias("p"))
+    digest = lambda side: F.struct(*[f(F.when(F.col("p.now") == F.lit(side), F.col(f"h.{c}"))).alias(c) for c, f in (("rows", F.sum), ("x", F.bit_xor), ("y", F.bit_xor))])
+    return both.groupBy(F.col("p.at").alias("at"), F.col("leaf").alias("node")).agg(digest(True).alias("now"), digest(False).alias("was"))
+
+
+def _parents(pairs: DataFrame) -> DataFrame:
+    """The level above: digests combine as those of rows did."""
+    combined = lambda side: F.struct(F.sum(f"{side}.rows").alias("rows"), F.bit_xor(f"{side}.x").alias("x"), F.bit_xor(f"{side}.y").alias("y"))
+    return pairs.groupBy("at", F.shiftright("node", _FAN_BITS).alias("node")).agg(combined("now").alias("now"), combined("was").alias("was"))
+
+
+def _changed_leaves(rows: DataFrame, levels: int) -> DataFrame:
+    """(at, leaf) whose digest at export `at` differs from that at `at - 1`: down the tree, below changed nodes only."""
+    tree = [cut(_pairs(rows))]
+    for _ in range(levels):
+        tree.append(_parents(tree[-1]))
+    changed = None
+    for pairs in reversed(tree):
+        differing = pairs.where(~F.col("now").eqNullSafe(F.col("was")))
+        if changed is not None:
+            differing = differing.join(changed.select("at", F.col("node").alias("parent")), (differing["at"] == changed["at"]) & (F.shiftright(differing["node"], _FAN_BITS) == F.col("parent")), "left_semi")
+        changed = differing.select(F.col("at").alias("at"), F.col("node").alias("node"))
+    return changed.withColumnRenamed("node", "leaf")
 
 
 def version_history(
@@ -66,28 +84,16 @@ def version_history(
     size = rows.agg(F.count("*"), F.approx_count_distinct("no")).first()
     levels = min(7, max(1, math.ceil(math.log(max(2, size[0] / max(1, size[1]) / rows_per_leaf), 1 << _FAN_BITS))))
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64("key"), F.lit(1 << _FAN_BITS * levels)))
+    changed = _changed_leaves(rows, levels)
 
-    tree = [
-        rows.groupBy("no", F.col("leaf").alias("node")).agg(
-            F.count("*").alias("rows"), F.bit_xor(F.xxhash64("key", "sig")).alias("x"), F.bit_xor(F.xxhash64("sig", "key", F.lit(1))).alias("y")
-        )
-    ]
-    tree[0] = cut(tree[0])
-    for _ in range(levels):
-        tree.append(
-            tree[-1].groupBy("no", F.shiftright("node", _FAN_BITS).alias("node")).agg(F.sum("rows").alias("rows"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-        )
-    changed = None
-    for nodes in reversed(tree):
-        changed = _compare(nodes, changed)
-    changed = changed.withColumnRenamed("node", "leaf")
-
-    nothing = F.lit(None).cast("string")
-    both = rows.select("key", F.col("no").alias("at"), "leaf", F.col("sig").alias("now"), nothing.alias("was")).unionByName(
-        rows.select("key", (F.col("no") + 1).alias("at"), "leaf", nothing.alias("now"), F.col("sig").alias("was"))
-    )
+    # A changed leaf is read at two exports; a leaf of an export may be wanted as what is and as what was.
+    wanted = changed.select("leaf", F.explode(F.array(F.struct(F.col("at").alias("no"), F.lit(0).alias("ahead")), F.struct((F.col("at") - 1).alias("no"), F.lit(1).alias("ahead")))).alias("w")).select("leaf", "w.*")
+    wanted = wanted.groupBy("leaf", "no").agg(F.collect_set("ahead").alias("ahead"))
+    read = rows.join(wanted, ["leaf", "no"]).select("key", "sig", "no", F.explode("ahead").alias("ahead"))
     moved = (
-        both.join(changed, ["at", "leaf"], "left_semi")
+        read.select("key", (F.col("no") + F.col("ahead")).alias("at"), F.when(F.col("ahead") == 0, F.col("sig")).alias("now"), F.when(F.col("ahead") == 1, F.col("sig")).alias("was"))
+        # By key alone, so that both aggregations below do with this one exchange.
+        .repartition("key")
         .groupBy("key", "at")
         .agg(F.max("now").alias("now"), F.max("was").alias("was"))
         .where(~F.col("now").eqNullSafe(F.col("was")))
