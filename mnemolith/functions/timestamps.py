@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
-from decimal import Decimal
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 # Zone abbreviations and their offsets from UTC in minutes. Several offsets are several readings.
 ABBREVIATIONS = {
@@ -25,7 +24,10 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 YEARS = (2024, 2025)
 
 _EPOCH = datetime(1970, 1, 1)
-_UNITS = (("s", Decimal(10) ** 6), ("ms", Decimal(10) ** 3), ("us", Decimal(1)), ("ns", Decimal(10) ** -3))
+#: No zone name comes near this length.
+_LONGEST_NAME = 100
+#: Units of a bare number, by the power of ten that takes them to microseconds.
+_UNITS = (("s", 6), ("ms", 3), ("us", 0), ("ns", -3))
 _FROM = int((datetime(YEARS[0], 1, 1) - _EPOCH).total_seconds()) * 10**6
 _UNTIL = int((datetime(YEARS[1] + 1, 1, 1) - _EPOCH).total_seconds()) * 10**6
 
@@ -46,25 +48,37 @@ _FORMATS = tuple(
         ("ctime", _WEEKDAY + _MONTH + r"\s+(?P<d>\d{1,2})\s+" + _TIME + r"(?P<zone>(?:\s+[a-z]+)?)\s+(?P<y>\d{4})"),
     )
 )
-_NUMBER = re.compile(r"[+-]?\d+(?:\.\d*)?\Z")
+_NUMBER = re.compile(r"([+-]?)0*(\d+)(?:\.(\d*))?\Z")
 _OFFSET = re.compile(r"(?:utc|gmt)?\s*([+-])(\d{1,2})(?::?(\d{2}))?(?::?00)?\s*(?:\[(.+)\]|\((.+)\))?\Z")
 
 
+@lru_cache(maxsize=1)
+def _names() -> dict[str, str]:
+    """All IANA names by their lower-case form."""
+    return {name.lower(): name for name in sorted(available_timezones())}
+
+
 @lru_cache(maxsize=1024)
+def _known_zone(lowered: str):
+    name = _names().get(lowered)
+    return ZoneInfo(name) if name else None
+
+
 def _zone(name: str):
     """The zone of an IANA name in any letter case, or None."""
-    for spelling in (name, "/".join("_".join(p.capitalize() if p not in ("of", "and") else p for p in part.split("_")) for part in name.split("/")), name.upper()):
-        try:
-            return ZoneInfo(spelling)
-        except (KeyError, ValueError, OSError):
-            continue
-    return None
+    name = name.strip()
+    return _known_zone(name.lower()) if len(name) <= _LONGEST_NAME else None
 
 
-@lru_cache(maxsize=4096)
 def _zones(text: str) -> tuple | None:
     """The zones that a suffix can mean: () for none given, None if it is no zone."""
     text = text.strip()
+    # Whatever its length a suffix is judged; only the short ones, which repeat, are worth remembering.
+    return _zones_of(text) if len(text) <= _LONGEST_NAME else _zones_of.__wrapped__(text)
+
+
+@lru_cache(maxsize=4096)
+def _zones_of(text: str) -> tuple | None:
     if not text:
         return ()
     if found := _OFFSET.match(text):
@@ -87,6 +101,20 @@ def _micros(local: datetime, zone, fraction: str | None) -> int:
     return (span.days * 86400 + span.seconds) * 10**6 + int((fraction or "0")[:6].ljust(6, "0"))
 
 
+def _counted(sign: str, whole: str, fraction: str) -> list[tuple[str, int]]:
+    """The units in which a number of any length lies in the years looked for; what is below a microsecond is cut off."""
+    # More digits before the point than nanoseconds need are beyond those years in every unit.
+    if sign == "-" or len(whole) > 20:
+        return []
+    out = []
+    for unit, power in _UNITS:
+        digits = whole + fraction[: max(power, 0)].ljust(max(power, 0), "0")
+        us = int(digits) if power >= 0 else int(digits) // 10**-power
+        if _FROM <= us < _UNTIL:
+            out.append((f"number {unit}", us))
+    return out
+
+
 def readings(text: str | None, home: str | None) -> list[tuple[str, int]]:
     """All (format, microseconds) that `text` can denote; `home` is the zone of zone-less values.
 
@@ -96,13 +124,8 @@ def readings(text: str | None, home: str | None) -> list[tuple[str, int]]:
     if text is None:
         return []
     text = text.strip().lower()
-    if _NUMBER.match(text):
-        if len(text) > 40:
-            return []
-        value = Decimal(text)
-        return [(f"number {unit}", int(us)) for unit, per in _UNITS if _FROM <= (us := value * per) < _UNTIL]
-    if len(text) > 100:
-        return []
+    if number := _NUMBER.match(text):
+        return _counted(number[1], number[2], number[3] or "")
     for name, pattern in _FORMATS:
         found = pattern.match(text)
         if found:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
 import pytest
@@ -85,3 +86,31 @@ def test_operator(spark):
     assert rows(normalised(df.limit(0), value="value", home="home", source=["src"])) == []
     with pytest.raises(ValueError):
         normalised(df, value="value", home="format", source=["src"])
+
+
+def test_no_length_is_too_long():
+    assert readings("1704067200." + "0" * 40, None) == [("number s", us(2024, 1, 1))]
+    assert readings("0" * 5000 + "1704067200", None) == [("number s", us(2024, 1, 1))]
+    assert readings("1704067200." + "9" * 9000, None) == [("number s", us(2024, 1, 1, micro=999999))]
+    assert readings("2024-01-01T00:00:00." + "1" * 9000 + "Z", None) == [("ymd", us(2024, 1, 1, micro=111111))]
+    assert readings("2024-01-01 00:00:00" + " " * 9000 + "CET", None) == [("ymd", us(2023, 12, 31, 23))]
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.swapcase])
+def test_every_zone_name_is_found_in_any_case(change):
+    names = [n for n in available_timezones() if "/" in n]
+    assert {"Africa/Dar_es_Salaam", "America/Port-au-Prince", "Antarctica/McMurdo", "Etc/GMT+5"} <= set(names)
+    for name in names:
+        local = datetime(2024, 6, 1, 12, tzinfo=ZoneInfo(name))
+        want = int(local.timestamp()) * 10**6
+        assert {u for _, u in readings(f"2024-06-01T12:00:00[{change(name)}]", None)} == {want}, name
+        assert {u for _, u in readings("2024-06-01 12:00:00", change(name))} == {want}
+
+
+def test_sources_without_conventions_are_told_apart_by_their_values(spark):
+    # Two sources write one spelling in two orders; most of their values fit both.
+    data = [(s, f"{a:02d}/{b:02d}/2024 10:00:00", "UTC") for s in ("days first", "months first") for d in range(1, 29) for m in (2, 5, 9) for a, b in ([(d, m)] if s == "days first" else [(m, d)])]
+    found = normalised(spark.createDataFrame(data, "src string, value string, home string"), value="value", home="home", source=["src"], conventions={})
+    for r in found.collect():
+        a, b = int(r.value[:2]), int(r.value[3:5])
+        assert r.epoch_us == us(2024, *((b, a) if r.src == "days first" else (a, b)), 10) and not r.ambiguous
