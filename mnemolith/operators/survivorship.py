@@ -63,7 +63,7 @@ def truths(variants: DataFrame, *, group: str, source: str, fields: Sequence[str
         .select(F.col(group).alias("g"), F.col(source).cast("string").alias("s"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
         .select("g", "s", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"f{i}").alias("v")) for i, f in enumerate(fields)])).alias("c"))
         .where(has_value(F.col("c.v")))
-        .select("g", F.col("c.f").alias("f"), F.lower(F.trim("c.v")).alias("v"), "s")
+        .select("g", F.col("c.f").alias("f"), F.lower(trimmed(F.col("c.v"))).alias("v"), "s")
         .distinct()
     )
     voters = stated.groupBy("g", "f").agg(F.collect_set("s").alias("voters"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instants import instant, micros, trimmed
+from ..functions.instants import BLANKS, instant, micros, trimmed
 from ..operators import asof, differences, drift, hierarchy, history, survivorship, timezones
 from ..session import cut, prepare
 
@@ -191,7 +191,8 @@ with last as (
   select *, sum(case when goes_on then 0 else 1 end) over (partition by id order by snapshot_no) version_no from runs
 )
 """
-_SURVIVING_SQL = """
+_NOTHING = ", ".join(f"'{text}'" for text in survivorship.NO_VALUE)
+_SURVIVING_SQL = f"""
 with in_force as (
   select conflict_id, rejected_record_ids from conflict_resolution where coalesce(trim(superseded_at), '') = ''
   qualify row_number() over (partition by conflict_id order by cast(resolved_at as timestamptz) desc, id desc) = 1
@@ -201,10 +202,33 @@ cells as (
   select conflict_id, record_id, updated_at, trust, unnest(['status', 'confidence', 'scope', 'statement', 'owner', 'valid_from']) field_name, unnest([status, confidence, scope, statement, owner, valid_from]) value
   from standing
 ), best as (
-  select * from cells where coalesce(lower(trim(value)), '') not in ('', '-', '?', 'n/a', 'none', 'tbd', 'unknown')
+  select * from cells where coalesce(lower(trim(value, '{BLANKS}')), '') not in ({_NOTHING})
   qualify row_number() over (partition by conflict_id, field_name order by cast(updated_at as timestamptz) desc nulls last, trust desc nulls last, record_id, value) = 1
 )
 """
+
+
+def _truth_sql(rounds: int = 8) -> str:
+    """Expectation-maximisation with a table per half round."""
+    parts = [
+        _SURVIVING_SQL
+        + f""", stated as (select distinct c.conflict_id g, c.field_name f, lower(trim(c.value, '{BLANKS}')) v, cast(c.bundle_ix as varchar) s
+  from (select conflict_id, bundle_ix, unnest(['status', 'confidence', 'scope', 'statement', 'owner', 'valid_from']) field_name, unnest([status, confidence, scope, statement, owner, valid_from]) value from standing) c
+  where c.conflict_id is not null and c.bundle_ix is not null and coalesce(lower(trim(c.value, '{BLANKS}')), '') not in ({_NOTHING})),
+voters as (select g, f, list_sort(list(distinct s)) voters from stated group by g, f),
+facts as (select g, f, v, list_sort(list(distinct s)) pro, list_filter(any_value(voters), lambda x: not list_contains(list(distinct s), x)) con from stated join voters using (g, f) group by g, f, v),
+cases as materialized (select pro, con, count(*) n from facts group by pro, con),
+votes as materialized (select pro, con, n, unnest(list_concat(list_transform(pro, lambda x: {{'s': x, 'o': 1}}), list_transform(con, lambda x: {{'s': x, 'o': 0}})), recursive := true) from cases),
+quality0 as (select distinct s, cast(0.7 as double) sens, cast(0.7 as double) spec from votes)"""
+    ]
+    for k in range(rounds):
+        parts.append(
+            f"""belief{k} as materialized (select pro, con, 1 / (1 + exp(sum(case when o = 1 then ln(1 - spec) - ln(sens) else ln(spec) - ln(1 - sens) end))) p from votes join quality{k} using (s) group by pro, con),
+quality{k + 1} as materialized (select s, (sum(n * p * o) + 7) / (sum(n * p) + 10) sens, (sum(n * (1 - p) * (1 - o)) + 7) / (sum(n * (1 - p)) + 10) spec from votes join belief{k} using (pro, con) group by s)"""
+        )
+    return ", ".join(parts) + f" select g conflict_id, f field_name, v \"value\", round(p, 6) probability, p >= 0.5 is_true from facts join belief{rounds - 1} using (pro, con)"
+
+
 _TREE_SQL = """
 with recursive stated as (
   select unnest(supersedes) parent, id child from ledger_entry union select id, unnest(superseded_by) from ledger_entry
@@ -297,6 +321,7 @@ where n = 1 and not coalesce(is_known and lower(trim(status)) = 'active' and coa
     "p5_found": _SURVIVING_SQL + "select conflict_id, field_name, record_id from best",
     "p5_records": _SURVIVING_SQL
     + "select conflict_id, " + ", ".join(f"max(value) filter (field_name = '{f}') {f}" for f in _SURVIVING) + " from best group by conflict_id",
+    "p5_truths": _truth_sql(),
     "p6_found": _TREE_SQL + "select n.id, coalesce(w.root_id, '') root_id, cast(coalesce(w.depth, -1) as int) depth from nodes n left join walk w on w.id = n.id",
     "p6_hierarchy": _TREE_SQL
     + """, below as (select a id, count(*) - 1 n from (select unnest(path) a from walk) group by a)
