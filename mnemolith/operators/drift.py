@@ -1,12 +1,13 @@
 """Schemas that drift between files (problem 2).
 
-A file's schema is a tree: fields, and members of object-valued fields. Between a file and the one before
-it in its feed, a constrained tree edit distance finds the cheapest script of additions, removals, renames
-and changes of type. What a rename may cost is settled by the values: over the records that both files
-hold, a gone and a new field of the same object must agree. Schemas are reduced to a few rows per file where the lines are
-read. Only files with both gone and new fields of one object are read again, for just those fields; the
-evidence is one join on (file, record). The trees are small and are compared per file. Scripts compile
-into one projection per file, under which all files of a kind come out as one table.
+A file's schema is a tree: fields, and members of object-valued fields, to any depth asked for. Between a
+file and the one before it in its feed, a constrained tree edit distance (functions/trees.py) finds the
+cheapest script of additions, removals, renames, moves and changes of type. Which renames there may be is
+settled by the values: over the records that both files hold, a gone and a new field of the same object
+must agree. Schemas are reduced to a few rows per file where the lines are read. Only files with both gone
+and new fields of one object are read again, for just those fields; the evidence is one join on (file,
+record). The trees are small and are compared per file. Scripts compile into one projection per file, under
+which all files of a kind come out as one table.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import jsonvalue
+from ..functions import jsonvalue, trees
 from ..session import cut, groups_for
 
 # JSON types as bits of a set; null has no bit.
 TYPE_BITS = {"null": 0, "boolean": 1, "number": 2, "string": 4, "array": 8, "object": 16}
 
+#: Stands between the names of a path inside; results have a dot.
+_SEP = "\x1f"
+
 #: Files whose fields are to be read again are broadcast to the lines up to this many, and joined by shuffle beyond.
 BROADCAST_FILES = 200_000
 
@@ -40,23 +44,23 @@ def _clean(name: str) -> str:
     return name if name.isascii() else name.encode("utf-8", "replace").decode()
 
 
-def _fields_of(key: str, opaque: frozenset[str]):
+def _fields_of(key: str, opaque: frozenset[str], depth: int | None):
     """Per batch, the fields of each file and the set of their types."""
 
+    def walk(value: dict, path: tuple[str, ...], at: tuple, seen: dict[tuple, int]) -> None:
+        for name, inner in value.items():
+            if not path and name == key:
+                continue
+            field = (*at, _SEP.join(path), name)
+            seen[field] = seen.get(field, 0) | TYPE_BITS[jsonvalue.kind(inner)]
+            if isinstance(inner, dict) and not (not path and name in opaque) and (depth is None or len(path) + 1 < depth):
+                walk(inner, (*path, name), at, seen)
+
     def fields(batches):
         for batch in batches:
             seen: dict[tuple, int] = {}
             for feed, file, doc in zip(batch["feed"].to_pylist(), batch["file"].to_pylist(), batch["doc"].to_pylist(), strict=True):
-                record = jsonvalue.parse_object(doc)
-                for name, value in (record or {}).items():
-                    if name == key:
-                        continue
-                    at = (feed, file, "", name)
-                    seen[at] = seen.get(at, 0) | TYPE_BITS[jsonvalue.kind(value)]
-                    if isinstance(value, dict) and name not in opaque:
-                        for member, inner in value.items():
-                            at = (feed, file, name, member)
-                            seen[at] = seen.get(at, 0) | TYPE_BITS[jsonvalue.kind(inner)]
+                walk(jsonvalue.parse_object(doc) or {}, (), (feed, file), seen)
             rows = [(feed, file, _clean(parent), _clean(name), types) for (feed, file, parent, name), types in seen.items()]
             columns = list(zip(*rows, strict=True)) or [()] * len(_FIELD)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELD.types, strict=True)], schema=_FIELD)
@@ -79,7 +83,9 @@ def _values_of(key: str):
                 ids.append(_clean(rid) if isinstance(rid, str) and not isinstance(rid, jsonvalue.Number) else jsonvalue.canonical(rid))
                 mine = []
                 for path in paths:
-                    holder = record.get(path["parent"]) if path["parent"] else record
+                    holder = record
+                    for part in path["parent"].split(_SEP) if path["parent"] else ():
+                        holder = holder.get(part) if isinstance(holder, dict) else None
                     if isinstance(holder, dict) and path["name"] in holder:
                         value = holder[path["name"]]
                         mine.append({"parent": path["parent"], "name": path["name"], "value": None if value is None else jsonvalue.digest(value)})
@@ -91,62 +97,58 @@ def _values_of(key: str):
 
 
 def matching(pairs: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
-    """As many renames as possible (each costs less than a removal and an addition), one per field.
+    """As many renames (old, new, evidence) as possible, one per field; those with most evidence among equals."""
+    return trees.renames({(old, new): 1 - 1e-6 / (1 + proof) for old, new, proof in pairs})
 
-    Augmenting paths; the pairs with most evidence, then the first by name, are tried first.
-    """
-    options: dict[str, list[str]] = {}
-    for old, new, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        options.setdefault(old, []).append(new)
-    taken: dict[str, str] = {}
-
-    def place(old: str, seen: set[str]) -> bool:
-        for new in options[old]:
-            if new not in seen:
-                seen.add(new)
-                if new not in taken or place(taken[new], seen):
-                    taken[new] = old
-                    return True
-        return False
 
-    for old in options:
-        place(old, set())
-    return [(old, new) for new, old in taken.items()]
+def _tree(fields: list[tuple[str, str, int]]) -> trees.Tree:
+    """A tree from (parent, name, types); holders that are not listed have no type of note."""
+    root: trees.Tree = {}
+    for parent, name, types in sorted(fields):
+        at = root
+        for part in parent.split(_SEP) if parent else ():
+            at = at.setdefault(part, (0, {}))[1]
+        at[name] = (types, at[name][1] if name in at else {})
+    return root
 
 
-def edit_script(fields: list[tuple[str, str, str, int, int]], pairs: list[tuple[str, str, str, int]]) -> list[tuple[str, str, str]]:
-    """The cheapest script between two schema trees, as (kind, old, new).
+def edit_script(fields: list[tuple[str, str, str, int, int]], pairs: list[tuple[str, str, str, int]], *, cheapest: bool = False) -> list[tuple[str, str, str]]:
+    """The cheapest script between two schema trees, as (kind, old, new) with dotted names.
 
     `fields`: (parent, name, state, types before, types now) with state gone, new or both; `pairs`:
-    (parent, old, new, evidence) that may be renamed. A node that is edited takes its members along, so
-    those of an edited field appear in no edit of their own.
+    (parent, old, new, evidence) that may be renamed. An edited node takes its members along, so those
+    appear in no edit of their own. The script makes one of several renames that a field allows, and moves
+    fields between objects, if it is `cheapest`; else every rename that is allowed is listed, with no
+    addition or removal of its ends, and a move is a removal and an addition.
     """
-    script, edited = [], set()
-    for parent in ("", *sorted({f[0] for f in fields} - {""})):
-        if parent in edited:
-            continue
-        full = f"{parent}." if parent else ""
-        renamed = matching([(o, n, e) for p, o, n, e in pairs if p == parent])
-        olds, news = {o for o, _ in renamed}, {n for _, n in renamed}
-        edits = [("renamed", o, n) for o, n in renamed]
-        for p, name, state, before, now in fields:
-            if p != parent:
-                continue
-            if state == "gone" and name not in olds:
-                edits.append(("removed", name, ""))
-            elif state == "new" and name not in news:
-                edits.append(("added", "", name))
-            elif state == "both" and before and now and before != now:
-                edits.append(("retyped", name, name))
-        if not parent:
-            edited = {x for _, o, n in edits for x in (o, n)} - {""}
-        script += [(kind, o and full + o, n and full + n) for kind, o, n in edits]
-    return sorted(script)
-
-
-def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str, key: str = "id", opaque: tuple[str, ...] = ("metadata",)) -> DataFrame:
+    split = lambda parent: tuple(parent.split(_SEP)) if parent else ()
+    before = _tree([(p, n, was) for p, n, state, was, _ in fields if state != "new"])
+    after = _tree([(p, n, now) for p, n, state, _, now in fields if state != "gone"])
+    # Unlisted holders are in both trees.
+    for p, _, state, _, _ in fields:
+        other = after if state == "gone" else before
+        known = {(split(q), m) for q, m, s, _, _ in fields if s == state}
+        for i, part in enumerate(split(p)):
+            if (split(p)[:i], part) in known:
+                break
+            other = other.setdefault(part, (0, {}))[1]
+    allowed = {(split(p), o, n): max(1, proof) for p, o, n, proof in pairs}
+    _, script = trees.distance(before, after, allowed, moves=cheapest)
+    if not cheapest:
+        held = {e.old[:-1] for e in script if e.kind in ("removed", "renamed")} | {e.new[:-1] for e in script if e.kind == "added"}
+        mine = [(p, o, n) for p, o, n in allowed if p in held]
+        olds, news = {(*p, o) for p, o, _ in mine}, {(*p, n) for p, _, n in mine}
+        script = [e for e in script if e.kind == "retyped" or (e.kind == "removed" and e.old not in olds) or (e.kind == "added" and e.new not in news)]
+        script += [trees.Edit("renamed", (*p, o), (*p, n)) for p, o, n in mine]
+    return sorted((e.kind, ".".join(e.old), ".".join(e.new)) for e in script)
+
+
+def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str, key: str = "id", opaque: tuple[str, ...] = ("metadata",), depth: int | None = 2, cheapest: bool = False) -> DataFrame:
     """(feed, file, change_kind, old_field, new_field): what each file changes against the one before it.
 
+    Every rename that the values allow is listed, or, if `cheapest`, one script of least cost, with moves.
+    Schemas are compared down to `depth` levels (None: all).
+
     Files of a feed are ordered by their earliest `exported`, then by name; a null `exported` is first.
     Lines that are null or no JSON object don't count, but a file of such lines alone still has its place
     and an empty schema. Members of object-valued fields are fields named `field.member`, except those of
@@ -159,7 +161,7 @@ def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, d
     files = rows.groupBy("feed", "file").agg(F.min("exported").alias("exported")).withColumn("before", F.lag("file").over(order))
     files = cut(files.select("feed", "file", "before"))
 
-    schema = cut(rows.select("feed", "file", "doc").mapInArrow(_fields_of(key, frozenset(opaque)), _FIELD_DDL).groupBy("feed", "file", "parent", "name").agg(F.bit_or("types").alias("types")))
+    schema = cut(rows.select("feed", "file", "doc").mapInArrow(_fields_of(key, frozenset(opaque), depth), _FIELD_DDL).groupBy("feed", "file", "parent", "name").agg(F.bit_or("types").alias("types")))
     pairs_of_files = files.where("before is not null").select("feed", "file", "before")
     nothing = F.lit(None).cast("int")
     now = schema.join(pairs_of_files.select("feed", "file"), ["feed", "file"]).select("feed", "file", "parent", "name", F.col("types").alias("now"), nothing.alias("was"))
@@ -190,10 +192,10 @@ def drift(lines: DataFrame, *, feed: str, file: str, exported: str, line: str, d
         .agg(F.min(same).alias("all_same"), F.sum((same & F.col("a").isNotNull()).cast("long")).alias("proof"))
         .where("all_same and proof > 0")
     )
-    return _scripts(compared, evidence)
+    return _scripts(compared, evidence, cheapest)
 
 
-def _scripts(compared: DataFrame, evidence: DataFrame) -> DataFrame:
+def _scripts(compared: DataFrame, evidence: DataFrame, cheapest: bool) -> DataFrame:
     spark = compared.sparkSession
     none = F.lit(None)
     both = compared.select("feed", "file", "parent", "name", "state", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"), none.cast("string").alias("new"), none.cast("bigint").alias("proof")).unionByName(
@@ -205,7 +207,7 @@ def _scripts(compared: DataFrame, evidence: DataFrame) -> DataFrame:
         out = []
         for (feed, file), g in pdf.groupby(["feed", "file"], sort=False):
             rows = list(zip(g["parent"], g["name"], g["state"], g["was"], g["now"], g["new"], g["proof"], strict=True))
-            script = edit_script([r[:5] for r in rows if r[2] != "pair"], [(r[0], r[1], r[5], int(r[6])) for r in rows if r[2] == "pair"])
+            script = edit_script([r[:5] for r in rows if r[2] != "pair"], [(r[0], r[1], r[5], int(r[6])) for r in rows if r[2] == "pair"], cheapest=cheapest)
             out += [(feed, file, *edit) for edit in script]
         return pd.DataFrame(out, columns=["feed", "file", "change_kind", "old_field", "new_field"])
 
@@ -222,7 +224,10 @@ def canonical_names(scripts: DataFrame, files: DataFrame, taken: DataFrame | Non
     next that is free: no name of `taken` (feed, field) or of the scripts, so that no later field has it.
     Members follow the field that holds them.
     """
-    # Feeds without a rename need no projection.
+    # A move ends one field and begins another. Feeds without a rename need no projection.
+    halves = F.when(F.col("change_kind") == "moved", F.array(F.struct(F.lit("removed").alias("k"), F.col("old_field").alias("o"), F.lit("").alias("n")), F.struct(F.lit("added").alias("k"), F.lit("").alias("o"), F.col("new_field").alias("n"))))
+    halves = F.explode(F.coalesce(halves, F.array(F.struct(F.col("change_kind").alias("k"), F.col("old_field").alias("o"), F.col("new_field").alias("n")))))
+    scripts = scripts.select("feed", "file", halves.alias("h")).select("feed", "file", F.col("h.k").alias("change_kind"), F.col("h.o").alias("old_field"), F.col("h.n").alias("new_field"))
     kinds = scripts.where("change_kind in ('renamed', 'removed', 'added')").join(scripts.where("change_kind = 'renamed'").select("feed").distinct(), "feed", "left_semi")
     kinds = kinds.join(files, ["feed", "file"]).select("feed", "ix", "old_field", "new_field")
     avoid = scripts.select("feed", F.explode(F.array("old_field", "new_field")).alias("field"))
@@ -273,6 +278,7 @@ def _projected(value: dict, names: dict[str, str], path: str = "") -> dict:
     target = {m: n[len(path) :] if (n := names.get(path + m, "")).startswith(path) and n else m for m in value}
     plain = {m for m, n in target.items() if m == n}
     out: dict = {}
+    value = {m: _projected(v, names, f"{path}{m}.") if isinstance(v, dict) else v for m, v in value.items()}
     for m, v in value.items():
         name = target[m] if m in plain or target[m] not in plain and target[m] not in out else m
         while name in out or (name in plain and name != m):
@@ -296,7 +302,7 @@ def _renamed(batches):
                 ids.append(None)
                 continue
             names = dict(names or ())
-            out = _projected({f: _projected(v, names, f"{f}.") if isinstance(v, dict) else v for f, v in record.items()}, names)
+            out = _projected(record, names)
             docs.append(json.dumps(out, ensure_ascii=True))
             ids.append(out["id"] if isinstance(out.get("id"), str) else None)
         kept = batch.drop_columns(["doc", "names"]) if hasattr(batch, "drop_columns") else batch.select([n for n in batch.schema.names if n not in ("doc", "names")])
@@ -304,17 +310,18 @@ def _renamed(batches):
         yield table.filter(pa.array(ok, pa.bool_()))
 
 
-#: A record kind with more fields than this is no schema that drifts.
+#: Fields beyond the commonest so many come out in a map instead of columns.
 MOST_FIELDS = 10_000
 
 
-def unify(lines: DataFrame, scripts: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str) -> DataFrame:
+def unify(lines: DataFrame, scripts: DataFrame, *, feed: str, file: str, exported: str, line: str, doc: str, most_columns: int = MOST_FIELDS) -> DataFrame:
     """One table of all records: (source_feed, source_file, source_line, id, and each field under its canonical name).
 
     Each file's projection is composed from the scripts up to it; no two fields of a record share a name in
     it, so a new field under the name that a renamed one keeps comes out as `name_2`. Scalars come out as text, arrays and
     objects as JSON text, absent fields as null; a record's own fields that clash with the four leading
-    columns get the prefix `field_`. Repeated lines come out once; lines that are no JSON object not at all.
+    columns get the prefix `field_`. Should there be more than `most_columns` fields, the rarer ones are in
+    the map `more_fields`. `scripts` make at most one rename of a field (`cheapest`). Repeated lines come out once; lines that are no JSON object not at all.
     """
     rows = lines.select(F.coalesce(F.col(feed).cast("string"), F.lit("")).alias("feed"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), F.col(exported).alias("exported"), F.col(line).cast("bigint").alias("line"), F.col(doc).alias("doc"))
     order = Window.partitionBy("feed").orderBy("exported", "file")
@@ -323,18 +330,22 @@ def unify(lines: DataFrame, scripts: DataFrame, *, feed: str, file: str, exporte
     # What a field of its own may not be called is only read where a name comes back.
     taken = None
     if _names_return(scripts):
-        taken = rows.select("feed", "file", "doc").mapInArrow(_fields_of("id", frozenset()), _FIELD_DDL)
-        taken = taken.select("feed", F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name")).alias("field"))
+        taken = rows.select("feed", "file", "doc").mapInArrow(_fields_of("id", frozenset(), None), _FIELD_DDL)
+        taken = taken.select("feed", F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", F.replace("parent", F.lit(_SEP), F.lit(".")), "name")).alias("field"))
     steps = canonical_names(scripts, files, taken).groupBy("feed", "ix").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("field", "name")), lambda x: x["field"].isNotNull())).alias("step"))
     filled = Window.partitionBy("feed").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     projections = files.join(steps, ["feed", "ix"], "left").select("feed", "file", F.last("step", ignorenulls=True).over(filled).alias("names"))
     once = rows.select("feed", "file", "line", "doc").distinct().join(projections, ["feed", "file"])
     renamed = cut(once.select("feed", "file", "line", "doc", "names").mapInArrow(_renamed, "feed string, file string, line bigint, id string, record string"))
-    names = sorted(r[0] for r in renamed.select(F.explode(F.json_object_keys("record")).alias("k")).distinct().limit(MOST_FIELDS + 1).collect())
-    if len(names) > MOST_FIELDS:
-        raise ValueError(f"more than {MOST_FIELDS} fields")
-    names = [n for n in names if n != "id"]
+    counted = renamed.select(F.explode(F.json_object_keys("record")).alias("k")).where("k <> 'id'").groupBy("k").agg(F.count("*").alias("n"))
+    names = [r[0] for r in counted.orderBy(F.desc("n"), "k").limit(most_columns + 1).collect()]
+    names, more = sorted(names[:most_columns]), len(names) > most_columns
     lead = {"source_feed", "source_file", "source_line", "id"}
     schema = StructType([StructField(n, StringType()) for n in names])
     fields = [F.col("r").getField(n).alias(f"field_{n}" if n.lower() in lead else n) for n in names]
-    return renamed.select("feed", "file", "line", "id", F.from_json("record", schema).alias("r")).select(F.col("feed").alias("source_feed"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), "id", *fields)
+    if more:
+        whole = F.map_filter(F.from_json("record", "map<string,string>"), lambda k, _: ~k.isin("id", *names))
+        fields.append(F.map_from_entries(F.array_sort(F.map_entries(F.col("m")))).alias("more_fields"))
+        renamed = renamed.withColumn("m", whole)
+    kept = ["feed", "file", "line", "id", F.from_json("record", schema).alias("r"), *(["m"] if more else [])]
+    return renamed.select(*kept).select(F.col("feed").alias("source_feed"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), "id", *fields)

@@ -52,7 +52,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def _unified(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     columns = {"feed": "feed", "file": "file_name", "exported": "exported_at", "line": "line_no", "doc": "doc"}
     rows = _table(spark, sf, "raw_export").where(F.col("record_kind") == kind)
-    return drift.unify(rows, drift.drift(rows, **columns), **columns)
+    return drift.unify(rows, drift.drift(rows, **columns, cheapest=True), **columns)
 
 
 def p2_ledger_entries(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from mnemolith.functions import trees
 from mnemolith.operators.drift import canonical_names, drift, edit_script, matching, unify
 from tests.helpers import rows
 
@@ -21,7 +25,7 @@ def lines(file, day, docs):
 
 
 def test_kinds_of_change(spark):
-    old = [{"id": "1", "a": 1, "gone": 1, "o": {"m": "x", "n": 2}, "metadata": {"k": 1}, "t": "1"}, {"id": "2", "a": 2, "o": {"m": "y"}, "t": None}]
+    old = [{"id": "1", "a": 1, "gone": 7, "o": {"m": "x", "n": 2}, "metadata": {"k": 1}, "t": "1"}, {"id": "2", "a": 2, "o": {"m": "y"}, "t": None}]
     new = [{"id": "1", "b": 1.0, "o": {"w": "x", "n": "2"}, "metadata": {"z": 1}, "t": 1, "fresh": None}, {"id": "2", "b": 2, "o": {"w": "y"}, "t": 5}, {"id": "3", "b": 7}, "[1]", "no json", ""]
     data = lines("z", 0, old) + lines("a", 1, new) + lines("a", 1, new)
     assert run(spark, data) == sorted([("a", "added", "", "fresh"), ("a", "removed", "gone", ""), ("a", "renamed", "a", "b"), ("a", "renamed", "o.m", "o.w"), ("a", "retyped", "o.n", "o.n"), ("a", "retyped", "t", "t")], key=repr)
@@ -41,6 +45,56 @@ def test_values_decide_on_renames(spark):
     assert run(spark, apart) == [("2", "added", "", "b"), ("2", "removed", "a", "")]
 
 
+def test_every_rename_that_values_allow_is_listed(spark):
+    data = lines("1", 0, [{"id": "1", "a": 1, "c": 2}]) + lines("2", 1, [{"id": "1", "x": 1, "y": 1, "z": 3}])
+    assert run(spark, data) == sorted([("2", "renamed", "a", "x"), ("2", "renamed", "a", "y"), ("2", "removed", "c", ""), ("2", "added", "", "z")], key=repr)
+    df, names = spark.createDataFrame(data, DDL), {"feed": "feed", "file": "file", "exported": "exported", "line": "line", "doc": "doc"}
+    one = rows(drift(df, **names, cheapest=True), "change_kind", "old_field", "new_field")
+    assert one == [("added", "", "y"), ("added", "", "z"), ("removed", "c", ""), ("renamed", "a", "x")]
+
+
+def test_any_depth_and_moves(spark):
+    data = lines("1", 0, [{"id": "1", "o": {"p": {"q": 1, "r": "x"}, "s": True}, "t": [1]}]) + lines("2", 1, [{"id": "1", "o": {"p": {"q2": 1, "r": 5}, "t": [1]}, "s": True}])
+    df, names = spark.createDataFrame(data, DDL), {"feed": "feed", "file": "file", "exported": "exported", "line": "line", "doc": "doc"}
+    found = rows(drift(df, **names, depth=None, cheapest=True), "change_kind", "old_field", "new_field")
+    assert found == [("moved", "o.s", "s"), ("moved", "t", "o.t"), ("renamed", "o.p.q", "o.p.q2"), ("retyped", "o.p.r", "o.p.r")]
+
+
+def all_trees(depth, rng):
+    names = rng.sample(["a", "b", "c", "d"], rng.randrange(4))
+    return {n: (rng.choice([2, 4]), all_trees(depth - 1, rng) if depth and rng.random() < 0.5 else {}) for n in names}
+
+
+def test_distance_is_the_least_over_all_assignments():
+    """Against every way to pair gone with new nodes, at every level."""
+
+    def brute(before, after, old, new, allowed):
+        cost = 0.0
+        for n in before.keys() & after.keys():
+            cost += (trees.RETYPE if before[n][0] != after[n][0] else 0) + brute(before[n][1], after[n][1], (*old, n), (*new, n), allowed)
+        gone, fresh = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
+        best = float("inf")
+        for targets in itertools.product([None, *fresh], repeat=len(gone)):
+            taken = [t for t in targets if t]
+            if len(set(taken)) < len(taken) or any(t and (old, g, t) not in allowed for g, t in zip(gone, targets, strict=True)):
+                continue
+            c = sum(1 + trees.size(after[n][1]) for n in fresh if n not in taken)
+            for g, t in zip(gone, targets, strict=True):
+                if t is None:
+                    c += 1 + trees.size(before[g][1])
+                else:
+                    c += trees.RENAME + (trees.RETYPE if before[g][0] != after[t][0] else 0) + brute(before[g][1], after[t][1], (*old, g), (*new, t), allowed)
+            best = min(best, c)
+        return cost + best
+
+    rng = random.Random(2)
+    for _ in range(200):
+        before, after = all_trees(2, rng), all_trees(2, rng)
+        paths = [(), *[p for p, _ in trees._nodes(before, ())]]
+        allowed = {(p, o, n): 1 for p in paths for o in "abcd" for n in "abcd" if rng.random() < 0.5}
+        assert trees.distance(before, after, allowed, moves=False)[0] == pytest.approx(brute(before, after, (), (), allowed), abs=1e-3)
+
+
 def test_the_last_record_of_a_repeated_id_is_compared(spark):
     data = lines("1", 0, [{"id": "1", "a": 9}, {"id": "1", "a": 1}]) + lines("2", 1, [{"id": "1", "b": 1}])
     assert run(spark, data) == [("2", "renamed", "a", "b")]
@@ -92,7 +146,7 @@ def test_projection_follows_chains_of_renames(spark):
 
 def unified(spark, data, *columns):
     df, names = spark.createDataFrame(data, DDL), {"feed": "feed", "file": "file", "exported": "exported", "line": "line", "doc": "doc"}
-    return rows(unify(df, drift(df, **names), **names), "source_file", *columns)
+    return rows(unify(df, drift(df, **names, cheapest=True), **names), "source_file", *columns)
 
 
 def test_a_new_field_never_takes_the_place_of_a_renamed_one(spark):
@@ -119,3 +173,13 @@ def test_members_of_a_retyped_field_keep_their_values(spark):
 def test_a_rename_back_goes_on_with_its_column(spark):
     data = lines("1", 0, [{"id": "1", "a": 1}]) + lines("2", 1, [{"id": "1", "b": 1}]) + lines("3", 2, [{"id": "1", "a": 1}])
     assert unified(spark, data, "a") == [("1", "1"), ("2", "1"), ("3", "1")]
+
+
+def test_fields_beyond_the_columns_come_out_in_a_map(spark):
+    data = lines("1", 0, [{"id": "1", **{f"f{i}": i for i in range(7)}}, {"id": "2", "f0": 0, "f1": None}])
+    df, names = spark.createDataFrame(data, DDL), {"feed": "feed", "file": "file", "exported": "exported", "line": "line", "doc": "doc"}
+    found = unify(df, drift(df, **names, cheapest=True), **names, most_columns=3)
+    got = {r.id: r for r in found.collect()}
+    assert found.columns == ["source_feed", "source_file", "source_line", "id", "f0", "f1", "f2", "more_fields"]
+    assert (got["1"].f0, got["1"].f2, got["1"].more_fields) == ("0", "2", {"f3": "3", "f4": "4", "f5": "5", "f6": "6"})
+    assert (got["2"].f0, got["2"].f1, got["2"].more_fields) == ("0", None, {})
