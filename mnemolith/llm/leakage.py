@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text (problem 9).
 
-The items are a query set of bounded size, taken in blocks and broadcast; the corpus is read once per
-block and never shuffled. Shared four-word seeds of an item's own wording name the (item, document)
+The items are taken in blocks of bounded size, of which the driver holds one at a time; the corpus is read
+once per block and never shuffled. Shared four-word seeds of an item's own wording name the (item, document)
 pairs to look at. Each pair goes through greedy string tiling: the longest common runs of unmarked words,
-found by running Karp-Rabin hashes, are marked as tiles, longest first. Tiles that follow one another in
+found by running Karp-Rabin hashes, are marked as tiles, longest first; a run is found once, however
+often its words repeat. Tiles that follow one another in
 both texts are chained into passages; the words between them count as edits. As a tile uses up the words
 of the item for the whole window, an exact banded edit distance around the seeds' diagonals then looks for
 the longest passage at each place of the document. Coverage, the share of the item's own words that lie in
@@ -12,14 +13,17 @@ tiles, doesn't depend on their order.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import words
 
 SEED = 4
@@ -35,22 +39,34 @@ class Items:
     texts: dict[int, list[int]]
     own: dict[int, list[bool]]
     keys: np.ndarray
-    where: list[list[tuple[int, int]]]
+    where: list[list[tuple[int, list[int]]]]
 
 
 def _grams(text: list[str]) -> set[tuple[str, ...]]:
     return {tuple(text[i : i + SEED]) for i in range(len(text) - SEED + 1)}
 
 
-def common_wording(texts: list[list[str]], share: float) -> set[tuple[str, ...]]:
-    """Seeds that occur in more than `share` of all items, and in more than three."""
-    count = Counter(g for t in texts for g in _grams(t))
-    return {g for g, n in count.items() if n > max(3, share * len(texts))}
+def _grams_of(batches):
+    for batch in batches:
+        grams = ["\0".join(g) for text in batch["text"].to_pylist() for g in _grams(words(text))]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string())], names=["gram"])
+
+
+def common_wording(texts: DataFrame, share: float) -> set[tuple[str, ...]]:
+    """Seeds that occur in more than `share` of all item texts, and in more than three.
+
+    Counted on the cluster; as a text has no more seeds than words, what comes back is bounded by the
+    length of a text over the share.
+    """
+    least = max(3.0, share * texts.count())
+    counted = texts.select("text").mapInArrow(_grams_of, "gram string").groupBy("gram").agg(F.count("*").alias("n"))
+    return {tuple(r[0].split("\0")) for r in counted.where(F.col("n") > least).collect()}
 
 
 def prepare_items(block: list[tuple[int, list[str]]], common: set[tuple[str, ...]]) -> Items:
     vocabulary: dict[str, int] = {}
-    texts, own, seeds = {}, {}, defaultdict(list)
+    texts, own = {}, {}
+    seeds: dict[int, dict[int, list[int]]] = defaultdict(dict)
     for item, text in block:
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in text]
         mine = [True] * len(ids)
@@ -60,9 +76,9 @@ def prepare_items(block: list[tuple[int, list[str]]], common: set[tuple[str, ...
         texts[item], own[item] = ids, mine
         for i in range(len(ids) - SEED + 1):
             if all(mine[i : i + SEED]):
-                seeds[_key(ids[i : i + SEED])].append((item, i))
+                seeds[_key(ids[i : i + SEED])].setdefault(item, []).append(i)
     keys = np.array(sorted(seeds), np.uint64)
-    return Items(vocabulary, texts, own, keys, [seeds[int(k)] for k in keys])
+    return Items(vocabulary, texts, own, keys, [list(seeds[int(k)].items()) for k in keys])
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,60 +91,89 @@ def _key(ids: list[int]) -> int:
     return key
 
 
+def _rolling(text: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of `size` words."""
+    ids = text.astype(np.uint64)
+    n = max(0, len(ids) - size + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(size):
+        key = key * _MIX + ids[k : k + n]
+    return key
+
+
+def _runs_by_hash(a: np.ndarray, b: np.ndarray, size: int, order: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    j = np.repeat(np.arange(len(many)), many)
+    i = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(j))]
+    same = np.ones(len(j), bool)
+    for k in range(size):
+        same &= a[i + k] == b[j + k]
+    i, j = i[same], j[same]
+    place = np.lexsort([j, j - i])
+    i, j = i[place], j[place]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(j - i) != 0) | (np.diff(j) != 1)))) if len(j) else np.empty(0, np.int64)
+    return i[first], j[first], np.diff(np.append(first, len(j))) + size - 1
+
+
+def _runs_by_diagonal(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    none = np.zeros(len(a), np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, b, none]), len(a))
+    step = max(1, (1 << 24) // len(a))
+    parts = []
+    for lo in range(0, len(windows), step):
+        same = np.zeros((len(windows[lo : lo + step]), len(a) + 1), np.int8)
+        same[:, :-1] = windows[lo : lo + step] == a
+        change = np.diff(same.ravel(), prepend=0)
+        begins, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        long = ends - begins >= size
+        begins, n = begins[long], (ends - begins)[long]
+        i = begins % (len(a) + 1)
+        parts.append((i, lo + begins // (len(a) + 1) - len(a) + i, n))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def runs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """All common runs of `size` words or more that can't be longer: (start in a, start in b, length).
+
+    Hashes are joined where few places are equal. Where words repeat so much that most are, diagonals are
+    compared directly, which takes no longer the more is equal.
+    """
+    if len(a) < size or len(b) < size:
+        return (np.empty(0, np.int64),) * 3
+    key = _rolling(a, size)
+    order = np.argsort(key, kind="stable")
+    wanted = _rolling(b, size)
+    low = np.searchsorted(key[order], wanted, "left")
+    many = np.searchsorted(key[order], wanted, "right") - low
+    if 16 * int(many.sum()) > len(a) * (len(a) + len(b)):
+        return _runs_by_diagonal(a, b, size)
+    return _runs_by_hash(a, b, size, order, low, many)
+
+
 def tiles(a: list[int], b: list[int], shortest: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: non-overlapping common runs (start in a, start in b, length), longest first.
 
-    Number 0 in b is a word that a lacks. Runs of one length are found by a rolling hash of their first
-    words; equal ones are taken from the left.
+    Number 0 in b is a word that a lacks. Equally long ones are taken from the left. Of a run that a longer
+    tile has cut into, the parts that are left are runs of their own.
     """
-    free_a, free_b = [True] * len(a), [w != 0 for w in b]
+    left, right = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    queue = [(-n, i, j) for i, j, n in zip(*(c.tolist() for c in runs(left, right, shortest)), strict=True)]
+    heapq.heapify(queue)
+    free_a, free_b = np.ones(len(left), bool), np.ones(len(right), bool)
     found: list[tuple[int, int, int]] = []
-    size = max(shortest, min(len(a), 24))
-    mask = (1 << 61) - 1
-    while True:
-        high = pow(1_000_003, size - 1, mask)
-
-        def rolled(text: list[int], free: list[bool], size: int = size, high: int = high) -> Iterator[tuple[int, int]]:
-            value = run = 0
-            for i, word in enumerate(text):
-                if not free[i]:
-                    value = run = 0
-                    continue
-                if run == size:
-                    value = (value - text[i - size] * high) % mask
-                    run -= 1
-                value = (value * 1_000_003 + word) % mask
-                run += 1
-                if run == size:
-                    yield i - size + 1, value
-
-        table = defaultdict(list)
-        for i, value in rolled(a, free_a):
-            table[value].append(i)
-        longest, matches = 0, []
-        if table:
-            for j, value in rolled(b, free_b):
-                for i in table.get(value, ()):
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                        n += 1
-                    if n >= size:
-                        matches.append((-n, i, j))
-                        longest = max(longest, n)
-        if longest > 2 * size and size > shortest:
-            size = longest
-            continue
-        marked = False
-        for n, i, j in sorted(matches):
-            if all(free_a[i : i - n]) and all(free_b[j : j - n]):
-                free_a[i : i - n] = [False] * -n
-                free_b[j : j - n] = [False] * -n
-                found.append((i, j, -n))
-                marked = True
-        # What a longer tile has cut short is found again in the next pass.
-        if size == shortest and not marked:
-            return found
-        size = max(shortest, size // 2)
+    unused = len(left)
+    while queue and unused >= shortest:
+        n, i, j = heapq.heappop(queue)
+        free = free_a[i : i - n] & free_b[j : j - n]
+        if free.all():
+            free_a[i : i - n] = free_b[j : j - n] = False
+            found.append((i, j, -n))
+            unused += n
+        elif free.any():
+            change = np.diff(np.concatenate(([0], free.view(np.int8), [0])))
+            for lo, hi in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True):
+                if hi - lo >= shortest:
+                    heapq.heappush(queue, (lo - hi, i + lo, j + lo))
+    return found
 
 
 def _distance(a: list[int], b: list[int]) -> int:
@@ -272,7 +317,7 @@ def _search(items: Items, least: int, shortest: int):
                 docs.append(doc)
                 starts.append(len(flat))
             ids = np.array(flat, np.uint64)
-            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            hits: dict[tuple[int, int], list[tuple[int, list[int]]]] = defaultdict(list)
             if len(ids) >= SEED and len(items.keys):
                 at = np.flatnonzero((ids[:-3] != 0) & (ids[1:-2] != 0) & (ids[2:-1] != 0) & (ids[3:] != 0))
                 key = ids[at]
@@ -283,8 +328,8 @@ def _search(items: Items, least: int, shortest: int):
                 at, place = at[ok], place[ok]
                 of = np.searchsorted(np.array(starts), at, "right") - 1
                 for p, k, d in zip(at.tolist(), place.tolist(), of.tolist(), strict=True):
-                    for item, i in items.where[k]:
-                        hits[(item, d)].append((p, i))
+                    for item, where in items.where[k]:
+                        hits[(item, d)].append((p, where))
             for (item, d), places in hits.items():
                 rows.append((item, docs[d], *_judge(items, item, flat, starts[d], starts[d + 1] - 3, places, longest, least, shortest)))
             columns = list(zip(*rows, strict=True)) or [()] * len(_OUT)
@@ -293,7 +338,7 @@ def _search(items: Items, least: int, shortest: int):
     return search
 
 
-def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, places: list[tuple[int, int]], longest: int, least: int, shortest: int) -> tuple[int, int, float]:
+def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, places: list[tuple[int, list[int]]], longest: int, least: int, shortest: int) -> tuple[int, int, float]:
     """Longest passage, its edits and the item's coverage, over the stretches of the document near seeds."""
     a, own = items.texts[item], items.own[item]
     known = set(a)
@@ -315,11 +360,43 @@ def _judge(items: Items, item: int, flat: list[int], start: int, stop: int, plac
             for i, _, n in found:
                 covered[i : i + n] = [True] * n
     # The diagonals of seeds, over the whole document: what one quote uses up another still has.
-    best = max(best, closest(a, own, flat[start:stop], {p - start - i for p, i in places}, least), key=lambda x: (x[0] >= least, x[0], -x[1]))
+    best = max(best, closest(a, own, flat[start:stop], _diagonals(places, start, len(a), stop - start), least), key=lambda x: (x[0] >= least, x[0], -x[1]))
     mine = sum(own)
     return best[0], best[1], sum(c and o for c, o in zip(covered, own, strict=True)) / mine if mine else 0.0
 
 
+def _diagonals(places: list[tuple[int, list[int]]], start: int, height: int, width: int) -> set[int]:
+    """Where in the document, less where in the item, seeds are.
+
+    Of a seed that the item repeats all that lies between its first and last place counts, so that work
+    doesn't grow with the number of pairs.
+    """
+    out = {p - start - i for p, where in places if len(where) <= 8 for i in where}
+    step = np.zeros(height + width + 2, np.int64)
+    for p, where in places:
+        if len(where) > 8:
+            step[p - start - where[-1] + height] += 1
+            step[p - start - where[0] + height + 1] -= 1
+    return out | set((np.flatnonzero(np.cumsum(step)) - height).tolist())
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items in blocks of at most `block_words` words, or of one item."""
+    block: list[tuple[int, list[str]]] = []
+    held, seen = 0, set()
+    for item, text in items.orderBy("item").toLocalIterator():
+        mine = words(text)
+        # Two texts of one item never share a block, so that each has its own place.
+        if block and (held + len(mine) > block_words or item in seen):
+            yield block
+            block, held, seen = [], 0, set()
+        block.append((item, mine))
+        held += len(mine)
+        seen.add(item)
+    if block:
+        yield block
+
+
 def leaks(
     items: DataFrame, documents: DataFrame, *, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
     least: int = 15, shortest: int = 3, common_share: float = 0.1, block_words: int = 2_000_000,
@@ -333,22 +410,17 @@ def leaks(
     copy. Items come in blocks of at most `block_words` words (a block is what is broadcast); every block
     is searched for in all documents.
     """
-    rows = [(r[0], words(r[1])) for r in items.select(item_id, item_text).where(f"`{item_id}` is not null").toLocalIterator()]
-    rows.sort()
-    common = common_wording([t for _, t in rows], common_share)
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    held, seen = 0, set()
-    for item, text in rows:
-        # Two texts of one item never share a block, so that each has its own place.
-        if blocks[-1] and (held + len(text) > block_words or item in seen):
-            blocks.append([])
-            held, seen = 0, set()
-        blocks[-1].append((item, text))
-        held += len(text)
-        seen.add(item)
+    texts = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item is not null")
+    common = common_wording(texts, common_share)
     corpus = documents.select(documents[doc_id].cast("bigint").alias("doc_id"), documents[doc_text].alias("text"))
-    out = None
-    for block in blocks:
-        found = corpus.mapInArrow(_search(prepare_items(block, common), least, shortest), _DDL)
-        out = found if out is None else out.unionByName(found)
+    search = lambda block: corpus.mapInArrow(_search(prepare_items(block, common), least, shortest), _DDL)
+    blocks = _blocks(texts, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    out = search(block)
+    # With several blocks each is searched for at once, so that the driver can let go of it.
+    if following is not None:
+        out = cut(out)
+    while following is not None:
+        block, following = following, next(blocks, None)
+        out = out.unionByName(cut(search(block)))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -211,6 +212,27 @@ def test_tiles_are_longest_first_and_disjoint():
         assert max((n for _, _, n in out), default=0) == longest
 
 
+def test_runs_agree_whatever_way_they_are_found():
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = (np.array([rng.randrange(1, rng.choice([3, 9])) for _ in range(rng.randrange(3, 30))], np.int64) for _ in range(2))
+        key = leakage._rolling(a, 3)
+        order = np.argsort(key, kind="stable")
+        low = np.searchsorted(key[order], leakage._rolling(b, 3), "left")
+        many = np.searchsorted(key[order], leakage._rolling(b, 3), "right") - low
+        by_hash = set(zip(*(c.tolist() for c in leakage._runs_by_hash(a, b, 3, order, low, many)), strict=True))
+        assert by_hash == set(zip(*(c.tolist() for c in leakage._runs_by_diagonal(a, b, 3)), strict=True))
+
+
+def test_words_that_repeat_take_no_longer(spark):
+    began = time.perf_counter()
+    out = leakage.tiles([1] * 300, [1] * 4000, 3)
+    assert out == [(0, 0, 300)] and time.perf_counter() - began < 1
+    items = [(1, "same " * 300, 0), (2, " ".join(item_words(20, "n")), 0)]
+    texts = [(1, "same " * 20_000), (2, "same " * 10 + " ".join(item_words(20, "n")) + " same" * 10)]
+    assert found(spark, items, texts) == [(1, 1), (2, 2)]
+
+
 def test_words():
     assert words("<p>Caf&eacute; **bo**ld [link text](http://x.y/z) snake_case ﬁn­al&amp;</p>") == ["cafe", "bold", "link", "text", "snake", "case", "final"]
     assert words(None) == words("") == words("— … _ *") == []
