@@ -24,8 +24,10 @@ REACH = 64
 _SLICE = 1 << 20
 _PLACE_BITS = 26
 
-#: Chosen chunks are broadcast to the texts up to this many, and joined by shuffle beyond.
-BROADCAST_CHUNKS = 1_000_000
+#: Chosen chunks are broadcast to the texts up to this many (about 32 MB), and joined by shuffle beyond.
+BROADCAST_CHUNKS = 500_000
+#: Before that shuffle, texts without a chosen chunk are left out by a broadcast of ids, up to this many (32 MB).
+BROADCAST_IDS = 4_000_000
 
 _CHUNK = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("chunk", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 _CHUNK_DDL = "doc_id bigint, anchor bigint, chunk bigint, start int, windows int"
@@ -155,8 +157,14 @@ def shared_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     edges = distinct.join(several, "anchor", "left_semi")
     places = chunks.select("anchor", "chunk", F.col("doc_id").alias("low"), "start").join(edges, ["anchor", "chunk", "low"]).groupBy("anchor", "chunk", "low", "high", "windows").agg(F.min("start").alias("start"))
     wanted = cut(places.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "chunk", "low", "high", "start", "windows")).alias("wanted")))
-    some = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
-    windows = corpus.join(F.broadcast(wanted) if some <= BROADCAST_CHUNKS else wanted, "doc_id").select("text", "wanted").mapInArrow(_windows(least), _WINDOW_DDL)
+    holders, some = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
+    if some <= BROADCAST_CHUNKS:
+        chosen = corpus.join(F.broadcast(wanted), "doc_id")
+    else:
+        # One text per distinct chunk is asked for, so most texts stay where they are.
+        asked = corpus.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if holders <= BROADCAST_IDS else corpus
+        chosen = asked.join(wanted, "doc_id")
+    windows = chosen.select("text", "wanted").mapInArrow(_windows(least), _WINDOW_DDL)
     held = windows.groupBy("anchor", "window").agg(F.min("low").alias("a"), F.max("high").alias("z")).where("a <> z").select("anchor", "window")
     single = windows.where("low = high").select("anchor", "chunk", "at", "window").join(held, ["anchor", "window"], "left_semi").select("anchor", "chunk", "at", F.col("at").alias("last"))
     parts = whole.unionByName(single).groupBy("anchor", "chunk").agg(F.collect_list(F.struct("at", "last")).alias("parts"))
