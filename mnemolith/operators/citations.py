@@ -5,12 +5,18 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
+#: Edges that one task peels on its own when looking for cycles; more are peeled over the cluster.
+LOCAL_EDGES = 200_000
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes (id, kind, record_type); edges and dangling (from_id, to_id, relation)."""
@@ -21,10 +27,11 @@ class Graph:
 
 
 def graph(sources: DataFrame, evidence: DataFrame, claims: DataFrame) -> Graph:
-    """Graph of sources (id, record_type), evidence (id, record_type, source_id) and claims (id, record_type, evidence_ids).
+    """Graph of sources (id, record_type), evidence (id, record_type, source_id) and claims (id, record_type,
+    evidence_ids, and evidence_id if they have it).
 
     Of several rows of one id one counts, claims before evidence before sources; the references of all are
-    kept. References to null are none. Acyclic unless claims cite claims: see `cycles`.
+    kept. References to null or to an empty id are none. Acyclic unless claims cite claims: see `cycles`.
     """
     kinds = [(claims, "claim", 2), (evidence, "evidence", 1), (sources, "source", 0)]
     named = None
@@ -32,10 +39,13 @@ def graph(sources: DataFrame, evidence: DataFrame, claims: DataFrame) -> Graph:
         part = rows.where("id is not null").select("id", F.lit(kind).alias("kind"), F.col("record_type"), F.lit(rank).alias("rank"))
         named = part if named is None else named.unionByName(part)
     nodes = named.groupBy("id").agg(F.max(F.struct("rank", "kind", "record_type")).alias("n")).select("id", "n.kind", "n.record_type")
+    cited = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    if "evidence_id" in claims.columns:
+        cited = F.array_append(cited, F.col("evidence_id"))
     refs = (
         evidence.select(F.col("id").alias("from_id"), F.col("source_id").alias("to_id"), F.lit("derives_from").alias("relation"))
-        .unionByName(claims.select(F.col("id").alias("from_id"), F.explode(F.array_distinct("evidence_ids")).alias("to_id"), F.lit("cites").alias("relation")))
-        .where("from_id is not null and to_id is not null")
+        .unionByName(claims.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(cited)).alias("to_id"), F.lit("cites").alias("relation")))
+        .where("from_id is not null and to_id is not null and to_id <> ''")
         .distinct()
     )
     ids = nodes.select(F.col("id").alias("to_id"))
@@ -89,20 +99,26 @@ def paths(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth:
     steps = {"forward": ahead, "backward": back, "both": ahead.unionByName(back)}.get(direction)
     if steps is None:
         raise ValueError(f"unknown direction: {direction!r}")
-    front = starts.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi").select(F.col("id").alias("start_id"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("relations"))
+    # A step knows how many there are from its node, so that a walk that can only go back is told from one that goes on.
+    kinds = g.nodes.select(F.col("id").alias("next"), F.col("kind").alias("next_kind"))
+    degree = steps.groupBy("at").agg(F.count("*").alias("steps"))
+    steps = cut(steps.join(kinds, "next").join(degree, "at"))
+    none = F.array().cast("array<string>")
+    front = g.nodes.join(starts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("start_id"), F.col("id").alias("at"), F.array("id").alias("path"), none.alias("relations"), F.col("kind").alias("end_kind"))
+    done, kept = None, ["start_id", "path", "relations", "end_kind"]
     # A walk is no longer than the nodes are many, so it ends.
-    done = None
     for depth in itertools.count():
-        ended, more = front, max_depth is None or depth < max_depth
-        if more:
-            grown = front.join(steps, "at").where(~F.array_contains("path", F.col("next")))
-            ended = front.join(grown.select("start_id", "path").distinct(), ["start_id", "path"], "left_anti")
-            front = grown.select("start_id", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("relations", F.col("relation")).alias("relations"))
-            front = cut(front)
-        done = ended.select("start_id", "at", "path", "relations") if done is None else done.unionByName(ended.select("start_id", "at", "path", "relations"))
-        if not more or front.isEmpty():
-            break
-    return done.join(g.nodes.select(F.col("id").alias("at"), F.col("kind").alias("end_kind")), "at").select("start_id", "path", "relations", "end_kind")
+        if max_depth is not None and depth >= max_depth:
+            ended = front.select(*kept)
+            return ended if done is None else done.unionByName(ended)
+        fresh = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
+        met = cut(front.join(steps, "at", "left").withColumn("goes_on", F.coalesce(fresh, F.lit(False))))
+        back = met.where("not goes_on and next is not null").groupBy(*kept, "steps").agg(F.count("*").alias("n")).where("n = steps")
+        ended = met.where("next is null").select(*kept).unionByName(back.select(*kept))
+        done = ended if done is None else done.unionByName(ended)
+        front = met.where("goes_on").select("start_id", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.array_append("relations", F.col("relation")).alias("relations"), F.col("next_kind").alias("end_kind"))
+        if front.isEmpty():
+            return done
 
 
 def reached(g: Graph, starts: DataFrame, *, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
@@ -119,34 +135,49 @@ def nodes_named(g: Graph, ids: DataFrame) -> DataFrame:
 def shortest_paths(g: Graph, pairs: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(source_id, target_id, path) along edges, the least by ids among equally short ones; no row if none.
 
-    `pairs` has source_id and target_id; a node is its own path. The frontier keeps one path per (pair, node).
+    `pairs` has source_id and target_id; a node is its own path. All targets of a source are looked for at
+    once: the frontier keeps one path per (source, node), and a source whose targets are found goes no further.
     """
-    steps = g.edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
+    steps = cut(g.edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct())
     known = g.nodes.select(F.col("id"))
-    pairs = pairs.select("source_id", "target_id").distinct().join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    front = cut(pairs.select("source_id", "target_id", F.col("source_id").alias("at"), F.array("source_id").alias("path")))
-    seen, found = front.select("source_id", "target_id", "at"), front.where("at = target_id")
-    for _ in itertools.count() if max_depth is None else range(max_depth):
-        front = front.where("at <> target_id").join(steps, "at").groupBy("source_id", "target_id", "next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
-        front = cut(front.withColumnRenamed("next", "at").join(seen, ["source_id", "target_id", "at"], "left_anti").join(found.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front.select("source_id", "target_id", "at"))
-        found = found.unionByName(front.where("at = target_id").select(found.columns))
-    return found.select("source_id", "target_id", "path")
-
-
-def cycles(g: Graph, max_rounds: int = 10_000) -> DataFrame:
-    """Ids of nodes on a cycle or between two: what is left after peeling nodes without edges in or out."""
-    kinds = g.nodes.select("id", "kind")
-    both = g.edges.join(kinds.withColumnsRenamed({"id": "from_id", "kind": "a"}), "from_id").join(kinds.withColumnsRenamed({"id": "to_id", "kind": "b"}), "to_id")
-    left = cut(both.where("a = b").select("from_id", "to_id").distinct())
-    before = -1
-    for _ in range(max_rounds):
-        n = left.count()
-        if n in (0, before):
-            break
+    pairs = cut(pairs.select("source_id", "target_id").distinct().join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
+    front = pairs.select("source_id").distinct().select("source_id", F.col("source_id").alias("at"), F.array("source_id").alias("path"))
+    seen = found = None
+    for depth in itertools.count():
+        front = cut(front)
+        hit = front.join(pairs.withColumnRenamed("target_id", "at"), ["source_id", "at"]).select("source_id", F.col("at").alias("target_id"), "path")
+        found = hit if found is None else found.unionByName(hit)
+        seen = front.select("source_id", "at") if seen is None else seen.unionByName(front.select("source_id", "at"))
+        if front.isEmpty() or (max_depth is not None and depth >= max_depth):
+            return found
+        open_ = pairs.join(found.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti").select("source_id").distinct()
+        grown = front.join(open_, "source_id", "left_semi").join(steps, "at").groupBy("source_id", "next").agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+        front = grown.select("source_id", F.col("next").alias("at"), "path").join(seen, ["source_id", "at"], "left_anti")
+
+
+def _peel_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes left after peeling, in one task, all that have no edge in or none out."""
+    code, names = pd.factorize(pd.concat([pdf["from_id"], pdf["to_id"]]), use_na_sentinel=False)
+    a, b = code[: len(pdf)], code[len(pdf) :]
+    left = len(a) + 1
+    while len(a) < left:
+        left = len(a)
+        enters, leaves = np.bincount(b, minlength=len(names)) > 0, np.bincount(a, minlength=len(names)) > 0
+        kept = enters[a] & leaves[b]
+        a, b = a[kept], b[kept]
+    return pd.DataFrame({"id": names[np.unique(a)]})
+
+
+def cycles(g: Graph, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Ids of nodes on a cycle or between two: what is left after peeling nodes without edges in or out.
+
+    Edges of all kinds count, so a cycle may lead through claims, evidence and sources.
+    """
+    left, before = cut(g.edges.select("from_id", "to_id").distinct()), -1
+    while (n := left.count()) > local_edges and n != before:
         before = n
         left = left.join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
         left = cut(left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi"))
-    return left.select(F.col("from_id").alias("id")).distinct()
+    if n > local_edges:
+        return left.select(F.col("from_id").alias("id")).distinct()
+    return left.groupBy(F.lit(0).alias("all")).applyInPandas(_peel_all, "id string")

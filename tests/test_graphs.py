@@ -59,6 +59,32 @@ def test_cycles_and_empty(spark):
     assert ids(none.nodes) == ids(citations.unsupported_claims(none)) == ids(citations.cycles(none)) == []
 
 
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_cycles_across_kinds_and_dangling_refs(spark, local_edges):
+    # A span whose source is a claim that cites the span, and a bridge between two cycles.
+    g = graph(spark, ["s"], [("e", "c"), ("e2", "s")], [("c", ["e", "lost"]), ("out", ["c"]), ("p", ["q"]), ("q", ["p", "bridge"]), ("bridge", ["c"]), ("fine", ["e2", ""])])
+    assert ids(citations.cycles(g, local_edges=local_edges)) == ["bridge", "c", "e", "p", "q"]
+    assert rows(g.dangling) == [("c", "lost", "cites")]
+
+
+def test_long_chains_are_walked_whole(spark):
+    g = graph(spark, ["s"], [("e", "s")], [(f"c{i:02d}", [f"c{i + 1:02d}"]) for i in range(40)] + [("c40", ["e"])])
+    whole = [f"c{i:02d}" for i in range(41)] + ["e", "s"]
+    assert rows(citations.paths(g, g.nodes.where("id = 'c00'")), "path", "end_kind") == [(whole, "source")]
+    pairs = spark.createDataFrame([("c00", "s"), ("c39", "s"), ("s", "c00")], "source_id string, target_id string")
+    assert rows(citations.shortest_paths(g, pairs), "path") == [(whole,), (whole[39:],)]
+    assert rows(citations.paths(g, g.nodes.where("id = 's'"), direction="backward", max_depth=3), "path") == [(["s", "e", "c40", "c39"],)]
+    assert ids(citations.cycles(g)) == []
+
+
+def test_walks_that_can_only_go_back_end(spark):
+    g = graph(spark, [], [], [("a", ["b"]), ("b", ["a", "c"]), ("c", ["b"])])
+    assert rows(citations.paths(g, g.nodes.where("id = 'a'")), "path") == [(["a", "b", "c"],)]
+    assert rows(citations.paths(g, g.nodes.where("id = 'b'")), "path") == [(["b", "a"],), (["b", "c"],)]
+    single = citations.graph(spark.createDataFrame([("s", "x")], "id string, record_type string"), spark.createDataFrame([], "id string, record_type string, source_id string"), spark.createDataFrame([("k", "x", None, "s")], "id string, record_type string, evidence_ids array<string>, evidence_id string"))
+    assert rows(single.edges, "from_id", "to_id") == [("k", "s")]
+
+
 def test_integrity(spark):
     spans = spark.createDataFrame([("p1", "s1", "e1"), ("p2", "s2", None)], "id string, source_id string, episode_id string")
     c = spark.createDataFrame([("c1", ["s1"], ["e9"], ["p1", "p2", "p9"], ["p2", "p7"]), ("c2", [], [], ["p2"], None), ("c2", None, None, ["p2"], None)], "id string, source_record_ids array<string>, episode_record_ids array<string>, evidence_span_ids array<string>, example_span_ids array<string>")
