@@ -33,15 +33,16 @@ def _size(array: Column) -> Column:
 
 
 def decay_score(asserted_at: Column, as_of: Column, supersedes: Column, evidence: Column, policy: DecayPolicy | None = None) -> Column:
-    """struct(score, time, event); a missing, malformed or future time leaves a record fully fresh in time.
+    """struct(score, time, event). A missing, malformed or future time leaves a record fully fresh, whatever
+    its events: score and time are 1 and event is 0.
 
-    `asserted_at` is an ISO string, `as_of` a timestamp. The score is the smaller part, within 0 and 1.
+    `asserted_at` is an ISO string, `as_of` a timestamp. Else the score is the smaller part, within 0 and 1.
     """
     policy = policy or DecayPolicy()
     age = (F.unix_micros(as_of) - F.unix_micros(instant(asserted_at))) / 1e6
     half = policy.half_life_days * 86400
     curve = F.pow(F.lit(0.5), age / half) if policy.curve == "exponential" else F.greatest(F.lit(0.0), 1 - age / (2 * half))
-    time = F.when(age > 0, curve).otherwise(F.lit(1.0))
     event = F.pow(F.lit(1 - policy.supersedes_weight), _size(supersedes)) * F.pow(F.lit(1 - policy.evidence_weight), _size(evidence))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), time, event))
-    return F.struct(score.alias("score"), time.alias("time"), event.alias("event"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), curve, event))
+    known = F.coalesce(age >= 0, F.lit(False))
+    return F.struct(F.when(known, score).otherwise(1.0).alias("score"), F.when(known, curve).otherwise(1.0).alias("time"), F.when(known, event).otherwise(0.0).alias("event"))

@@ -42,12 +42,18 @@ def counts_by(records: DataFrame, *, key: str = "id") -> DataFrame:
 
 
 def evidence_gaps(records: DataFrame, known: DataFrame, *, key: str = "id") -> DataFrame:
-    """(missing, orphaned): trusted records without evidence, and such as cite evidence that isn't there."""
+    """(missing, orphaned): trusted records without evidence, and such as cite evidence that isn't there.
+
+    Rows are counted, as everywhere in the report: a record that repeats counts each time.
+    """
     trusted = records.where(plane_of_id(F.coalesce(F.col(key), F.lit(""))).isin("ledger", "taste", "state"))
     missing = trusted.agg(_count(F.coalesce(F.array_size("evidence_span_ids"), F.lit(0)) == 0).alias("missing"))
-    cited = trusted.select(F.col(key).alias("id"), F.explode("evidence_span_ids").alias("ref")).join(known.select(F.col("id").alias("ref")), "ref", "left_anti")
+    # Rows with one id and one list are told apart by their number alone, so they are counted before references are looked up.
+    rows = trusted.groupBy(F.col(key).alias("id"), F.col("evidence_span_ids").alias("refs")).agg(F.count("*").alias("rows"))
+    cited = rows.select("id", "refs", "rows", F.explode("refs").alias("ref")).join(known.select(F.col("id").alias("ref")), "ref", "left_anti")
     none = F.lit(None).cast("bigint")
-    both = missing.select("missing", none.alias("orphaned")).unionByName(cited.agg(F.count_distinct("id").alias("orphaned")).select(none.alias("missing"), "orphaned"))
+    lost = cited.groupBy("id", "refs").agg(F.first("rows").alias("rows")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("orphaned"))
+    both = missing.select("missing", none.alias("orphaned")).unionByName(lost.select(none.alias("missing"), "orphaned"))
     return both.agg(F.max("missing").alias("missing"), F.max("orphaned").alias("orphaned"))
 
 

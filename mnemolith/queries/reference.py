@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import access, canonical, classify, decay, render
+from ..functions.instants import BLANKS
 from ..functions.jsonschema import schema_errors
 from ..operators import bundles, citations, conflicts, hygiene, integrity, migrate, reducer, rules, temporal
 from ..plans import compiler
@@ -291,8 +292,8 @@ def _decayed(spark, sf, curve):
 
 def _decay_sql(curve: str) -> str:
     return f"""with a as (select id, (epoch_us({_T}) - epoch_us(cast(asserted_at as timestamptz))) / 1e6 age, coalesce(len(supersedes), 0) s, coalesce(len(evidence_span_ids), 0) e from ledger_entry),
-p as (select id, case when age > 0 then {curve} else 1.0 end t, pow(0.5, s) * pow(0.9, e) v from a)
-select distinct id, round(greatest(0.0, least(1.0, t, v)), 9) score, round(t, 9) "time", round(v, 9) event from p"""
+p as (select id, coalesce(age >= 0, false) known, {curve} t, pow(0.5, s) * pow(0.9, e) v from a)
+select distinct id, case when known then round(greatest(0.0, least(1.0, t, v)), 9) else 1.0 end score, case when known then round(t, 9) else 1.0 end "time", case when known then round(v, 9) else 0.0 end event from p"""
 
 
 @query(_decay_sql("pow(0.5, age / 7776000.0)"))
@@ -318,7 +319,7 @@ def hygiene_by(spark, sf):
 
 
 @query("""select (select count(*) from ledger_entry where coalesce(len(evidence_span_ids), 0) = 0) missing,
-(select count(distinct id) from (select id, unnest(evidence_span_ids) r from ledger_entry) where r not in (select id from evidence_span where id is not null)) orphaned""")
+(select count(*) from ledger_entry e where exists (select 1 from (select unnest(e.evidence_span_ids) r) where r not in (select id from evidence_span where id is not null))) orphaned""")
 def hygiene_gaps(spark, sf):
     return hygiene.evidence_gaps(_table(spark, sf, "ledger_entry"), _table(spark, sf, "evidence_span"))
 
@@ -466,9 +467,12 @@ def _judged(spark, sf):
 
 
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?\s?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
-_JUDGED = f"""with c as (select id, any_value(evidence_span_ids) e, any_value(confidence) f, any_value(extracted_at) x, any_value(candidate_type) t from candidate group by id),
-k as (select c.*, exists (select 1 from (select unnest(c.e) r) where r not in (select id from evidence_span)) lost, case when regexp_matches(upper(trim(x, ' ')), '{_ISO}') then try_cast(upper(trim(x, ' ')) as timestamptz) end seen from c),
-j as (select id, t, case when coalesce(len(e), 0) = 0 or lost then 'no_evidence' when coalesce(list_position(['low', 'medium', 'high'], f), 0) < 2 then 'low_confidence' when not coalesce(seen >= {_T} - interval 365 day, false) then 'stale' end reason from k) """
+_JUDGED = f"""with t as (select *, upper(trim(extracted_at, '{BLANKS}')) x from candidate),
+s as (select *, case when regexp_matches(x, '{_ISO}') then try_cast(x as timestamptz) end seen from t),
+c as (select * from s qualify row_number() over (partition by id order by seen desc nulls last, extracted_at desc nulls last, evidence_span_ids desc nulls last, confidence desc nulls last) = 1),
+k as (select c.*, (select arg_min(r, i) from (select unnest(c.evidence_span_ids) r, generate_subscripts(c.evidence_span_ids, 1) i) where r not in (select id from evidence_span where id is not null)) lost from c),
+j as (select *, case when coalesce(len(evidence_span_ids), 0) = 0 or lost is not null then 'no_evidence' when coalesce(list_position(['low', 'medium', 'high'], confidence), 0) < 2 then 'low_confidence'
+  when not coalesce(seen >= {_T} - interval 90 day, false) then 'stale' end reason from k) """
 
 
 @query(_JUDGED + "select id, reason from j")
@@ -481,11 +485,53 @@ def reduce_rejections(spark, sf):
     return reducer.rejections(_judged(spark, sf))
 
 
-@query()
+@query(_JUDGED + """select id candidate_id, reason reason_code, case when coalesce(len(evidence_span_ids), 0) = 0 then 'no evidence is cited' when lost is not null then 'not among the evidence: ' || lost
+when reason = 'low_confidence' then 'confidence is ' || coalesce(confidence, 'not given') || ', least is medium' else 'extracted at ' || coalesce(extracted_at, 'no known time') || ', over 90 days ago or unreadable' end message, candidate_type, confidence from j where reason is not null""")
+def reduce_rejected(spark, sf):
+    return reducer.rejected(_judged(spark, sf))
+
+
+def _json_sql(**members: str) -> str:
+    """Canonical JSON of an object, in SQL, from SQL of its members' JSON texts."""
+    return "'{" + " || ',".join(f'"{k}":\' || {v}' for k, v in sorted(members.items())) + " || '}'"
+
+
+def _quoted(field: str) -> str:
+    return f"coalesce(to_json({field}), 'null')"
+
+
+_SPAN = "('[' || to_json(evidence_span_ids[1]) || ']')"
+_CLAIM = _json_sql(evidence_span_ids=_SPAN, ledger_type="'\"fact\"'", predicate=_quoted("predicate"), object=_quoted('"object"'), scope=_quoted("claim_scope"), subject=_quoted("subject"), valid_from=f"'\"{NOW}\"'")
+_PREFERENCE = _json_sql(evidence_span_ids=_SPAN, ledger_type="'\"preference\"'", domain="'null'", preference_text="'null'", scope="case when candidate_type = 'taste_signal' then '\"global\"' else 'null' end", subject="case when candidate_type = 'taste_signal' then 'null' else " + _quoted("subject") + " end", valid_from=f"'\"{NOW}\"'")
+_PROMOTED = (
+    _JUDGED
+    + f""", p as (select *, case when candidate_type = 'claim' then 'fact' else 'preference' end kind, case when candidate_type = 'claim'
+  then 'fact_' || substr(sha256({_json_sql(ledger_type="'" + '"fact"' + "'", evidence_span_ids=_SPAN, normalized_payload=_CLAIM)}), 1, 24) else 'pref_' || substr(sha256({_json_sql(ledger_type="'" + '"preference"' + "'", evidence_span_ids=_SPAN, normalized_payload=_PREFERENCE)}), 1, 24) end entry_id,
+  candidate_type || ' grounded in span ' || evidence_span_ids[1] || case candidate_type when 'claim' then '; scope=' || coalesce(claim_scope, 'None') when 'taste_signal' then '; strength_hint=None' else '; domain=None' end rationale
+  from j where reason is null and candidate_type in ('claim', 'preference', 'taste_signal')),
+d as (select *, 'redmem_' || substr(sha256({_json_sql(decision_type="'" + '"promote"' + "'", target_candidate_ids="('[' || to_json(id) || ']')", target_ledger_entry_ids="('[' || to_json(entry_id) || ']')", evidence_span_ids=_SPAN, rationale="to_json(rationale)")}), 1, 24) decision_id from p) """
+)
+
+
+@query(_PROMOTED + "select id candidate_id, decision_id, entry_id, kind ledger_type, evidence_span_ids[1] span_id from d")
 def reduce_promotions(spark, sf):
     return reducer.promote(_judged(spark, sf), now=_now())
 
 
+@query(_PROMOTED + f"""select entry_id id, kind ledger_type, 'active' status, confidence, coalesce(source_record_ids[1], '') source_id, id candidate_id, decision_id reducer_decision_id, '{NOW}' valid_from, subject, case when kind = 'fact' then claim_text end fact_text,
+case when kind = 'preference' then 'medium' end strength from d""")
+def reduce_entries(spark, sf):
+    """The ledger entries that promotion makes (the test candidates have no fields of preferences and taste signals)."""
+    _, entries = reducer.records(_judged(spark, sf), now=_now())
+    return entries.select("id", "ledger_type", "status", "confidence", F.col("source_record_ids")[0].alias("source_id"), F.col("candidate_ids")[0].alias("candidate_id"), "reducer_decision_id", "valid_from", "subject", "fact_text", "strength")
+
+
+@query(_PROMOTED + f"select decision_id id, id candidate_id, entry_id, rationale, '{NOW}' decided_at, confidence, risk_class from d")
+def reduce_decisions(spark, sf):
+    decisions, _ = reducer.records(_judged(spark, sf), now=_now())
+    return decisions.select("id", F.col("target_candidate_ids")[0].alias("candidate_id"), F.col("target_ledger_entry_ids")[0].alias("entry_id"), "rationale", "decided_at", "confidence", "risk_class")
+
+
 @query()
 def row_rule_violations(spark, sf):
     """What the catalogue demands of every row of the domain tables."""
@@ -549,7 +595,9 @@ def compile_excluded(spark, sf):
     return compiler.exclusions(_selected(spark, sf, "recent"))
 
 
-@query()
+@query(_SELECT + f""", f as (select id, coalesce(epoch_us({_T}) - epoch_us(cast(asserted_at as timestamptz)) >= 0, false) known, (epoch_us({_T}) - epoch_us(cast(asserted_at as timestamptz))) / 1e6 age, coalesce(len(supersedes), 0) p, coalesce(len(evidence_span_ids), 0) q from e),
+g as (select id, case when known then greatest(0.0, least(1.0, pow(0.5, age / 7776000.0), pow(0.5, p) * pow(0.9, q))) else 1.0 end fresh from f)
+select id, cast(row_number() over (order by fresh desc, id) as int) rank from k join g using (id) qualify rank <= 100""")
 def compile_fresh(spark, sf):
     return _selected(spark, sf, "fresh").where("rank is not null").select("id", "rank")
 
