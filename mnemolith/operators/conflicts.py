@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from ..functions.canonical import content_id
+from ..functions.canonical import PREFIXES, canonical_json, content_id, prefixed_id
+from ..functions.instants import instant
 
 #: chosen_version_index of a record built from all variants, and of a resolution that keeps them apart.
 MERGED, SPLIT = -1, -2
@@ -32,7 +33,7 @@ def resolve(conflicts: DataFrame, *, choice: Column, resolved_by: Column, ration
 
     `choice` is a variant's index as text, `merge` (for each key the value of the last bundle that has it;
     a key that is present with null has that value) or `split` (no record is chosen). `rationale` needs ten
-    characters, `resolved_by` one that isn't blank.
+    characters, `resolved_by` one that isn't blank, and `resolved_at` is an ISO time.
     """
     index = choice.try_cast("int")
     count = F.size("variants")
@@ -42,6 +43,7 @@ def resolve(conflicts: DataFrame, *, choice: Column, resolved_by: Column, ration
         .when((picked >= count) | (picked < SPLIT) | ((picked < 0) & index.isNotNull()), "choice is out of range")
         .when(F.coalesce(F.trim(resolved_by), F.lit("")) == "", "resolved_by is blank")
         .when(F.coalesce(F.length(F.trim(rationale)), F.lit(0)) < 10, "rationale has under 10 characters")
+        .when(instant(resolved_at).isNull(), "resolved_at is no time")
     )
     chosen = F.when(choice == "merge", _merged_fields(F.col("id"), F.col("variants"))).otherwise(F.get(F.col("variants.doc"), F.greatest(picked, F.lit(0))))
     others = F.filter(F.transform("variants", lambda v, i: F.struct(i.alias("i"), F.get_json_object(v["doc"], "$.id").alias("id"))), lambda v: (v["i"] != picked) & v["id"].isNotNull() & (v["id"] != ""))
@@ -84,3 +86,37 @@ def violations(bundle: DataFrame, resolutions: DataFrame) -> DataFrame:
     matched = named.join(ids, "id", "left_semi").select("resolution_id").distinct()
     lost = resolutions.select(F.col("id").alias("resolution_id"), "conflict_id", F.lit("no_matching_record").alias("problem")).join(matched, "resolution_id", "left_anti")
     return twice.unionByName(lost.select("resolution_id", "conflict_id", "problem"))
+
+
+_DOCUMENT = "conflict_id string, chosen_version_index int, rejected_record_ids array<string>, resolved_by string, resolved_at string, rationale string, superseded_at string"
+
+
+def from_documents(docs: DataFrame) -> DataFrame:
+    """Resolutions of JSON objects (doc), with an id that is always derived anew from what they say.
+
+    (id, schema_version, conflict_id, chosen_version_index, chosen_record as JSON or null, rejected_record_ids,
+    resolved_by, resolved_at, rationale, superseded_at, metadata as JSON). An id that comes with a document is
+    ignored; rejected ids and metadata that are missing are empty.
+    """
+    whole = docs.select(F.col("doc"), F.from_json("doc", _DOCUMENT).alias("r"))
+    member = lambda name: F.get_json_object("doc", f"$.{name}")
+    rejected = F.coalesce("r.rejected_record_ids", F.array().cast("array<string>"))
+    # Objects are passed on as JSON, so the payload is put together from its members' texts.
+    texts = {
+        "chosen_record": F.coalesce(member("chosen_record"), F.lit("null")), "chosen_version_index": F.coalesce(F.col("r.chosen_version_index").cast("string"), F.lit("null")),
+        "metadata": F.coalesce(member("metadata"), F.lit("{}")), "rejected_record_ids": F.to_json(rejected),
+        **{n: F.coalesce(F.to_json(F.array(f"r.{n}"), {"ignoreNullFields": "false"}), F.lit("[null]")) for n in ("conflict_id", "rationale", "resolved_at", "resolved_by", "superseded_at")},
+    }
+    single = lambda n, t: t if n in ("chosen_record", "chosen_version_index", "metadata", "rejected_record_ids") else F.substr(t, F.lit(2), F.length(t) - 2)
+    payload = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), single(n, texts[n])) for n in sorted(texts)]), F.lit("}"))
+    rows = whole.select("r.*", canonical_json(payload).alias("payload"), member("chosen_record").alias("chosen"), F.coalesce(member("metadata"), F.lit("{}")).alias("metadata"), rejected.alias("rejected"))
+    return rows.select(
+        prefixed_id(PREFIXES["conflict_resolution"], F.col("payload")).alias("id"), F.lit("1.0.0").alias("schema_version"), "conflict_id", "chosen_version_index", F.col("chosen").alias("chosen_record"), F.col("rejected").alias("rejected_record_ids"),
+        "resolved_by", "resolved_at", "rationale", "superseded_at", "metadata",
+    )
+
+
+def to_documents(resolutions: DataFrame) -> DataFrame:
+    """(doc): each resolution as a JSON object, its chosen record and metadata as objects."""
+    parsed = resolutions.withColumns({c: F.parse_json(c) for c in ("chosen_record", "metadata")})
+    return parsed.select(F.to_json(F.struct(*resolutions.columns), {"ignoreNullFields": "false"}).alias("doc"))

@@ -6,10 +6,16 @@ references is checked by one join each.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instants import instant
+from ..functions.validity import is_active
+from .migrate import upgraded
+
+_PERIOD = ("status", "superseded_by", "valid_from", "valid_until", "stale_after")
 
 
 def _row(rule: str, key: Column, ref: Column | None = None) -> list[Column]:
@@ -42,7 +48,8 @@ def not_within(records: DataFrame, inner: str, outer: str, *, key: str = "id") -
 
 def undeclared_span_origins(records: DataFrame, spans: DataFrame, *, key: str = "id") -> DataFrame:
     """Spans whose source or episode the citing record doesn't declare, though it declares some."""
-    cited = records.select(F.col(key).alias("id"), F.col("source_record_ids").alias("sources"), F.col("episode_record_ids").alias("episodes"), F.explode(F.array_distinct("evidence_span_ids")).alias("ref"))
+    declared = lambda f: F.col(f) if f in records.columns else F.lit(None).cast("array<string>")
+    cited = records.select(F.col(key).alias("id"), declared("source_record_ids").alias("sources"), declared("episode_record_ids").alias("episodes"), F.explode(F.array_distinct("evidence_span_ids")).alias("ref"))
     origin = spans.groupBy(F.col("id").alias("ref")).agg(F.max("source_id").alias("source_id"), F.max("episode_id").alias("episode_id"))
     joined = cited.join(origin, "ref")
     missing = lambda declared, one: (F.coalesce(F.array_size(declared), F.lit(0)) > 0) & one.isNotNull() & ~F.coalesce(F.array_contains(declared, one), F.lit(False))
@@ -73,20 +80,65 @@ def supersession(entries: DataFrame, *, key: str = "id") -> DataFrame:
     return full.select("old", "new", F.explode(F.array_compact(problems)).alias("rule")).select("rule", F.col("old").alias("record_id"), F.col("new").alias("ref_id"))
 
 
+def _list(field: str) -> Column:
+    return F.coalesce(F.col(field), F.array().cast("array<string>"))
+
+
+def authorised(records: DataFrame, decisions: DataFrame, *, target: str, within: Mapping[str, str], said: Mapping[str, str] | None = None, candidates: str | None = None, noun: str = "record", key: str = "id") -> DataFrame:
+    """Records that their reducer decision (`reducer_decision_id`) doesn't cover.
+
+    The decision must exist, name the record in its `target` list, and hold every element of the record's
+    lists (`within`: list of the record to list of the decision; a list may be in several, joined by +). A
+    record without `candidates` must be asserted by a human in its metadata. Missing columns are empty lists.
+    """
+    have = lambda df, f: _list(f) if f in df.columns else F.array().cast("array<string>")
+    fields = sorted({target, *(f for fs in within.values() for f in fs.split("+"))})
+    by_id = decisions.where("id is not null").groupBy(F.col("id").alias("reducer_decision_id")).agg(F.max(F.struct(*[have(decisions, f).alias(f) for f in fields])).alias("d"))
+    there, name = F.col("d").isNotNull(), said or {}
+    mine = [*within, *([candidates] if candidates else [])]
+    human = F.coalesce(F.get_json_object("metadata", "$.human_asserted") == "true", F.lit(False)) if "metadata" in records.columns else F.lit(False)
+    joined = records.select(F.col(key).alias("id"), "reducer_decision_id", *[have(records, f).alias(f) for f in dict.fromkeys(mine)], human.alias("human")).join(by_id, "reducer_decision_id", "left")
+    problems = [F.when(~there, "dangling reducer_decision_id"), F.when(there & ~F.array_contains(f"d.{target}", F.col("id")), f"{noun} is no target of its decision")]
+    for field, outer in within.items():
+        known = F.concat(*[F.col(f"d.{f}") for f in outer.split("+")])
+        problems.append(F.when(there & (F.size(F.array_except(field, known)) > 0), f"{name.get(field, field)} beyond the decision"))
+    if candidates:
+        problems.append(F.when((F.size(candidates) == 0) & ~F.col("human"), "neither candidates nor a human stand behind it"))
+    return joined.select("id", "reducer_decision_id", F.explode(F.array_compact(F.array(*problems))).alias("rule")).select("rule", F.col("id").alias("record_id"), F.col("reducer_decision_id").alias("ref_id")).distinct()
+
+
 def authorisation(entries: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entries that their reducer decision doesn't cover: not a target, or with candidates or evidence beyond it."""
-    lists = ("target_candidate_ids", "target_ledger_entry_ids", "evidence_span_ids")
-    none = F.array().cast("array<string>")
-    by_id = decisions.where("id is not null").groupBy(F.col("id").alias("reducer_decision_id")).agg(F.max(F.struct(*[F.coalesce(c, none).alias(c) for c in lists])).alias("d"))
-    joined = entries.select("id", "reducer_decision_id", F.coalesce("candidate_ids", none).alias("candidate_ids"), F.coalesce("evidence_span_ids", none).alias("evidence_span_ids")).join(by_id, "reducer_decision_id", "left")
-    there = F.col("d").isNotNull()
-    problems = F.array(
-        F.when(~there, "dangling reducer_decision_id"),
-        F.when(there & ~F.array_contains("d.target_ledger_entry_ids", F.col("id")), "entry is no target of its decision"),
-        F.when(there & (F.size(F.array_except("candidate_ids", F.col("d.target_candidate_ids"))) > 0), "candidates beyond the decision"),
-        F.when(there & (F.size(F.array_except("evidence_span_ids", F.col("d.evidence_span_ids"))) > 0), "evidence beyond the decision"),
-    )
-    return joined.select("id", "reducer_decision_id", F.explode(F.array_compact(problems)).alias("rule")).select("rule", F.col("id").alias("record_id"), F.col("reducer_decision_id").alias("ref_id")).distinct()
+    """Entries that their reducer decision doesn't cover: not a target, or with candidates or evidence beyond it,
+    or with neither candidates nor a human behind them."""
+    return authorised(
+        entries, decisions, target="target_ledger_entry_ids", within={"candidate_ids": "target_candidate_ids", "evidence_span_ids": "evidence_span_ids"},
+        said={"candidate_ids": "candidates", "evidence_span_ids": "evidence"}, candidates="candidate_ids", noun="entry",
+    )
+
+
+def wrong_type(records: DataFrame, field: str, targets: DataFrame, type_field: str, wanted: str) -> DataFrame:
+    """References of `field` to targets of another type than the wanted one."""
+    typed = targets.groupBy(F.col("id").alias("ref")).agg(F.max(type_field).alias("type"))
+    return references(records, field).join(typed, "ref").where(~F.col("type").eqNullSafe(wanted)).select(*_row(f"{field} not of type {wanted}", F.col("id"), F.col("ref")))
+
+
+def inactive(records: DataFrame, field: str, targets: DataFrame, at: str) -> DataFrame:
+    """References of `field` to targets that weren't active at the record's own time `at`.
+
+    Of several rows of a target the last updated counts.
+    """
+    ref = F.explode(field) if dict(records.dtypes)[field].startswith("array") else F.col(field)
+    asked = records.select("id", F.col(at).alias("at"), ref.alias("ref")).where("ref is not null").distinct()
+    updated = F.col("updated_at") if "updated_at" in targets.columns else F.lit(None).cast("string")
+    latest = targets.where("id is not null").groupBy(F.col("id").alias("ref")).agg(F.max(F.struct(updated.alias("updated_at"), *_PERIOD)).alias("e"))
+    active = is_active(instant(F.col("at")), **{f: F.col(f"e.{f}") for f in _PERIOD})
+    return asked.join(latest, "ref").where(~F.coalesce(active, F.lit(False))).select(*_row(f"{field} not active at {at}", F.col("id"), F.col("ref")))
+
+
+def not_answered(decisions: DataFrame, field: str, records: DataFrame) -> DataFrame:
+    """Targets of a decision that name another decision as theirs."""
+    theirs = records.groupBy(F.col("id").alias("ref")).agg(F.max("reducer_decision_id").alias("by"))
+    return references(decisions, field).join(theirs, "ref").where(~F.col("by").eqNullSafe(F.col("id"))).select(*_row(f"{field} answer to another decision", F.col("id"), F.col("ref")))
 
 
 def candidate_bundle(sources: DataFrame, episodes: DataFrame | None, spans: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -99,7 +151,8 @@ def candidate_bundle(sources: DataFrame, episodes: DataFrame | None, spans: Data
 
 
 def ledger_bundle(sources: DataFrame, spans: DataFrame, candidates: DataFrame, decisions: DataFrame, entries: DataFrame) -> DataFrame:
-    """All violations of a ledger bundle."""
+    """All violations of a ledger bundle; entries of an older version are brought up to date first."""
+    entries = upgraded(entries)
     return _all(
         [
             duplicates(decisions, "duplicate decision"), duplicates(entries, "duplicate entry"), dangling(decisions, "target_candidate_ids", candidates), dangling(decisions, "target_ledger_entry_ids", entries),
@@ -109,11 +162,24 @@ def ledger_bundle(sources: DataFrame, spans: DataFrame, candidates: DataFrame, d
     )
 
 
-def taste_bundle(sources: DataFrame, spans: DataFrame, signals: DataFrame, decisions: DataFrame, cards: DataFrame) -> DataFrame:
-    """All violations of a bundle of taste cards and the decisions that made them."""
+def taste_bundle(sources: DataFrame, spans: DataFrame, signals: DataFrame, decisions: DataFrame, cards: DataFrame, *, episodes: DataFrame | None = None) -> DataFrame:
+    """All violations of a bundle of taste cards and the decisions that made them.
+
+    `signals` are candidates of any type. The examples of a card, and both ends of its contrast pairs, must
+    be among its evidence. Cards of an older version are brought up to date first.
+    """
+    cards = upgraded(cards)
     parts = [duplicates(decisions, "duplicate decision"), duplicates(cards, "duplicate card"), dangling(decisions, "target_taste_card_ids", cards), dangling(decisions, "target_taste_signal_ids", signals)]
-    parts += [dangling(cards, "reducer_decision_id", decisions), dangling(cards, "source_record_ids", sources), dangling(cards, "evidence_span_ids", spans), dangling(cards, "candidate_taste_signal_ids", signals.where("candidate_type = 'taste_signal'"))]
+    parts += [wrong_type(decisions, "target_taste_signal_ids", signals, "candidate_type", "taste_signal"), undeclared_span_origins(decisions, spans), dangling(decisions, "evidence_span_ids", spans)]
+    parts += [dangling(cards, "source_record_ids", sources), dangling(cards, "evidence_span_ids", spans), dangling(cards, "candidate_taste_signal_ids", signals), wrong_type(cards, "candidate_taste_signal_ids", signals, "candidate_type", "taste_signal")]
+    if episodes is not None:
+        parts.append(dangling(cards, "episode_record_ids", episodes))
     parts += [not_within(cards, f, "evidence_span_ids") for f in ("positive_example_span_ids", "negative_example_span_ids") if f in cards.columns]
+    if "contrast_pairs" in cards.columns:
+        ends = F.flatten(F.transform("contrast_pairs", lambda p: F.array(p["preferred_span_id"], p["rejected_span_id"])))
+        parts.append(not_within(cards.withColumn("contrast_pairs", ends), "contrast_pairs", "evidence_span_ids"))
+    covered = {"candidate_taste_signal_ids": "target_taste_signal_ids", "evidence_span_ids": "evidence_span_ids", "supersedes": "target_taste_card_ids", "superseded_by": "target_taste_card_ids"}
+    parts.append(authorised(cards, decisions, target="target_taste_card_ids", within=covered, candidates="candidate_taste_signal_ids", noun="card"))
     return _all([*parts, undeclared_span_origins(cards, spans), supersession(cards)])
 
 
@@ -125,33 +191,187 @@ def row_violations(planes: dict[str, DataFrame]) -> DataFrame:
     return _all(parts)
 
 
-def state_bundle(states: DataFrame, *, group: str, trusted: DataFrame) -> DataFrame:
-    """Duplicate snapshots, references to trusted records that are missing, and periods of one group that overlap."""
+#: Which trusted records a list of a state snapshot or of a pack's trusted memory names.
+_LEDGER_LISTS = {"fact_ids": "fact", "preference_ids": "preference", "decision_ids": "decision"}
+
+
+def state_bundle(
+    states: DataFrame, *, group: str, trusted: DataFrame, sources: DataFrame | None = None, episodes: DataFrame | None = None, spans: DataFrame | None = None,
+    candidates: DataFrame | None = None, cards: DataFrame | None = None, decisions: DataFrame | None = None, projects: DataFrame | None = None,
+) -> DataFrame:
+    """All violations of state snapshots of one kind: project states by project, core states by subject.
+
+    References must exist, be of their list's type and, where snapshots have `as_of`, be active then;
+    `projects` are the project states that core states name. Decisions must cover their snapshots, which
+    must answer to them. Supersession links must agree, and periods of current snapshots of one group must
+    not overlap. What isn't given isn't checked; snapshots and entries of an older version are brought up
+    to date first.
+    """
     from .temporal import overlaps
 
+    states, trusted = upgraded(states), upgraded(trusted)
+    has = lambda *fields: all(f in states.columns for f in fields)
+    everything = trusted.select("id") if cards is None else trusted.select("id").unionByName(cards.select("id"))
     parts = [duplicates(states, "duplicate state")]
-    parts += [dangling(states, f, trusted) for f in ("active_fact_ids", "active_preference_ids", "active_decision_ids", "active_taste_card_ids") if f in states.columns]
-    parts.append(overlaps(states, group=group).select(*_row("periods overlap", F.col("id"), F.col("overlaps_id"))))
+    dated = has("as_of") and set(_PERIOD) <= set(trusted.columns)
+    for name, kind in _LEDGER_LISTS.items():
+        if has(field := f"active_{name}"):
+            parts.append(dangling(states, field, trusted))
+            if "ledger_type" in trusted.columns:
+                parts.append(wrong_type(states, field, trusted, "ledger_type", kind))
+            if dated:
+                parts.append(inactive(states, field, trusted, "as_of"))
+    if has("active_taste_card_ids"):
+        parts.append(dangling(states, "active_taste_card_ids", everything))
+        if cards is not None and has("as_of"):
+            parts.append(inactive(states, "active_taste_card_ids", upgraded(cards), "as_of"))
+    for field, plane in (("source_record_ids", sources), ("episode_record_ids", episodes), ("evidence_span_ids", spans), ("candidate_task_ids", candidates), ("active_project_state_ids", projects)):
+        if plane is not None and has(field):
+            parts.append(dangling(states, field, plane))
+    if spans is not None and has("evidence_span_ids"):
+        parts.append(undeclared_span_origins(states, spans))
+    if candidates is not None and has("candidate_task_ids"):
+        parts.append(wrong_type(states, "candidate_task_ids", candidates, "candidate_type", "task"))
+    if projects is not None and has("active_project_state_ids", "as_of"):
+        parts.append(inactive(states, "active_project_state_ids", upgraded(projects), "as_of"))
+    if decisions is not None:
+        parts += _state_decisions(states, decisions, sources, episodes, spans, trusted, cards)
+    if has("supersedes", "superseded_by"):
+        parts.append(supersession(states))
+    current = states
+    if has("status", "superseded_by"):
+        current = states.where((F.col("status") == "active") & (F.coalesce(F.array_size("superseded_by"), F.lit(0)) == 0))
+    parts.append(overlaps(current, group=group).select(*_row("periods overlap", F.col("id"), F.col("overlaps_id"))))
     return _all(parts)
 
 
+def _state_decisions(states: DataFrame, decisions: DataFrame, sources: DataFrame | None, episodes: DataFrame | None, spans: DataFrame | None, trusted: DataFrame, cards: DataFrame | None) -> list[DataFrame]:
+    core = "active_project_state_ids" in states.columns
+    target = "target_core_state_ids" if core else "target_project_state_ids"
+    parts = [duplicates(decisions, "duplicate decision"), dangling(decisions, target, states), not_answered(decisions, target, states)]
+    for field, plane in (("source_record_ids", sources), ("episode_record_ids", episodes), ("evidence_span_ids", spans), ("ledger_entry_ids", trusted), ("taste_card_ids", cards)):
+        if plane is not None and field in decisions.columns:
+            parts.append(dangling(decisions, field, plane))
+    if spans is not None:
+        parts.append(undeclared_span_origins(decisions, spans))
+    covered = {"evidence_span_ids": "evidence_span_ids", **{f"active_{f}": "ledger_entry_ids" for f in _LEDGER_LISTS}, "active_taste_card_ids": "taste_card_ids", "supersedes": target, "superseded_by": target}
+    parts.append(authorised(states, decisions, target=target, within={f: d for f, d in covered.items() if f in states.columns}, noun="snapshot"))
+    return parts
+
+
 def pack_bundle(packs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Duplicate packs, and cited entries that are missing or were not active when the pack was made.
 
-    `packs`: (id, created_at, entry_ids); `trusted` has the fields of a ledger entry.
+    `packs`: (id, created_at, entry_ids); `trusted` has the fields of a ledger entry. For packs as whole
+    documents see `pack_documents`.
     """
-    from ..functions.validity import is_active
-
     cited = packs.select("id", "created_at", F.explode(F.array_distinct("entry_ids")).alias("ref")).distinct()
-    fields = ("status", "superseded_by", "valid_from", "valid_until", "stale_after")
-    latest = trusted.where("id is not null").groupBy(F.col("id").alias("ref")).agg(F.max(F.struct("updated_at", *fields)).alias("e"))
+    latest = trusted.where("id is not null").groupBy(F.col("id").alias("ref")).agg(F.max(F.struct("updated_at", *_PERIOD)).alias("e"))
     joined = cited.join(latest, "ref", "left")
-    active = is_active(instant(F.col("created_at")), **{f: F.col(f"e.{f}") for f in fields})
+    active = is_active(instant(F.col("created_at")), **{f: F.col(f"e.{f}") for f in _PERIOD})
     lost = joined.where("e is null").select(*_row("dangling pack entry", F.col("id"), F.col("ref")))
     stale = joined.where(F.col("e").isNotNull() & ~F.coalesce(active, F.lit(False))).select(*_row("entry not active at created_at", F.col("id"), F.col("ref")))
     return _all([duplicates(packs.select("id", "created_at", "entry_ids").distinct(), "duplicate pack"), lost, stale])
 
 
+# The type that the candidates of each list of a pack have, and the tasks that need taste cards.
+_CANDIDATE_LISTS = {"candidate_task_ids": "task", "candidate_claim_ids": "claim", "candidate_preference_ids": "preference", "candidate_decision_ids": "decision", "candidate_taste_signal_ids": "taste_signal"}
+_TASTE_TASKS = ("writing", "architecture_review", "review")
+_LATE_STATUSES = ("stale", "superseded", "contested")
+
+
+def pack_documents(planes: Mapping[str, DataFrame]) -> DataFrame:
+    """All violations of context packs as whole documents, with their receipts and reports.
+
+    `planes`: source_records, episode_records, evidence_spans, candidates, ledger_entries, taste_cards,
+    project_states, core_states, packs, receipts, reports, each with the columns of its schema.
+    """
+    p = planes
+    made = F.col("authority.created_at")
+    packs = p["packs"]
+    section = lambda name: packs.select("id", made.alias("created_at"), f"{name}.*")
+    trusted, late, candidate, evidence, state = (section(n) for n in ("trusted_memory", "stale_or_superseded", "candidate_context", "evidence", "state"))
+    cards, projects, cores = (upgraded(p[n]) for n in ("taste_cards", "project_states", "core_states"))
+    entries = upgraded(p["ledger_entries"])
+    parts = [duplicates(p[n], f"duplicate in {n}") for n in sorted(p)]
+    # Evidence: it exists, and its sources and episodes are declared by the pack.
+    parts += [dangling(evidence, "source_record_ids", p["source_records"]), dangling(evidence, "episode_record_ids", p["episode_records"])]
+    parts += [dangling(evidence, f, p["evidence_spans"]) for f in ("evidence_span_ids", "primary_evidence_span_ids")]
+    spans = p["evidence_spans"].groupBy(F.col("id").alias("ref")).agg(F.max("source_id").alias("source_id"), F.max("episode_id").alias("episode_id"))
+    cited = evidence.select("id", "source_record_ids", "episode_record_ids", F.explode(F.array_union(_list("evidence_span_ids"), _list("primary_evidence_span_ids"))).alias("ref")).join(spans, "ref")
+    for one, many in (("source_id", "source_record_ids"), ("episode_id", "episode_record_ids")):
+        parts.append(cited.where(F.col(one).isNotNull() & ~F.array_contains(_list(many), F.col(one))).select(*_row(f"{one} of a span not declared", F.col("id"), F.col("ref"))).distinct())
+    parts.append(not_within(evidence, "primary_evidence_span_ids", "evidence_span_ids"))
+    # What a pack is made of must be in its trace.
+    core = F.array_compact(F.array("core_state_id"))
+    lists = lambda df, *fields: F.concat(*[_list(f) for f in fields])
+    ledger_late = lists(late, *_LEDGER_LISTS)
+    whole = packs.select("id", F.col("retrieval_trace.included_ids").alias("included")).dropDuplicates(["id"])
+    pieces = [
+        trusted.select("id", lists(trusted, *_LEDGER_LISTS, "taste_card_ids").alias("ids")), late.select("id", F.concat(ledger_late, _list("taste_card_ids"), _list("project_state_ids"), _list("core_state_ids")).alias("ids")),
+        candidate.select("id", lists(candidate, *_CANDIDATE_LISTS).alias("ids")), evidence.select("id", lists(evidence, "evidence_span_ids", "primary_evidence_span_ids").alias("ids")), state.select("id", F.concat(core, _list("project_state_ids")).alias("ids")),
+    ]
+    material = _all([x.select("id", F.explode("ids").alias("ref")) for x in pieces]).distinct()
+    parts.append(material.join(whole, "id").where(~F.array_contains(_list("included"), F.col("ref"))).select(*_row("not in the trace", F.col("id"), F.col("ref"))))
+    for field, kind in _CANDIDATE_LISTS.items():
+        parts += [dangling(candidate, field, p["candidates"]), wrong_type(candidate, field, p["candidates"], "candidate_type", kind)]
+    # Trusted memory and state are active when the pack is made; what is late has a status that says so.
+    for field, kind in _LEDGER_LISTS.items():
+        parts += [dangling(trusted, field, entries), wrong_type(trusted, field, entries, "ledger_type", kind), inactive(trusted, field, entries, "created_at"), dangling(late, field, entries), _not_late(late, field, entries)]
+    for rows, field, plane in ((trusted, "taste_card_ids", cards), (state, "project_state_ids", projects), (state, "core_state_id", cores)):
+        parts += [dangling(rows, field, plane), inactive(rows, field, plane, "created_at")]
+    for field, plane in (("taste_card_ids", cards), ("project_state_ids", projects), ("core_state_ids", cores)):
+        parts += [dangling(late, field, plane), _not_late(late, field, plane)]
+    wants_taste = packs.where(F.col("task.task_type").isin(*_TASTE_TASKS) & (F.size(_list("trusted_memory.taste_card_ids")) == 0))
+    parts.append(wants_taste.select(*_row("task without taste cards", F.col("id"))))
+    return _all([*parts, *_receipts(packs, p["receipts"], late, entries, cards, projects, cores), *_reports(packs, p["reports"])])
+
+
+def _statuses(late: DataFrame, field: str, plane: DataFrame) -> DataFrame:
+    status = plane.groupBy(F.col("id").alias("ref")).agg(F.max("status").alias("status"))
+    return references(late, field).join(status, "ref")
+
+
+def _not_late(late: DataFrame, field: str, plane: DataFrame) -> DataFrame:
+    return _statuses(late, field, plane).where(~F.coalesce(F.col("status").isin(*_LATE_STATUSES), F.lit(False))).select(*_row(f"{field} neither stale, superseded nor contested", F.col("id"), F.col("ref")))
+
+
+def _receipts(packs: DataFrame, receipts: DataFrame, late: DataFrame, entries: DataFrame, cards: DataFrame, projects: DataFrame, cores: DataFrame) -> list[DataFrame]:
+    """Receipts belong to packs, cover them, and say whether stale and contested records are in."""
+    of = receipts.select(F.col("id").alias("receipt"), F.col("context_pack_id").alias("id"), "input_refs", "selection_policy")
+    parts = [dangling(receipts, "context_pack_id", packs), packs.select("id").join(of.select("id"), "id", "left_anti").select(*_row("pack without receipt", F.col("id"))).distinct()]
+    both = of.join(packs, "id")
+    parts.append(both.where(~F.col("selection_policy.current_cutoff").eqNullSafe(F.col("authority.created_at"))).select(*_row("cut-off differs from the pack's time", F.col("receipt"), F.col("id"))))
+    c, t, s = (lambda f: _list(f"candidate_context.{f}")), (lambda f: _list(f"trusted_memory.{f}")), (lambda f: _list(f"stale_or_superseded.{f}"))
+    covered = {
+        "core_state_ids": F.array_compact(F.array("state.core_state_id")), "project_state_ids": _list("state.project_state_ids"), "ledger_entry_ids": F.concat(*[x(f) for f in _LEDGER_LISTS for x in (t, s)]),
+        "taste_card_ids": F.concat(t("taste_card_ids"), s("taste_card_ids")), "candidate_ids": F.concat(*[c(f) for f in _CANDIDATE_LISTS]), "evidence_span_ids": _list("evidence.evidence_span_ids"),
+    }
+    for field, inner in covered.items():
+        missing = both.select("receipt", F.explode(F.array_except(inner, _list(f"input_refs.{field}"))).alias("ref"))
+        parts.append(missing.select(*_row(f"receipt lacks {field}", F.col("receipt"), F.col("ref"))))
+    status = _all([_statuses(late, f, plane).select("id", "status") for f, plane in (*((f, entries) for f in _LEDGER_LISTS), ("taste_card_ids", cards), ("project_state_ids", projects), ("core_state_ids", cores))])
+    per_pack = status.groupBy("id").agg(F.max((F.col("status") == "contested").cast("int")).alias("contested"))
+    said = of.join(per_pack, "id")
+    no = lambda f: ~F.coalesce(F.col(f"selection_policy.{f}").cast("boolean"), F.lit(False))
+    parts.append(said.where(no("include_stale")).select(*_row("receipt denies stale records", F.col("receipt"), F.col("id"))))
+    parts.append(said.where((F.col("contested") == 1) & no("include_contested")).select(*_row("receipt denies contested records", F.col("receipt"), F.col("id"))))
+    return parts
+
+
+def _reports(packs: DataFrame, reports: DataFrame) -> list[DataFrame]:
+    """Reports belong to packs, every pack has one that passes, and their results agree with their checks."""
+    passing = reports.where("status = 'pass'")
+    failing = F.exists(F.map_values("checks"), lambda v: ~F.coalesce(v.isin("pass", "not_applicable"), F.lit(False)))
+    errors = F.coalesce(F.array_size("errors"), F.lit(0))
+    return [
+        dangling(reports, "context_pack_id", packs),
+        packs.select("id").join(passing.select(F.col("context_pack_id").alias("id")), "id", "left_anti").select(*_row("pack without passing report", F.col("id"))).distinct(),
+        passing.where(F.coalesce(failing, F.lit(False)) | (errors > 0)).select(*_row("passing report has failures", F.col("id"))),
+        reports.where((~F.col("status").eqNullSafe("pass")) & (errors == 0)).select(*_row("failing report has no errors", F.col("id"))),
+    ]
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

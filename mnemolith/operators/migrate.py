@@ -58,25 +58,43 @@ class Migrator:
     def has_path(self, start: str, target: str) -> bool:
         return self.find_path(start, target) is not None
 
+    def versions(self) -> list[str]:
+        """Every version that a step begins or ends with, as registered."""
+        return list(dict.fromkeys(v for s in self.steps for v in (s.from_version, s.to_version)))
+
     def migrate(self, records: DataFrame, target: str) -> DataFrame:
         """Records at `target`, with `migrated_from`; a version without a path is an error.
 
-        Versions are few and are collected; each is migrated as one projection, and all are put together.
+        One projection per registered version that leads to `target`, put together; nothing is collected.
+        A record at any other version makes the job fail when it is met, with its id and version.
         """
         if not target:
             raise ValueError("a target version is needed")
+        if self.steps and target not in self.versions():
+            raise ValueError(f"no step leads to {target}")
+        known = {v: path for v in [*self.versions(), target] if (path := self.find_path(v, target)) is not None}
         rows = records.withColumn("schema_version", F.coalesce("schema_version", F.lit(DEFAULT_VERSION)))
-        versions = sorted(r[0] for r in rows.select("schema_version").distinct().collect())
+        lost = F.concat(F.lit("record "), F.coalesce(F.col("id").cast("string"), F.lit("without id")) if "id" in records.columns else F.lit("?"), F.lit(": no path from "), F.col("schema_version"), F.lit(f" to {target}"))
+        rows = rows.withColumn("schema_version", F.when(F.col("schema_version").isin(*known), F.col("schema_version")).otherwise(F.raise_error(lost).cast("string")))
         out = None
-        for version in versions:
-            path = self.find_path(version, target)
-            if path is None:
-                raise ValueError(f"no path from {version} to {target}")
+        for version, path in known.items():
             part = rows.where(F.col("schema_version") == version).withColumn("migrated_from", F.lit(version))
             for step in path:
-                part = step.transform(part).withColumn("schema_version", F.lit(step.to_version))
+                try:
+                    part = step.transform(part)
+                except Exception as error:
+                    raise ValueError(f"the step from {step.from_version} to {step.to_version} fails: {error}") from error
+                part = part.withColumn("schema_version", F.lit(step.to_version))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return rows.withColumn("migrated_from", F.col("schema_version")) if out is None else out
+        return out
+
+    def steps_applied(self, migrated: DataFrame) -> DataFrame:
+        """(from_version, to_version, records): the steps that touched a record of a migrated table."""
+        taken = {(v, t): self.find_path(v, t) or [] for v in self.versions() for t in self.versions() if v != t}
+        pairs = [(v, t, i, s.from_version, s.to_version) for (v, t), path in taken.items() for i, s in enumerate(path)]
+        table = migrated.sparkSession.createDataFrame(pairs, "migrated_from string, schema_version string, step int, from_version string, to_version string")
+        # At most one row per pair of registered versions.
+        return counts(migrated).join(F.broadcast(table), ["migrated_from", "schema_version"]).groupBy("from_version", "to_version").agg(F.sum("records").alias("records"))
 
 
 def counts(migrated: DataFrame) -> DataFrame:
@@ -89,6 +107,23 @@ def add_freshness(records: DataFrame) -> DataFrame:
     return records if "freshness_score" in records.columns else records.withColumn("freshness_score", F.lit(None).cast("double"))
 
 
+#: The version that ledger entries, taste cards and state snapshots are brought to before they are validated.
+TRUSTED_VERSION = "1.1.0"
+
+
+def upgraded(records: DataFrame) -> DataFrame:
+    """Trusted records at the version that validation expects; tables without versions are left as they are.
+
+    Versions that no step knows stay, so that the rules of rows can report them.
+    """
+    if "schema_version" not in records.columns:
+        return records
+    migrator = default_migrator()
+    old = F.coalesce("schema_version", F.lit(DEFAULT_VERSION)).isin(*migrator.versions())
+    rest = records.where(~old)
+    return migrator.migrate(records.where(old), TRUSTED_VERSION).drop("migrated_from").unionByName(add_freshness(rest), allowMissingColumns=True)
+
+
 def default_migrator() -> Migrator:
     migrator = Migrator()
     migrator.register(Step("1.0.0", "1.1.0", add_freshness, "adds freshness_score"))

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.instants import trimmed
 from ..functions.jsonschema import schema_errors
 from ..operators.rules import ViolationError
 from ..schemas import json_schema
@@ -42,7 +43,7 @@ def read_bundle(spark: SparkSession, path: str, *, bundle_ix: int = 0, strict: b
     left out unless `strict`. JSON: an object is one record, an array one per object in it, other items are
     left out; anything else is an error.
     """
-    if sniff(path, _head(path)) == "jsonl":
+    if sniff(path, "" if path.endswith((".json", ".jsonl")) else _head(spark, path)) == "jsonl":
         lines = numbered_lines(spark, path).where(F.trim("text") != "")
         kind = F.schema_of_variant(F.try_parse_json("text"))
         bad = ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))
@@ -59,12 +60,10 @@ def read_bundle(spark: SparkSession, path: str, *, bundle_ix: int = 0, strict: b
     return items.where(F.substring(F.trim("doc"), 1, 1) == "{").select(F.lit(bundle_ix).alias("bundle_ix"), F.col("pos").cast("bigint").alias("pos"), "doc")
 
 
-def _head(path: str) -> str:
-    try:
-        with Path(path).open(encoding="utf-8") as f:
-            return f.read(64)
-    except (OSError, UnicodeDecodeError):
-        return ""
+def _head(spark: SparkSession, path: str) -> str:
+    """The first character of a file, wherever it lies and whatever blanks come first; empty for a blank file."""
+    first = spark.read.text(path).select(F.substring(trimmed(F.col("value")), 1, 1).alias("c")).where("c <> ''").limit(1).collect()
+    return first[0][0] if first else ""
 
 
 def load_single_json(path: str):

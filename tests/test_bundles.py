@@ -99,3 +99,20 @@ def test_policies():
     for bad in ({"max_records": -1}, {"strategy": "odd"}):
         with pytest.raises(ValueError):
             Policy(**bad)
+
+
+def test_migration_names_the_record_that_has_no_path(spark):
+    m = migrate.default_migrator()
+    data = spark.createDataFrame([("a", "1.0.0"), ("b", None), ("c", "1.1.0"), ("odd", "0.9.0")], "id string, schema_version string")
+    with pytest.raises(Exception, match="record odd: no path from 0.9.0 to 1.1.0"):
+        m.migrate(data, "1.1.0").collect()
+    fine = m.migrate(data.where("id <> 'odd'"), "1.1.0")
+    assert rows(m.steps_applied(fine)) == [("1.0.0", "1.1.0", 2)]
+    assert rows(migrate.upgraded(data), "id", "schema_version", "freshness_score") == [("a", "1.1.0", None), ("b", "1.1.0", None), ("c", "1.1.0", None), ("odd", "0.9.0", None)]
+
+    def broken(_):
+        raise KeyError("x")
+
+    bad = migrate.Migrator([migrate.Step("1.0.0", "2.0.0", broken)])
+    with pytest.raises(ValueError, match="step from 1.0.0 to 2.0.0"):
+        bad.migrate(data, "2.0.0")

@@ -57,8 +57,11 @@ def test_decay(spark):
     score = lambda text, s, e, curve: decay.decay_score(F.lit(text).cast("string"), at, ids(s), ids(e), decay.DecayPolicy(curve=curve))
     got = one(spark, score("2025-01-01T00:00:00Z", 0, 0, "exponential"), score("2025-01-01T00:00:00Z", 0, 0, "linear"), score("2026-01-01T00:00:00Z", 2, 1, "linear"), score("bad", 0, 0, "linear"), score(None, 0, 0, "linear"))
     assert got[0].score == pytest.approx(math.sqrt(0.5)) and got[1].score == pytest.approx(0.75)
-    assert (got[2].time, got[2].event) == (1.0, pytest.approx(0.225))
-    assert got[3].score == got[4].score == 1.0
+    # What has no time, or one in the future, is fully fresh, whatever has happened to it.
+    assert [tuple(g) for g in got[2:]] == [(1.0, 1.0, 0.0)] * 3
+    more = one(spark, score(None, 2, 3, "exponential"), score("no time", 2, 3, "linear"), score("", 1, 1, "linear"), score("2025-02-15T00:00:00.000001Z", 1, 1, "linear"), score("2025-02-15T00:00:00Z", 2, 1, "linear"))
+    assert [tuple(g) for g in more[:4]] == [(1.0, 1.0, 0.0)] * 4
+    assert (more[4].score, more[4].time, more[4].event) == (pytest.approx(0.225), 1.0, pytest.approx(0.225))
     for bad in ({"half_life_days": 0}, {"curve": "odd"}, {"evidence_weight": 2}):
         with pytest.raises(ValueError):
             decay.DecayPolicy(**bad)
@@ -121,11 +124,14 @@ def test_schemas():
     with pytest.raises(schemas.SchemaNotFoundError):
         schemas.json_schema("nothing")
     schema = schemas.json_schema("evidence_span")
-    good = {"id": "span_1", "schema_version": "1.0.0", "source_id": "s", "episode_id": None, "locator": {}, "text_excerpt": None, "excerpt_policy": "none", "span_hash_sha256": "h", "privacy_class": "public", "metadata": {}}
+    good = {"id": "span_1", "schema_version": "1.0.0", "source_id": "s", "episode_id": None, "locator": {"kind": "k", "value": "v"}, "text_excerpt": None, "excerpt_policy": "none", "span_hash_sha256": "h", "privacy_class": "public", "metadata": {}}
     assert list(jsonschema.errors(good, schema)) == []
     bad = {k: v for k, v in good.items() if k != "source_id"} | {"privacy_class": "odd", "more": 1, "locator": []}
     assert len(list(jsonschema.errors(bad, schema))) == 4
     assert schemas.struct_type("fact_ledger_entry")["evidence_span_ids"].dataType.simpleString() == "array<string>"
+    assert schemas.struct_type("evidence_span")["locator"].dataType.simpleString() == "struct<kind:string,value:string>"
+    assert schemas.struct_type("taste_card")["contrast_pairs"].dataType.simpleString() == "array<struct<preferred_span_id:string,rejected_span_id:string,reason:string>>"
+    assert len(schemas.FIELDS) == 24 and all(schemas.json_schema(n)["required"] for n in schemas.FIELDS)
 
 
 @pytest.mark.parametrize(
