@@ -29,17 +29,25 @@ def _bundle(spark: SparkSession, path: str, ix: int = 0, id_field: str = "id"):
     return bundles.envelope(jsonio.read_bundle(spark, path), doc="doc", position="pos", bundle_ix=ix, id_field=id_field)
 
 
+def _listed(rows, args: argparse.Namespace) -> list:
+    """Rows of an ordered result: all of them, or as many as were asked for."""
+    return list((rows.limit(args.most) if args.most else rows).toLocalIterator())
+
+
 def validate(args: argparse.Namespace) -> tuple[int, dict]:
     schema = json_schema(args.schema)
-    if args.jsonl:
-        found = jsonio.validate_jsonl(_spark(), args.path, schema).orderBy("line").limit(args.most).collect()
-        bad = [{"line": r.line, "errors": r.errors} for r in found]
-    elif args.bundle:
-        rows = jsonio.read_bundle(_spark(), args.path).select("pos", schema_errors(F.col("doc"), schema).alias("errors")).where(F.size("errors") > 0)
-        bad = [{"record": r.pos, "errors": r.errors} for r in rows.orderBy("pos").limit(args.most).collect()]
+    if args.jsonl or args.bundle:
+        if args.jsonl:
+            found = jsonio.validate_jsonl(_spark(), args.path, schema).select(F.col("line").alias("at"), "errors")
+        else:
+            docs = jsonio.read_bundle(_spark(), args.path)
+            found = docs.select(F.col("pos").alias("at"), schema_errors(F.col("doc"), schema).alias("errors")).where(F.size("errors") > 0)
+        total = found.count()
+        bad = [{"line" if args.jsonl else "record": r["at"], "errors": r["errors"]} for r in _listed(found.orderBy("at"), args)]
     else:
-        bad = list(errors(jsonio.load_single_json(args.path), schema))[: args.most]
-    return int(bool(bad)), {"errors": bad}
+        bad = list(errors(jsonio.load_single_json(args.path), schema))
+        total, bad = len(bad), bad[: args.most or None]
+    return int(total > 0), {"total": total, "errors": bad}
 
 
 def fingerprint(args: argparse.Namespace) -> tuple[int, dict]:
@@ -50,7 +58,7 @@ def diff(args: argparse.Namespace) -> tuple[int, dict]:
     spark = _spark()
     changes = bundles.diff(_bundle(spark, args.left, id_field=args.id_field), _bundle(spark, args.right, 1, args.id_field))
     counts = {s: 0 for s in ("added", "removed", "changed", "unchanged")} | {r.status: r.records for r in bundles.diff_summary(changes).collect()}
-    listed = changes.where("status <> 'unchanged'").orderBy("status", "id").limit(args.most).collect()
+    listed = _listed(changes.where("status <> 'unchanged'").orderBy("status", "id").select("id", "status"), args)
     return int(any(counts[s] for s in ("added", "removed", "changed"))), {"counts": counts, "changes": [{"id": r.id, "status": r.status} for r in listed]}
 
 
@@ -63,9 +71,10 @@ def merge(args: argparse.Namespace) -> tuple[int, dict]:
     merged = bundles.merge(both, prefer=args.prefer)
     if args.out:
         merged.records.orderBy("id").select(F.col("doc").alias("value")).write.mode("overwrite").text(args.out)
-    conflicts = [r.id for r in merged.conflicts.orderBy("id").limit(args.most).collect()]
-    duplicates = [r.id for r in merged.duplicate_ids.orderBy("bundle_ix", "pos").limit(args.most).collect()]
-    return 0, {"records": merged.records.count(), "conflicts": conflicts, "duplicate_ids": duplicates}
+    conflicts = [r.id for r in _listed(merged.conflicts.orderBy("id").select("id"), args)]
+    duplicates = [r.id for r in _listed(merged.duplicate_ids.orderBy("bundle_ix", "pos"), args)]
+    totals = {"records": merged.records.count(), "conflicts": merged.conflicts.count(), "duplicate_ids": merged.duplicate_ids.count()}
+    return 0, {"records": totals["records"], "totals": totals, "conflicts": conflicts, "duplicate_ids": duplicates}
 
 
 def hygiene_report(args: argparse.Namespace) -> tuple[int, dict]:
@@ -75,8 +84,9 @@ def hygiene_report(args: argparse.Namespace) -> tuple[int, dict]:
     record = F.from_json("doc", ", ".join([f"{f} string" for f in sorted(fields)] + ["superseded_by array<string>", "evidence_span_ids array<string>"]))
     rows = docs.select(record.alias("r")).select("r.*")
     now = F.lit(args.now).cast("timestamp") if args.now else F.current_timestamp()
-    report = hygiene.report(rows, rows.select("id"), now=now)
-    return 0, {"counts": report.counts, "by": report.by, "missing_evidence": report.missing_evidence, "orphaned_evidence": report.orphaned_evidence, "window": [report.window_start, report.window_end], "markdown": report.markdown()}
+    whole = bundles.envelope(docs, doc="doc", position="pos", id_field=args.id_field)
+    report = hygiene.report(rows, rows.select("id"), now=now, window_start=args.window_start, window_end=args.window_end, fingerprint=bundles.fingerprint(whole))
+    return 0, {"id": report.id, "fingerprint": report.fingerprint, "counts": report.counts, "by": report.by, "missing_evidence": report.missing_evidence, "orphaned_evidence": report.orphaned_evidence, "window": [report.window_start, report.window_end], "markdown": report.markdown()}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -84,7 +94,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--version", action="version", version=__version__)
     shared = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
     shared.add_argument("--json", action="store_true", help="print one JSON object")
-    shared.add_argument("--most", type=int, default=100, help="how many errors, changes or ids to list")
+    shared.add_argument("--most", type=int, default=0, help="how many errors, changes or ids to list (0: all); totals are always given")
     shared.add_argument("--id-field", default="id")
     sub = top.add_subparsers(dest="command", required=True)
     add = lambda name, run, **kw: sub.add_parser(name, parents=[shared], allow_abbrev=False, **kw)
@@ -109,6 +119,8 @@ def parser() -> argparse.ArgumentParser:
     p = add("hygiene", hygiene_report)
     p.add_argument("path")
     p.add_argument("--now")
+    p.add_argument("--from", dest="window_start")
+    p.add_argument("--to", dest="window_end")
     p.set_defaults(run=hygiene_report)
     return top
 

@@ -42,9 +42,17 @@ def canonical_json(text: pa.Array) -> pa.Array:
     return pa.array([_canonical_text(t) for t in text.to_pylist()], pa.string())
 
 
+def members(fields: Mapping[str, Column]) -> Column:
+    """A struct with its members in sorted order.
+
+    Named by literals: aliases of constants are lost where Spark takes an expression out of a generator.
+    """
+    return F.named_struct(*[x for k in sorted(fields) for x in (F.lit(k), fields[k])])
+
+
 def canonical_struct(**fields: Column) -> Column:
     """Canonical JSON of an object with the given members, inside codegen. Floats don't belong in it."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.to_json(members(fields), {"ignoreNullFields": "false"})
 
 
 def sha256(text: Column) -> Column:
@@ -57,7 +65,7 @@ def prefixed_id(prefix: str | Column, payload: Column) -> Column:
 
 
 def _locator(locator: Column) -> Column:
-    return F.struct(locator["kind"].alias("kind"), locator["value"].alias("value"))
+    return members({"kind": locator["kind"], "value": locator["value"]})
 
 
 def source_id(source_type: Column, origin_uri: Column, raw_ref: Column, content_hash: Column) -> Column:
@@ -79,7 +87,7 @@ def ledger_id(ledger_type: Column, spans: Column, semantic: Mapping[str, Column]
     """Of the type, the sorted evidence and the meaning of an entry, of which both are a part too."""
     prefix = F.when(ledger_type == "fact", "fact").when(ledger_type == "preference", "pref").when(ledger_type == "decision", "dec")
     whole = {**semantic, "ledger_type": ledger_type, "evidence_span_ids": F.array_sort(spans)}
-    meaning = F.struct(*[whole[k].alias(k) for k in sorted(whole)])
+    meaning = members(whole)
     return prefixed_id(prefix, canonical_struct(ledger_type=ledger_type, evidence_span_ids=F.array_sort(spans), normalized_payload=meaning))
 
 
@@ -87,7 +95,7 @@ def candidate_id(candidate_type: Column, spans: Column, semantic: Mapping[str, C
     prefix = F.lit(None).cast("string")
     for kind in ("claim", "preference", "decision", "task", "taste_signal"):
         prefix = F.when(candidate_type == kind, PREFIXES[f"candidate_{kind}"]).otherwise(prefix)
-    meaning = F.struct(*[semantic[k].alias(k) for k in sorted(semantic)])
+    meaning = members(semantic)
     return prefixed_id(prefix, canonical_struct(candidate_type=candidate_type, evidence_span_ids=F.array_sort(spans), normalized_payload=meaning))
 
 

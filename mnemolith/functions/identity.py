@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canonical import PREFIXES, canonical_struct, episode_id, prefixed_id, source_id, span_id
+from .canonical import PREFIXES, canonical_struct, episode_id, members, prefixed_id, source_id, span_id
 
 # The fields that make up a record's meaning; * marks lists whose order doesn't matter.
 MEANING = {
@@ -54,7 +54,7 @@ def expected_id(record_type: str, columns: list[str]) -> Column:
     payload = _fields(HEAD[family], columns)
     if record_type in MEANING:
         meaning = _fields(MEANING[record_type], columns)
-        payload["normalized_payload"] = F.struct(*[meaning[k].alias(k) for k in sorted(meaning)])
+        payload["normalized_payload"] = members(meaning)
     return prefixed_id(PREFIXES[record_type], canonical_struct(**payload))
 
 

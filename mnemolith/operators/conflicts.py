@@ -118,5 +118,8 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 def to_documents(resolutions: DataFrame) -> DataFrame:
     """(doc): each resolution as a JSON object, its chosen record and metadata as objects."""
-    parsed = resolutions.withColumns({c: F.parse_json(c) for c in ("chosen_record", "metadata")})
-    return parsed.select(F.to_json(F.struct(*resolutions.columns), {"ignoreNullFields": "false"}).alias("doc"))
+    # Their texts are passed on as they are: a parsed number would come out in another spelling.
+    raw = ("chosen_record", "metadata")
+    rest = F.to_json(F.struct(*[c for c in resolutions.columns if c not in raw]), {"ignoreNullFields": "false"})
+    members = [F.concat(F.lit(f',"{c}":'), F.coalesce(c, F.lit("null"))) for c in raw]
+    return resolutions.select(F.concat(F.substr(rest, F.lit(1), F.length(rest) - 1), *members, F.lit("}")).alias("doc"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import PREFIXES
 from ..functions.classify import plane_of_id
 from ..functions.instants import instant
 from ..functions.validity import in_window
@@ -76,13 +79,28 @@ class Report:
     missing_evidence: int
     orphaned_evidence: int
     conflicts: int = 0
+    resolved: int = 0
+    fingerprint: str = ""
+    computed_at: str = ""
+
+    @property
+    def id(self) -> str:
+        """Derived from all that the report says."""
+        by = self.by
+        payload = {
+            "bundle_fingerprint": self.fingerprint, "window_start": self.window_start, "window_end": self.window_end, "computed_at": self.computed_at, "total_records": self.counts["records"], "records_by_plane": by["plane"],
+            "records_by_type": by["type"], "records_by_privacy": by["privacy"], **{f"{k}_count": self.counts[k] for k in ("active", "stale", "expired", "superseded")}, "conflicts_surfaced_count": self.conflicts,
+            "conflicts_resolved_count": self.resolved, "records_with_missing_evidence": self.missing_evidence, "records_with_orphan_evidence": self.orphaned_evidence,
+        }
+        text = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return f"{PREFIXES['memory_hygiene_report']}_{hashlib.sha256(text.encode()).hexdigest()[:24]}"
 
     def markdown(self) -> str:
         """The report as text; tables by falling count."""
         lines = ["# Memory hygiene", "", f"Window: {self.window_start} to {self.window_end}", ""]
         lines += [f"- {k}: {v}" for k, v in self.counts.items()] + [f"- missing evidence: {self.missing_evidence}", f"- orphaned evidence: {self.orphaned_evidence}"]
         if self.conflicts:
-            lines.append(f"- conflicts: {self.conflicts}")
+            lines.append(f"- conflicts: {self.conflicts}, of which resolved: {self.resolved}")
         for dimension, values in self.by.items():
             if set(values) - {"unspecified"}:
                 lines += ["", f"## By {dimension}", "", "| value | records |", "| --- | --- |"]
@@ -90,11 +108,22 @@ class Report:
         return "\n".join(lines) + "\n"
 
 
-def report(records: DataFrame, known_evidence: DataFrame, *, now: Column, conflicts: int = 0) -> Report:
-    """Few numbers, collected; planes, types and privacy classes are bounded by the record model."""
+def report(
+    records: DataFrame, known_evidence: DataFrame, *, now: Column, conflicts: int = 0, resolved: int = 0, window_start: str | None = None, window_end: str | None = None, fingerprint: str = "",
+) -> Report:
+    """Few numbers, collected; planes, types and privacy classes are bounded by the record model.
+
+    A window that is given is stated instead of the one found; it filters nothing. `fingerprint` is that of
+    the bundle (`bundles.fingerprint` or `tree_fingerprint`).
+    """
+    if window_start and window_end:
+        a, z = records.sparkSession.range(1).select(instant(F.lit(window_start)), instant(F.lit(window_end))).first()
+        if a is None or z is None or a > z:
+            raise ValueError("the window's ends must be times, the first not after the last")
     counts = temporal_counts(records, now).first().asDict()
     by: dict[str, dict[str, int]] = {"plane": {}, "type": {}, "privacy": {}}
     for dimension, value, n in counts_by(records).collect():
         by[dimension][value] = n
     gaps, span = evidence_gaps(records, known_evidence).first(), window(records).first()
-    return Report(span[0], span[1], counts, by, gaps["missing"], gaps["orphaned"], conflicts)
+    computed = records.sparkSession.range(1).select(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+    return Report(window_start or span[0], window_end or span[1], counts, by, gaps["missing"], gaps["orphaned"], conflicts, resolved, fingerprint, computed)

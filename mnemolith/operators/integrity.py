@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant
 from ..functions.validity import is_active
+from ..session import cut
 from .migrate import upgraded
 
 _PERIOD = ("status", "superseded_by", "valid_from", "valid_until", "stale_after")
@@ -280,82 +281,102 @@ _TASTE_TASKS = ("writing", "architecture_review", "review")
 _LATE_STATUSES = ("stale", "superseded", "contested")
 
 
+def _wanted(label: str, ids: Column, *, kind: str | None = None, wants: str | None = None) -> Column:
+    """A list of references by name, the type its targets have, and whether they are active or late."""
+    text = lambda x: F.lit(x).cast("string")
+    return F.struct(F.lit(label).alias("label"), text(kind).alias("kind"), text(wants).alias("wants"), ids.alias("ids"))
+
+
+def _looked_up(packs: DataFrame, lists: list[Column], targets: DataFrame, type_field: str | None = None) -> DataFrame:
+    """What is wrong with references to one plane: all lists that name it go through one join.
+
+    `packs` has id and created_at. Targets that don't exist, have another type, weren't active at the pack's
+    time, or aren't late though they are listed so.
+    """
+    asked = packs.select("id", "created_at", F.explode(F.array(*lists)).alias("w")).select("id", "created_at", "w.label", "w.kind", "w.wants", F.explode("w.ids").alias("ref")).where("ref is not null").distinct()
+    period = [f for f in ("updated_at", *_PERIOD) if f in targets.columns]
+    facts = [F.col(f) for f in period] + ([F.col(type_field).alias("type")] if type_field else [])
+    latest = targets.where("id is not null").groupBy(F.col("id").alias("ref")).agg(F.max(F.struct(*facts, F.lit(True).alias("there"))).alias("e"))
+    joined = asked.join(latest, "ref", "left")
+    there, label = F.col("e").isNotNull(), F.col("label")
+    problems = [F.when(~there, F.concat(F.lit("dangling "), label))]
+    if type_field:
+        problems.append(F.when(there & F.col("kind").isNotNull() & ~F.col("e.type").eqNullSafe(F.col("kind")), F.concat(label, F.lit(" not of type "), F.col("kind"))))
+    if set(_PERIOD) <= set(period):
+        active = F.coalesce(is_active(instant(F.col("created_at")), **{f: F.col(f"e.{f}") for f in _PERIOD}), F.lit(False))
+        problems.append(F.when(there & (F.col("wants") == "active") & ~active, F.concat(label, F.lit(" not active at created_at"))))
+        late = F.coalesce(F.col("e.status").isin(*_LATE_STATUSES), F.lit(False))
+        problems.append(F.when(there & (F.col("wants") == "late") & ~late, F.concat(label, F.lit(" neither stale, superseded nor contested"))))
+    return joined.select("id", "ref", F.explode(F.array_compact(F.array(*problems))).alias("rule")).select("rule", F.col("id").alias("record_id"), F.col("ref").alias("ref_id"))
+
+
+def _within_row(rows: DataFrame, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Per rule, the elements of the first list that the second one of the same row lacks."""
+    lost = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.array_except(inner, outer).alias("refs")) for rule, (inner, outer) in rules.items()]))
+    return rows.select("id", lost.alias("l")).select("id", "l.rule", F.explode("l.refs").alias("ref")).select("rule", F.col("id").alias("record_id"), F.col("ref").alias("ref_id"))
+
+
 def pack_documents(planes: Mapping[str, DataFrame]) -> DataFrame:
     """All violations of context packs as whole documents, with their receipts and reports.
 
     `planes`: source_records, episode_records, evidence_spans, candidates, ledger_entries, taste_cards,
-    project_states, core_states, packs, receipts, reports, each with the columns of its schema.
+    project_states, core_states, packs, receipts, reports, each with the columns of its schema. Every plane
+    is joined once, with all the lists that name it.
     """
-    p = planes
-    made = F.col("authority.created_at")
-    packs = p["packs"]
-    section = lambda name: packs.select("id", made.alias("created_at"), f"{name}.*")
-    trusted, late, candidate, evidence, state = (section(n) for n in ("trusted_memory", "stale_or_superseded", "candidate_context", "evidence", "state"))
-    cards, projects, cores = (upgraded(p[n]) for n in ("taste_cards", "project_states", "core_states"))
-    entries = upgraded(p["ledger_entries"])
+    p = dict(planes)
+    for name in ("packs", "receipts", "reports"):
+        p[name] = cut(p[name])
+    packs = p["packs"].withColumn("created_at", F.col("authority.created_at"))
+    t, s, c, e = (lambda f, n=n: _list(f"{n}.{f}") for n in ("trusted_memory", "stale_or_superseded", "candidate_context", "evidence"))
+    core, projects = F.array_compact(F.array("state.core_state_id")), _list("state.project_state_ids")
+    ledger = [_wanted(f, t(f), kind=k, wants="active") for f, k in _LEDGER_LISTS.items()] + [_wanted(f"late {f}", s(f), wants="late") for f in _LEDGER_LISTS]
+    late = lambda f: _wanted(f"late {f}", s(f), wants="late")
+    entries, cards, projects_, cores = (upgraded(p[n]) for n in ("ledger_entries", "taste_cards", "project_states", "core_states"))
     parts = [duplicates(p[n], f"duplicate in {n}") for n in sorted(p)]
-    # Evidence: it exists, and its sources and episodes are declared by the pack.
-    parts += [dangling(evidence, "source_record_ids", p["source_records"]), dangling(evidence, "episode_record_ids", p["episode_records"])]
-    parts += [dangling(evidence, f, p["evidence_spans"]) for f in ("evidence_span_ids", "primary_evidence_span_ids")]
+    parts += [
+        _looked_up(packs, [_wanted("source_record_ids", e("source_record_ids"))], p["source_records"].select("id")),
+        _looked_up(packs, [_wanted("episode_record_ids", e("episode_record_ids"))], p["episode_records"].select("id")),
+        _looked_up(packs, [_wanted(f, e(f)) for f in ("evidence_span_ids", "primary_evidence_span_ids")], p["evidence_spans"].select("id")),
+        _looked_up(packs, [_wanted(f, c(f), kind=k) for f, k in _CANDIDATE_LISTS.items()], p["candidates"], "candidate_type"),
+        _looked_up(packs, ledger, entries, "ledger_type"),
+        _looked_up(packs, [_wanted("taste_card_ids", t("taste_card_ids"), wants="active"), late("taste_card_ids")], cards),
+        _looked_up(packs, [_wanted("project_state_ids", projects, wants="active"), late("project_state_ids")], projects_),
+        _looked_up(packs, [_wanted("core_state_id", core, wants="active"), late("core_state_ids")], cores),
+    ]
+    # The sources and episodes of its evidence are declared by the pack.
     spans = p["evidence_spans"].groupBy(F.col("id").alias("ref")).agg(F.max("source_id").alias("source_id"), F.max("episode_id").alias("episode_id"))
-    cited = evidence.select("id", "source_record_ids", "episode_record_ids", F.explode(F.array_union(_list("evidence_span_ids"), _list("primary_evidence_span_ids"))).alias("ref")).join(spans, "ref")
-    for one, many in (("source_id", "source_record_ids"), ("episode_id", "episode_record_ids")):
-        parts.append(cited.where(F.col(one).isNotNull() & ~F.array_contains(_list(many), F.col(one))).select(*_row(f"{one} of a span not declared", F.col("id"), F.col("ref"))).distinct())
-    parts.append(not_within(evidence, "primary_evidence_span_ids", "evidence_span_ids"))
+    cited = packs.select("id", e("source_record_ids").alias("sources"), e("episode_record_ids").alias("episodes"), F.explode(F.array_union(e("evidence_span_ids"), e("primary_evidence_span_ids"))).alias("ref")).join(spans, "ref")
+    undeclared = [F.when(F.col(one).isNotNull() & ~F.array_contains(many, F.col(one)), f"{one} of a span not declared") for one, many in (("source_id", "sources"), ("episode_id", "episodes"))]
+    parts.append(cited.select("id", "ref", F.explode(F.array_compact(F.array(*undeclared))).alias("rule")).select("rule", F.col("id").alias("record_id"), F.col("ref").alias("ref_id")).distinct())
     # What a pack is made of must be in its trace.
-    core = F.array_compact(F.array("core_state_id"))
-    lists = lambda df, *fields: F.concat(*[_list(f) for f in fields])
-    ledger_late = lists(late, *_LEDGER_LISTS)
-    whole = packs.select("id", F.col("retrieval_trace.included_ids").alias("included")).dropDuplicates(["id"])
-    pieces = [
-        trusted.select("id", lists(trusted, *_LEDGER_LISTS, "taste_card_ids").alias("ids")), late.select("id", F.concat(ledger_late, _list("taste_card_ids"), _list("project_state_ids"), _list("core_state_ids")).alias("ids")),
-        candidate.select("id", lists(candidate, *_CANDIDATE_LISTS).alias("ids")), evidence.select("id", lists(evidence, "evidence_span_ids", "primary_evidence_span_ids").alias("ids")), state.select("id", F.concat(core, _list("project_state_ids")).alias("ids")),
-    ]
-    material = _all([x.select("id", F.explode("ids").alias("ref")) for x in pieces]).distinct()
-    parts.append(material.join(whole, "id").where(~F.array_contains(_list("included"), F.col("ref"))).select(*_row("not in the trace", F.col("id"), F.col("ref"))))
-    for field, kind in _CANDIDATE_LISTS.items():
-        parts += [dangling(candidate, field, p["candidates"]), wrong_type(candidate, field, p["candidates"], "candidate_type", kind)]
-    # Trusted memory and state are active when the pack is made; what is late has a status that says so.
-    for field, kind in _LEDGER_LISTS.items():
-        parts += [dangling(trusted, field, entries), wrong_type(trusted, field, entries, "ledger_type", kind), inactive(trusted, field, entries, "created_at"), dangling(late, field, entries), _not_late(late, field, entries)]
-    for rows, field, plane in ((trusted, "taste_card_ids", cards), (state, "project_state_ids", projects), (state, "core_state_id", cores)):
-        parts += [dangling(rows, field, plane), inactive(rows, field, plane, "created_at")]
-    for field, plane in (("taste_card_ids", cards), ("project_state_ids", projects), ("core_state_ids", cores)):
-        parts += [dangling(late, field, plane), _not_late(late, field, plane)]
-    wants_taste = packs.where(F.col("task.task_type").isin(*_TASTE_TASKS) & (F.size(_list("trusted_memory.taste_card_ids")) == 0))
+    material = F.array_distinct(F.concat(*[x(f) for f in (*_LEDGER_LISTS, "taste_card_ids") for x in (t, s)], s("project_state_ids"), s("core_state_ids"), *[c(f) for f in _CANDIDATE_LISTS], e("evidence_span_ids"), e("primary_evidence_span_ids"), core, projects))
+    parts.append(_within_row(packs, {"not in the trace": (material, _list("retrieval_trace.included_ids")), "primary_evidence_span_ids not within evidence_span_ids": (e("primary_evidence_span_ids"), e("evidence_span_ids"))}))
+    wants_taste = packs.where(F.col("task.task_type").isin(*_TASTE_TASKS) & (F.size(t("taste_card_ids")) == 0))
     parts.append(wants_taste.select(*_row("task without taste cards", F.col("id"))))
-    return _all([*parts, *_receipts(packs, p["receipts"], late, entries, cards, projects, cores), *_reports(packs, p["reports"])])
-
-
-def _statuses(late: DataFrame, field: str, plane: DataFrame) -> DataFrame:
-    status = plane.groupBy(F.col("id").alias("ref")).agg(F.max("status").alias("status"))
-    return references(late, field).join(status, "ref")
+    # The status of each late record, for what receipts say about them.
+    status = _all([plane.select(F.col("id").alias("ref"), "status") for plane in (entries, cards, projects_, cores)]).groupBy("ref").agg(F.max("status").alias("status"))
+    named = packs.select("id", F.explode(F.concat(*[s(f) for f in (*_LEDGER_LISTS, "taste_card_ids", "project_state_ids", "core_state_ids")])).alias("ref"))
+    held = named.join(status, "ref").groupBy("id").agg(F.max((F.col("status") == "contested").cast("int")).alias("contested"))
+    return _all([*parts, *_receipts(p["packs"], p["receipts"], held), *_reports(p["packs"], p["reports"])])
 
 
-def _not_late(late: DataFrame, field: str, plane: DataFrame) -> DataFrame:
-    return _statuses(late, field, plane).where(~F.coalesce(F.col("status").isin(*_LATE_STATUSES), F.lit(False))).select(*_row(f"{field} neither stale, superseded nor contested", F.col("id"), F.col("ref")))
-
-
-def _receipts(packs: DataFrame, receipts: DataFrame, late: DataFrame, entries: DataFrame, cards: DataFrame, projects: DataFrame, cores: DataFrame) -> list[DataFrame]:
+def _receipts(packs: DataFrame, receipts: DataFrame, late: DataFrame) -> list[DataFrame]:
     """Receipts belong to packs, cover them, and say whether stale and contested records are in."""
+    t, s, c = (lambda f, n=n: _list(f"{n}.{f}") for n in ("trusted_memory", "stale_or_superseded", "candidate_context"))
     of = receipts.select(F.col("id").alias("receipt"), F.col("context_pack_id").alias("id"), "input_refs", "selection_policy")
     parts = [dangling(receipts, "context_pack_id", packs), packs.select("id").join(of.select("id"), "id", "left_anti").select(*_row("pack without receipt", F.col("id"))).distinct()]
-    both = of.join(packs, "id")
-    parts.append(both.where(~F.col("selection_policy.current_cutoff").eqNullSafe(F.col("authority.created_at"))).select(*_row("cut-off differs from the pack's time", F.col("receipt"), F.col("id"))))
-    c, t, s = (lambda f: _list(f"candidate_context.{f}")), (lambda f: _list(f"trusted_memory.{f}")), (lambda f: _list(f"stale_or_superseded.{f}"))
+    both = of.join(packs, "id").join(late, "id", "left")
     covered = {
         "core_state_ids": F.array_compact(F.array("state.core_state_id")), "project_state_ids": _list("state.project_state_ids"), "ledger_entry_ids": F.concat(*[x(f) for f in _LEDGER_LISTS for x in (t, s)]),
         "taste_card_ids": F.concat(t("taste_card_ids"), s("taste_card_ids")), "candidate_ids": F.concat(*[c(f) for f in _CANDIDATE_LISTS]), "evidence_span_ids": _list("evidence.evidence_span_ids"),
     }
-    for field, inner in covered.items():
-        missing = both.select("receipt", F.explode(F.array_except(inner, _list(f"input_refs.{field}"))).alias("ref"))
-        parts.append(missing.select(*_row(f"receipt lacks {field}", F.col("receipt"), F.col("ref"))))
-    status = _all([_statuses(late, f, plane).select("id", "status") for f, plane in (*((f, entries) for f in _LEDGER_LISTS), ("taste_card_ids", cards), ("project_state_ids", projects), ("core_state_ids", cores))])
-    per_pack = status.groupBy("id").agg(F.max((F.col("status") == "contested").cast("int")).alias("contested"))
-    said = of.join(per_pack, "id")
-    no = lambda f: ~F.coalesce(F.col(f"selection_policy.{f}").cast("boolean"), F.lit(False))
-    parts.append(said.where(no("include_stale")).select(*_row("receipt denies stale records", F.col("receipt"), F.col("id"))))
-    parts.append(said.where((F.col("contested") == 1) & no("include_contested")).select(*_row("receipt denies contested records", F.col("receipt"), F.col("id"))))
+    parts.append(_within_row(both.withColumn("id", F.col("receipt")), {f"receipt lacks {f}": (inner, _list(f"input_refs.{f}")) for f, inner in covered.items()}))
+    denies = lambda f: ~F.coalesce(F.col(f"selection_policy.{f}").cast("boolean"), F.lit(False))
+    said = [
+        F.when(~F.col("selection_policy.current_cutoff").eqNullSafe(F.col("authority.created_at")), "cut-off differs from the pack's time"),
+        F.when(F.col("contested").isNotNull() & denies("include_stale"), "receipt denies stale records"), F.when((F.col("contested") == 1) & denies("include_contested"), "receipt denies contested records"),
+    ]
+    parts.append(both.select("receipt", "id", F.explode(F.array_compact(F.array(*said))).alias("rule")).select("rule", F.col("receipt").alias("record_id"), F.col("id").alias("ref_id")))
     return parts
 
 

@@ -163,7 +163,7 @@ def _object(members: Mapping[str, object]) -> Column:
             return F.array(*map(F.lit, value)).cast("array<string>")
         return F.lit(value) if value is not None else F.lit(None).cast("string")
 
-    return F.struct(*[one(members[k]).alias(k) for k in sorted(members)])
+    return F.named_struct(*[x for k in sorted(members) for x in (F.lit(k), one(members[k]))])
 
 
 def document(selected: DataFrame, g: Graph, spans: DataFrame, *, task: Mapping[str, str | None], state: Mapping[str, object], created_at: str, policy: Policy | None = None, created_by: str = "compiler") -> DataFrame:

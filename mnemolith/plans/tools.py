@@ -20,12 +20,18 @@ def read_schema(name: str) -> dict:
     return json_schema(name)
 
 
-def validate_bundle(planes: dict[str, DataFrame], *, most: int = 100) -> dict[str, list[str]]:
-    """Up to `most` errors per plane; every plane has a key."""
+def validate_bundle(planes: dict[str, DataFrame], *, most: int | None = None) -> dict[str, list[str]]:
+    """All errors per plane, or the first `most` and how many more there are; every plane has a key.
+
+    Errors come to the driver here; `integrity.row_violations` is the same as a DataFrame.
+    """
     out: dict[str, list[str]] = {}
     for name, rows in planes.items():
-        found = row_violations({name: rows}).orderBy("id", "rule").limit(most).collect()
-        out[name] = [f"[{r.id}] {r.rule}" for r in found]
+        found = row_violations({name: rows}).orderBy("id", "rule")
+        listed = (found if most is None else found.limit(most)).toLocalIterator()
+        out[name] = [f"[{r.id}] {r.rule}" for r in listed]
+        if most is not None and (more := found.count() - most) > 0:
+            out[name].append(f"and {more} more")
     return out
 
 
@@ -44,7 +50,7 @@ def state_reference(states: DataFrame, selected: DataFrame) -> dict:
     """The state snapshots that a pack names: a selected core state, else selected project states, else any of either.
 
     `states` (id, state_type) is to be scoped by the caller, so that nothing outside the scope is named. At
-    most one core state or the project states of one bundle are collected; none at all is an error.
+    most one core state, or all project states, which a pack lists, are collected; none at all is an error.
     """
     marked = states.select("id", "state_type").distinct().join(selected.select("id", F.lit(0).alias("chosen")).distinct(), "id", "left")
     order = F.coalesce("chosen", F.lit(1)) * 2 + F.when(F.col("state_type") == "core_state", 0).otherwise(1)
@@ -52,5 +58,7 @@ def state_reference(states: DataFrame, selected: DataFrame) -> dict:
     best = ranked.agg(F.min("place")).first()[0]
     if best is None:
         raise ValueError("the bundle has no state snapshot")
-    ids = sorted(r.id for r in ranked.where(F.col("place") == best).select("id").collect())
+    named = ranked.where(F.col("place") == best)
+    # Of several core states one is named, so only one is fetched.
+    ids = sorted(r.id for r in (named if best % 2 else named.orderBy("id").limit(1)).select("id").collect())
     return {"core_state_id": None, "project_state_ids": ids} if best % 2 else {"core_state_id": ids[0], "project_state_ids": []}

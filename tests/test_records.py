@@ -30,6 +30,12 @@ def test_known_identifiers(spark):
     assert tuple(got) == ("src_e59214fe833ab76405bce742", "span_b6013eb2af9174a65f293646", "ep_274a0d959e9b96ae3290f87d", "fact_600a5293619a492d193f51f5", "redmem_2be54b2c85b8dc3d12ba899e")
 
 
+def test_identifiers_are_the_same_inside_generators(spark):
+    made = canonical.episode_id(F.lit("src_x"), F.lit("other"), F.struct(F.lit("k").alias("kind"), F.lit("v").alias("value")))
+    plain, inside = one(spark, made), spark.range(1).select(F.explode(F.array(made)).alias("id"), made.alias("beside")).first()
+    assert plain[0] == inside.id == inside.beside
+
+
 def test_canonical_json(spark):
     texts = ['{"b": 1.0, "a": "é"}', "[1,  2]", "no json", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
