@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
+from ..session import groups_for
 from .blocks import numbered
 
 
@@ -71,7 +72,9 @@ def fingerprint(bundle: DataFrame) -> str:
     texts there; the driver only streams those through the hash, in constant memory. `tree_fingerprint`
     has no sequential part.
     """
-    ordered = dedup_last(bundle).orderBy("id").select("doc").mapInArrow(_joined, "text string")
+    # Reading partitions one after the other is a job for each, so there are no more than rows ask for.
+    parts = groups_for(bundle.count())
+    ordered = dedup_last(bundle).repartitionByRange(parts, "id").sortWithinPartitions("id").select("doc").mapInArrow(_joined, "text string")
     digest, first = hashlib.sha256(), True
     for row in ordered.toLocalIterator(prefetchPartitions=True):
         text = row[0]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-#: Edges that one task peels on its own when looking for cycles; more are peeled over the cluster.
+#: Edges that one task follows or peels on its own; more are handled in rounds over the cluster.
 LOCAL_EDGES = 200_000
 
 
@@ -52,6 +52,11 @@ def graph(sources: DataFrame, evidence: DataFrame, claims: DataFrame) -> Graph:
     return Graph(nodes, refs.join(ids, "to_id", "left_semi").select(refs.columns), refs.join(ids, "to_id", "left_anti").select(refs.columns))
 
 
+def held(g: Graph) -> Graph:
+    """The same graph with its nodes and edges written once, for walks that read them again and again."""
+    return Graph(cut(g.nodes), cut(g.edges), g.dangling)
+
+
 def node_counts(g: Graph) -> DataFrame:
     """(kind, nodes) for all three kinds."""
     kinds = F.explode(F.array(*map(F.lit, ("source", "evidence", "claim"))))
@@ -63,16 +68,35 @@ def in_degree(g: Graph) -> DataFrame:
     return g.edges.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("in_degree"))
 
 
-def supported(g: Graph) -> DataFrame:
+def _reach_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes from which one of the rows without `to_id` can be reached, in one task."""
+    code, names = pd.factorize(pd.concat([pdf["from_id"], pdf["to_id"]]), use_na_sentinel=True)
+    a, b = code[: len(pdf)], code[len(pdf) :]
+    seen = np.zeros(len(names), bool)
+    seen[a[b < 0]] = True
+    a, b = a[b >= 0], b[b >= 0]
+    while len(more := np.unique(a[seen[b] & ~seen[a]])):
+        seen[more] = True
+    return pd.DataFrame({"id": names[seen]})
+
+
+def supported(g: Graph, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Ids of claims from which a path leads to a source, over however many edges."""
-    steps = g.edges.select("from_id", "to_id").distinct()
-    front = cut(g.nodes.where("kind = 'source'").select("id"))
+    steps = cut(g.edges.select("from_id", "to_id").distinct())
+    sources, claims = g.nodes.where("kind = 'source'").select("id"), g.nodes.where("kind = 'claim'").select("id")
+    if steps.count() <= local_edges:
+        # A source that nothing refers to has nothing to tell.
+        ends = sources.join(steps.select(F.col("to_id").alias("id")), "id", "left_semi").select(F.col("id").alias("from_id"), F.lit(None).cast("string").alias("to_id"))
+        found = steps.unionByName(ends).groupBy(F.lit(0).alias("all")).applyInPandas(_reach_all, "id string")
+        return found.join(claims, "id", "left_semi")
+    front = cut(sources)
     seen = front
     while not front.isEmpty():
         front = steps.join(front.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
         front = cut(front.join(seen, "id", "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen.join(g.nodes.where("kind = 'claim'").select("id"), "id", "left_semi")
+        # Fronts are disjoint and written, so their union needs no writing of its own.
+        seen = seen.unionByName(front)
+    return seen.join(claims, "id", "left_semi")
 
 
 def unsupported_claims(g: Graph, claim: Column | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ with raw as (
 
 @query(_BUNDLES + "select sha256(coalesce(string_agg(doc, chr(10) order by id), '')) fingerprint from a")
 def bundle_fingerprint(spark, sf):
-    return spark.createDataFrame([(bundles.fingerprint(_records(spark, sf, 0)),)], "fingerprint string")
+    return spark.range(1).select(F.lit(bundles.fingerprint(_records(spark, sf, 0))).alias("fingerprint"))
 
 
 @query()
@@ -378,7 +378,7 @@ def citation_unused(spark, sf):
 @query(_GRAPH + """select c.from_id start_id, c.from_id || ' > ' || c.to_id || coalesce(' > ' || d.to_id, '') path, case when d.to_id is null then 'evidence' else 'source' end end_kind
 from edge c left join edge d on d.from_id = c.to_id where c.relation = 'cites' union all select id, id, 'claim' from node where kind = 'claim' and id not in (select from_id from edge)""")
 def citation_paths(spark, sf):
-    g = _graph(spark, sf)
+    g = citations.held(_graph(spark, sf))
     return citations.paths(g, g.nodes.where("kind = 'claim'")).select("start_id", F.array_join("path", " > ").alias("path"), "end_kind")
 
 
@@ -386,14 +386,14 @@ def citation_paths(spark, sf):
 select source_id, target_id, min(path) path from hop group by all""")
 def shortest_path(spark, sf):
     """From every claim to every source that its spans lead to."""
-    g = _graph(spark, sf)
+    g = citations.held(_graph(spark, sf))
     ends = citations.paths(g, g.nodes.where("kind = 'claim'")).where("end_kind = 'source'").select(F.col("start_id").alias("source_id"), F.element_at("path", -1).alias("target_id"))
     return citations.shortest_paths(g, ends).select("source_id", "target_id", F.array_join("path", " > ").alias("path"))
 
 
 @query(_GRAPH + "select id from node where false")
 def citation_cycles(spark, sf):
-    return citations.cycles(_graph(spark, sf))
+    return citations.cycles(citations.held(_graph(spark, sf)))
 
 
 @query("""with b as (select id, unnest([case when not coalesce(regexp_matches(id, '^span_[0-9a-f]{16,}$'), false) then 'id has its prefix' end, case when not coalesce(starts_with(source_id, 'src_'), false) then 'source_id has its prefix' end,
@@ -552,7 +552,7 @@ def expected_ids(spark, sf):
 
 @query(_GRAPH + "select distinct c.from_id start_id, coalesce(d.to_id, c.to_id) id from edge c left join edge d on d.from_id = c.to_id where c.relation = 'cites' union select id, id from node where kind = 'claim' and id not in (select from_id from edge)")
 def citation_descendants(spark, sf):
-    g = _graph(spark, sf)
+    g = citations.held(_graph(spark, sf))
     return citations.reached(g, g.nodes.where("kind = 'claim'"))
 
 

@@ -45,6 +45,7 @@ def test_claims_that_cite_claims_reach_their_sources(spark):
     chain = [(f"c{i}", [f"c{i + 1}"]) for i in range(9)] + [("c9", ["e"])]
     g = graph(spark, ["s"], [("e", "s")], [*chain, ("x", ["y"]), ("y", ["x"])])
     assert ids(citations.unsupported_claims(g)) == ["x", "y"]
+    assert ids(citations.supported(g, local_edges=0)) == ids(citations.supported(g)) == [f"c{i}" for i in range(10)]
     whole = [*[f"c{i}" for i in range(10)], "e", "s"]
     start = g.nodes.where("id = 'c0'")
     assert rows(citations.paths(g, start), "path") == [(whole,)] and rows(citations.reached(g, start)) == [("c0", "s")]
