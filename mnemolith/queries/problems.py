@@ -308,7 +308,19 @@ counted as (select *, unnest([n * 1000000, n * 1000, n, n / 1000]) us from numbe
 select distinct record_table, record_id, field_name, us epoch_us from fair where us is not null
 union select distinct record_table, record_id, field_name, cast(floor(us) as bigint) from counted where us >= 1704067200000000 and us < 1767225600000000
 """
+#: The same over all values, with the format that each is written in.
+_FORMAT = r"""case when regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z') then 'canonical' when regexp_matches(s, '^\d{4}[-/]\d{2}[-/]\d{2}[T ]\d') then 'ymd' when regexp_matches(s, '^\d{8}T') then 'basic' when regexp_matches(s, '^\d{2}[.]') then 'dotted day first'
+  when regexp_matches(s, '^\d{2}/') then 'slashed month first' when regexp_matches(s, '^([A-Z]{3}, )?\d{1,2} [A-Z]') then 'day month' else 'month day' end"""
+_INSTANTS_SQL = (
+    _INSTANT_SQL[: _INSTANT_SQL.index("select distinct record_table")].rstrip().replace(r" and not regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z')", "")
+    .replace("unnest([n * 1000000, n * 1000, n, n / 1000]) us", "unnest([{'us': n * 1000000, 'unit': 's'}, {'us': n * 1000, 'unit': 'ms'}, {'us': n, 'unit': 'us'}, {'us': n / 1000, 'unit': 'ns'}], recursive := true)")
+    + f""", read as (select record_table, record_id, field_name, v, agent, us, {_FORMAT} format from fair where us is not null
+  union select record_table, record_id, field_name, v, agent, cast(floor(us) as bigint), 'number ' || unit from counted where us >= 1704067200000000 and us < 1767225600000000)
+select distinct o.record_table, o.record_id, o.field_name, o.v "value", r.us epoch_us, r.format, false ambiguous from odd o left join read r on r.record_table = o.record_table and r.record_id is not distinct from o.record_id and r.field_name = o.field_name and r.v = o.v and r.agent is not distinct from o.agent
+"""
+)
 SQL: dict[str, str] = {
+    "p3_instants": _INSTANTS_SQL,
     "p2_found": _DRIFT_SQL,
     "p3_found": _INSTANT_SQL,
     "p1_found": _KNOWN_SQL
@@ -318,6 +330,10 @@ where n = 1 and not coalesce(is_known and lower(trim(status)) = 'active' and coa
     "p1_attributes": _KNOWN_SQL + "select pack_id, entry_id, created_at, status known_status, valid_from known_valid_from, stale_after known_stale_after, is_known from best where n = 1",
     "p4_found": _HISTORY_SQL
     + "select id, cast(version_no as int) version_no, cast(min(snapshot_no) as int) first_snapshot_no, cast(max(snapshot_no) as int) last_snapshot_no from numbered group by id, version_no",
+    "p4_history": _HISTORY_SQL
+    + """, version as (select id, cast(version_no as int) version_no, cast(min(snapshot_no) as int) first, cast(max(snapshot_no) as int) last, any_value(nullif(a, '')) a, any_value(nullif(b, '')) b, any_value(nullif(c, '')) c, any_value(d) d, any_value(e) e, any_value(f) f, any_value(g) g from numbered group by id, version_no)
+select id, version_no, first, last, '{"status":' || coalesce(to_json(a), 'null') || ',"confidence":' || coalesce(to_json(b), 'null') || ',"scope":' || coalesce(to_json(c), 'null') || ',"valid_from":' || coalesce(to_json(cast(epoch_us(d) as varchar)), 'null')
+ || ',"valid_until":' || coalesce(to_json(cast(epoch_us(e) as varchar)), 'null') || ',"stale_after":' || coalesce(to_json(cast(epoch_us(f) as varchar)), 'null') || ',"superseded_by":' || case when len(g) > 0 then to_json(cast(to_json(g) as varchar)) else 'null' end || '}' attributes from version""",
     "p5_found": _SURVIVING_SQL + "select conflict_id, field_name, record_id from best",
     "p5_records": _SURVIVING_SQL
     + "select conflict_id, " + ", ".join(f"max(value) filter (field_name = '{f}') {f}" for f in _SURVIVING) + " from best group by conflict_id",

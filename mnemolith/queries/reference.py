@@ -12,6 +12,7 @@ from ..operators import bundles, citations, conflicts, hygiene, integrity, migra
 from ..plans import compiler
 from ..session import prepare
 from ..streaming import sessions
+from .. import schemas
 
 NOW = "2025-01-01T00:00:00Z"
 QUERIES: dict = {}
@@ -67,7 +68,8 @@ def bundle_fingerprint(spark, sf):
     return spark.range(1).select(F.lit(bundles.fingerprint(_records(spark, sf, 0))).alias("fingerprint"))
 
 
-@query()
+@query(_BUNDLES + ", h as (select sha256(id || chr(0) || doc) h from a), parts as (select count(*) n, "
+       + ", ".join(f"coalesce(sum(cast('0x' || substr(h, {1 + 12 * i}, 12) as bigint)), 0) p{i}" for i in range(5)) + " from h) select n records, sha256(concat_ws('.', n, p0, p1, p2, p3, p4)) fingerprint from parts")
 def bundle_tree_fingerprint(spark, sf):
     return bundles.tree_fingerprint(_records(spark, sf, 0))
 
@@ -139,7 +141,12 @@ def bundle_subtract(spark, sf):
     return bundles.subtract(_records(spark, sf, 0), _records(spark, sf, 1))
 
 
-@query()
+_WHOLE = """with last as (select bundle_ix, id, arg_max(doc, pos) doc from bundle_record group by all),
+leaf as (select l.bundle_ix, l.id, t.fullkey, case when t.type in ('BIGINT', 'UBIGINT', 'HUGEINT') then 'integer' else t.type end kind, case when t.type in ('OBJECT', 'ARRAY') then '' when t.type = 'DOUBLE' then cast(cast(t.atom as double) as varchar) else coalesce(t.atom ->> '$', '') end v from last l, json_tree(l.doc) t),
+whole as (select bundle_ix, id, string_agg(fullkey || '|' || kind || '|' || v, chr(10) order by fullkey) w from leaf group by all), a as (select * from whole where bundle_ix = 0), c as (select * from whole where bundle_ix = 1) """
+
+
+@query(_WHOLE + "select coalesce(a.id, c.id) id, case when a.id is null then 'added' when c.id is null then 'removed' when a.w = c.w then 'unchanged' else 'changed' end status from a full join c on a.id = c.id")
 def bundle_record_diff(spark, sf):
     """The two copies of the ledger, compared as canonical text."""
     rows = _table(spark, sf, "bundle_record")
@@ -396,6 +403,39 @@ def citation_cycles(spark, sf):
     return citations.cycles(citations.held(_graph(spark, sf)))
 
 
+def _planted(spark, sf):
+    """The graph with faults: spans whose hash begins with 1 are gone, and those whose hash begins with 2 derive from the least claim that cites them."""
+    g = _graph(spark, sf)
+    spans = _table(spark, sf, "evidence_span")
+    citing = g.edges.where("relation = 'cites'").groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("claim"))
+    first = F.substring("span_hash_sha256", 1, 1)
+    kept = spans.where(~F.coalesce(first == "1", F.lit(False))).join(citing, "id", "left").select("id", F.lit("evidence_span").alias("record_type"), F.when((first == "2") & F.col("claim").isNotNull(), F.col("claim")).otherwise(F.col("source_id")).alias("source_id"))
+    claims = g.nodes.where("kind = 'claim'").select("id", "record_type")
+    cited = g.edges.where("relation = 'cites'").groupBy(F.col("from_id").alias("id")).agg(F.collect_set("to_id").alias("evidence_ids"))
+    return citations.graph(g.nodes.where("kind = 'source'").select("id", "record_type"), kept, claims.join(cited, "id", "left"))
+
+
+_PLANTED = _GRAPH + """, citing as (select to_id id, min(from_id) claim from edge where relation = 'cites' group by to_id),
+span as (select s.id, case when substr(s.span_hash_sha256, 1, 1) = '2' and c.claim is not null then c.claim else s.source_id end source_id from evidence_span s left join citing c on c.id = s.id where not coalesce(substr(s.span_hash_sha256, 1, 1) = '1', false)),
+pnode as (select id from node where kind <> 'evidence' union select id from span), pref as (select id from_id, source_id to_id, 'derives_from' relation from span where source_id is not null union select from_id, to_id, relation from edge where relation = 'cites'),
+pedge as (select * from pref where to_id in (select id from pnode)) """
+
+
+@query(_PLANTED + "select from_id, to_id, relation from pref where to_id not in (select id from pnode)")
+def citation_dangling_faults(spark, sf):
+    return _planted(spark, sf).dangling.select("from_id", "to_id", "relation")
+
+
+@query("with recursive " + _PLANTED.removeprefix("with ") + """, walk as (select from_id a, to_id b, 1 n from pedge union select w.a, e.to_id, 0 from walk w join pedge e on e.from_id = w.b), loop as (select distinct a id from walk where a = b)
+select id from loop union select w.b from walk w where w.a in (select id from loop) and exists (select 1 from walk v where v.a = w.b and v.b in (select id from loop))""")
+def citation_cycle_faults(spark, sf):
+    return citations.cycles(_planted(spark, sf))
+
+
+_FAULTY_SPANS = """(select case when h = '0' then replace(id, 'span_', 'spin_') else id end id, case when h = '1' then replace(source_id, 'src_', 'doc_') else source_id end source_id, case when h = '2' then null else locator end locator, case when h = '3' then 'odd' when h = '4' then 'none' else excerpt_policy end excerpt_policy, text_excerpt,
+case when h = '5' then upper(span_hash_sha256) else span_hash_sha256 end span_hash_sha256, case when h = '6' then 'secret' else privacy_class end privacy_class from (select *, coalesce(substr(span_hash_sha256, 2, 1), '') h from evidence_span))"""
+
+
 @query("""with b as (select id, unnest([case when not coalesce(regexp_matches(id, '^span_[0-9a-f]{16,}$'), false) then 'id has its prefix' end, case when not coalesce(starts_with(source_id, 'src_'), false) then 'source_id has its prefix' end,
 case when coalesce(locator.kind, '') = '' or coalesce(locator.value, '') = '' then 'locator is complete' end, case when not coalesce(excerpt_policy in ('none', 'synthetic', 'redacted', 'short_quote_allowed'), false) then 'excerpt_policy is known' end,
 case when not coalesce(not (text_excerpt is not null and excerpt_policy = 'none'), false) then 'excerpt follows its policy' end, case when not coalesce(regexp_matches(span_hash_sha256, '^[0-9a-f]{64}$'), false) then 'span_hash_sha256 is a digest' end,
@@ -404,6 +444,18 @@ def span_rule_violations(spark, sf):
     return rules.violations(_table(spark, sf, "evidence_span"), rules.span_rules()).select("rule", "id")
 
 
+@query(SQL["span_rule_violations"].replace("from evidence_span)", f"from {_FAULTY_SPANS})"))
+def span_rule_faults(spark, sf):
+    """The same over spans of which some have a fault each."""
+    h = F.coalesce(F.substring("span_hash_sha256", 2, 1), F.lit(""))
+    change = lambda digit, name, to: F.when(h == digit, to).otherwise(F.col(name))
+    rows = _table(spark, sf, "evidence_span").withColumns({
+        "id": change("0", "id", F.replace("id", F.lit("span_"), F.lit("spin_"))), "source_id": change("1", "source_id", F.replace("source_id", F.lit("src_"), F.lit("doc_"))), "locator": change("2", "locator", None),
+        "excerpt_policy": F.when(h == "3", "odd").when(h == "4", "none").otherwise(F.col("excerpt_policy")), "span_hash_sha256": change("5", "span_hash_sha256", F.upper("span_hash_sha256")), "privacy_class": change("6", "privacy_class", F.lit("secret")),
+    })
+    return rules.violations(rows, rules.span_rules()).select("rule", "id")
+
+
 @query("""with b as (select id, unnest([case when not coalesce(status in ('active', 'stale', 'superseded', 'retracted', 'contested', 'archived'), false) then 'status is known' end, case when not coalesce(confidence in ('low', 'medium', 'high'), false) then 'confidence is known' end,
 case when coalesce(len(evidence_span_ids), 0) = 0 then 'evidence is given' end, case when try_cast(valid_from as timestamptz) > try_cast(valid_until as timestamptz) then 'validity is ordered' end, case when try_cast(valid_from as timestamptz) > try_cast(stale_after as timestamptz) then 'staleness is ordered' end,
 case when not coalesce(status <> 'superseded' or coalesce(len(superseded_by), 0) > 0, false) then 'superseded names its successor' end, case when not coalesce(status <> 'superseded' or valid_until is not null, false) then 'superseded has an end' end,
@@ -425,18 +477,32 @@ def candidate_integrity(spark, sf):
     return integrity.candidate_bundle(_table(spark, sf, "source_record"), None, _table(spark, sf, "evidence_span"), _table(spark, sf, "candidate"))
 
 
-@query()
-def ledger_integrity(spark, sf):
-    return integrity.ledger_bundle(*[_table(spark, sf, n) for n in ("source_record", "evidence_span", "candidate", "memory_reducer_decision", "ledger_entry")])
+def _authorised(decisions: str) -> str:
+    return f"""with d as (select distinct id, target_candidate_ids c, target_ledger_entry_ids l, evidence_span_ids e from {decisions}), j as (select x.id, x.reducer_decision_id r, coalesce(x.candidate_ids, []) xc, coalesce(x.evidence_span_ids, []) xe, coalesce(x.metadata ->> '$.human_asserted' = 'true', false) human, d.id did, coalesce(d.c, []) c, coalesce(d.l, []) l, coalesce(d.e, []) e from ledger_entry x left join d on d.id = x.reducer_decision_id)
+select distinct 'dangling reducer_decision_id' "rule", id record_id, r ref_id from j where did is null union all select distinct 'entry is no target of its decision', id, r from j where did is not null and not list_contains(l, id)
+union all select distinct 'candidates beyond the decision', id, r from j where did is not null and not list_has_all(c, xc) union all select distinct 'evidence beyond the decision', id, r from j where did is not null and not list_has_all(e, xe)
+union all select distinct 'neither candidates nor a human stand behind it', id, r from j where len(xc) = 0 and not human"""
 
 
-@query("""with d as (select distinct id, target_candidate_ids c, target_ledger_entry_ids l, evidence_span_ids e from memory_reducer_decision), j as (select x.id, x.reducer_decision_id r, coalesce(x.candidate_ids, []) xc, coalesce(x.evidence_span_ids, []) xe, d.id did, coalesce(d.c, []) c, coalesce(d.l, []) l, coalesce(d.e, []) e from ledger_entry x left join d on d.id = x.reducer_decision_id)
-select distinct 'dangling reducer_decision_id' rule, id record_id, r ref_id from j where did is null union all select distinct 'entry is no target of its decision', id, r from j where did is not null and not list_contains(l, id)
-union all select distinct 'candidates beyond the decision', id, r from j where did is not null and not list_has_all(c, xc) union all select distinct 'evidence beyond the decision', id, r from j where did is not null and not list_has_all(e, xe)""")
+@query(_authorised("memory_reducer_decision"))
 def reducer_authorisation(spark, sf):
     return integrity.authorisation(_table(spark, sf, "ledger_entry"), _table(spark, sf, "memory_reducer_decision"))
 
 
+_CUT_DECISIONS = "(select distinct id, case when ends_with(id, '0') then list_filter(target_candidate_ids, lambda x: x > 'cand_claim_8') else target_candidate_ids end target_candidate_ids, case when ends_with(id, '1') then [] else target_ledger_entry_ids end target_ledger_entry_ids, case when ends_with(id, '2') then evidence_span_ids[2:] else evidence_span_ids end evidence_span_ids from memory_reducer_decision where not ends_with(id, '3'))"
+
+
+@query(_authorised(_CUT_DECISIONS))
+def reducer_authorisation_faults(spark, sf):
+    """The same where some decisions are gone and others have lost a part of their lists."""
+    rows, key = _table(spark, sf, "memory_reducer_decision").where("not endswith(id, '3')"), F.col("id")
+    rows = rows.withColumns({
+        "target_candidate_ids": F.when(key.endswith("0"), F.filter("target_candidate_ids", lambda x: x > "cand_claim_8")).otherwise(F.col("target_candidate_ids")), "target_ledger_entry_ids": F.when(key.endswith("1"), F.array().cast("array<string>")).otherwise(F.col("target_ledger_entry_ids")),
+        "evidence_span_ids": F.when(key.endswith("2"), F.slice("evidence_span_ids", 2, 1000)).otherwise(F.col("evidence_span_ids")),
+    })
+    return integrity.authorisation(_table(spark, sf, "ledger_entry"), rows)
+
+
 _LINKS = """with u as (select id, max(valid_from) vf, max(valid_until) vu from ledger_entry group by id), n as (select distinct unnest(supersedes) o, id n from ledger_entry), w as (select distinct id o, unnest(superseded_by) n from ledger_entry),
 k as (select coalesce(n.o, w.o) o, coalesce(n.n, w.n) n, n.o is not null by_new, w.o is not null by_old from n full join w on n.o = w.o and n.n = w.n), j as (select k.*, a.id is not null ho, b.id is not null hn, a.vu, b.vf from k left join u a on a.id = k.o left join u b on b.id = k.n where k.o is not null and k.n is not null)
 """
@@ -449,6 +515,24 @@ def supersession_reciprocity(spark, sf):
     return integrity.supersession(_table(spark, sf, "ledger_entry"))
 
 
+def _lost(table: str, field: str, target: str) -> str:
+    return f"select distinct 'dangling {field}', id, r from (select id, unnest({field}) r from {table}) where r is not null and r not in (select id from {target} where id is not null)"
+
+
+_LEDGER_SQL = " union all ".join([
+    "select 'duplicate decision' \"rule\", id record_id, null ref_id from memory_reducer_decision group by id having count(*) > 1", "select 'duplicate entry', id, null from ledger_entry group by id having count(*) > 1",
+    _lost("memory_reducer_decision", "target_candidate_ids", "candidate"), _lost("memory_reducer_decision", "target_ledger_entry_ids", "ledger_entry"), _lost("ledger_entry", "source_record_ids", "source_record"),
+    _lost("ledger_entry", "evidence_span_ids", "evidence_span"), _lost("ledger_entry", "candidate_ids", "candidate"),
+    *[f"select distinct 'span {k} not declared', c.id, c.r from (select id, {k}_record_ids s, unnest(evidence_span_ids) r from ledger_entry) c join evidence_span e on e.id = c.r where len(c.s) > 0 and e.{k}_id is not null and not list_contains(c.s, e.{k}_id)" for k in ("source", "episode")],
+    f"select * from ({_authorised('memory_reducer_decision')})", f"select * from ({SQL['supersession_reciprocity']})",
+])
+
+
+@query(_LEDGER_SQL)
+def ledger_integrity(spark, sf):
+    return integrity.ledger_bundle(*[_table(spark, sf, n) for n in ("source_record", "evidence_span", "candidate", "memory_reducer_decision", "ledger_entry")])
+
+
 def _packs(spark, sf):
     lists = [F.coalesce(F.col(f"trusted_memory.{k}"), F.array().cast("array<string>")) for k in ("fact_ids", "preference_ids", "decision_ids")]
     return _table(spark, sf, "context_pack").select("id", "created_at", F.concat(*lists).alias("entry_ids"))
@@ -532,7 +616,34 @@ def reduce_decisions(spark, sf):
     return decisions.select("id", F.col("target_candidate_ids")[0].alias("candidate_id"), F.col("target_ledger_entry_ids")[0].alias("entry_id"), "rationale", "decided_at", "confidence", "risk_class")
 
 
-@query()
+def _row_rules_sql() -> str:
+    """The rules of the catalogue, in SQL, over the columns that the tables have."""
+    absent = {"decision_ledger_entry": ("alternatives_considered", "rationale_text")}
+    when = lambda f: f"case when regexp_matches(upper({f}), '{_ISO}') then try_cast(upper({f}) as timestamptz) end"
+    parts = []
+    for kind, table in {**{f"{k}_ledger_entry": f"(select * from ledger_entry where ledger_type = '{k}')" for k in ("fact", "preference", "decision")}, **{n: n for n in ("source_record", "evidence_span", "memory_reducer_decision", "conflict_resolution")}}.items():
+        fields = [(f, k, e) for f, k, e in schemas.fields_of(kind) if f not in absent.get(kind, ())]
+        checks = {"id has its prefix": f"starts_with(id, '{canonical.PREFIXES[kind]}_')"}
+        for field, shape, enum in fields:
+            if shape == "s":
+                checks[f"{field} is required"] = f"coalesce(trim({field}, ' '), '') <> ''"
+            if enum:
+                checks[f"{field} is known"] = f"{field} in ({', '.join(repr(x) for x in schemas.ENUMS[enum])})"
+            if shape in "sn" and (field.endswith("_at") or field in ("valid_from", "valid_until", "stale_after")):
+                checks[f"{field} is a time"] = f"({field} is null or regexp_matches(upper({field}), '{_ISO}'))"
+            if shape == "l" and (field in rules._LIST_PREFIXES or field.endswith("span_ids")):
+                prefixes = "|".join(rules._LIST_PREFIXES.get(field, ("span_",)))
+                checks[f"{field} have their prefix"] = f"coalesce(len(list_filter({field}, lambda x: not coalesce(regexp_matches(x, '^({prefixes})'), false))) = 0, true)"
+        names = [f for f, _, _ in fields]
+        for later in ("valid_until", "stale_after"):
+            if "valid_from" in names and later in names:
+                checks[f"{later} is not before valid_from"] = f"coalesce({when('valid_from')} <= {when(later)}, true)"
+        broken = ", ".join(f"case when not coalesce({test}, false) then '{rule}' end" for rule, test in checks.items())
+        parts.append(f"select '{kind}' record_type, r \"rule\", id from (select id, unnest([{broken}]) r from {table}) where r is not null")
+    return " union all ".join(parts)
+
+
+@query(_row_rules_sql())
 def row_rule_violations(spark, sf):
     """What the catalogue demands of every row of the domain tables."""
     entries = _table(spark, sf, "ledger_entry")
@@ -541,7 +652,11 @@ def row_rule_violations(spark, sf):
     return integrity.row_violations(planes)
 
 
-@query()
+_SORTED = {f: f"coalesce(to_json(list_sort({f}, 'ASC', 'NULLS LAST')), 'null')" for f in ("evidence_span_ids", "target_candidate_ids", "target_ledger_entry_ids")}
+_EXPECTED = "'redmem_' || substr(sha256(" + _json_sql(decision_type=_quoted("decision_type"), rationale=_quoted("rationale"), **_SORTED) + "), 1, 24)"
+
+
+@query(f"select distinct id, expected_id, id is not distinct from expected_id id_matches from (select id, {_EXPECTED} expected_id from memory_reducer_decision)")
 def expected_ids(spark, sf):
     """Identifiers that content demands against those given (the test tables' ids are not derived from content)."""
     from ..functions.identity import with_id_check
@@ -602,14 +717,40 @@ def compile_fresh(spark, sf):
     return _selected(spark, sf, "fresh").where("rank is not null").select("id", "rank")
 
 
-@query()
-def context_pack_build(spark, sf):
+_PACK = _SELECT + f""", top as (select id, ledger_type, row_number() over (order by score desc, id) rank from k qualify rank <= 100), section as (select ledger_type, string_agg(to_json(id), ',' order by rank) ids from top group by ledger_type),
+out as (select why reason, count(*) n from s where why is not null group by why union all select 'exceeded_max_records', count(*) - 100 from k having count(*) > 100),
+pack as (select (select '[' || string_agg(to_json(id), ',' order by id) || ']' from top) ids, (select '{{' || string_agg('"' || ledger_type || '":[' || ids || ']', ',' order by ledger_type) || '}}' from section) sections, (select '{{' || string_agg('"' || reason || '":' || n, ',' order by reason) || '}}' from out) excluded),
+named as (select *, 'ctx_' || substr(sha256('{{"created_at":"{NOW}","pack_type":"project","record_ids":' || ids || ',"task_id":"task-1"}}'), 1, 24) id from pack) """
+
+
+def _packed(spark, sf):
     return compiler.pack(_selected(spark, sf, "recent"), task_id="task-1", pack_type="project", created_at=NOW)
 
 
-@query()
+@query(_PACK + "select id, sections, excluded, sha256(ids) build_inputs_hash from named")
+def context_pack_build(spark, sf):
+    return _packed(spark, sf).select("id", F.to_json("sections").alias("sections"), F.to_json("excluded").alias("excluded"), "build_inputs_hash")
+
+
+@query(_PACK + """select 'ctxreceipt_' || substr(sha256('{"build_inputs_hash":"' || sha256(ids) || '","context_pack_id":"' || id || '"}'), 1, 24) id, id context_pack_id, ids included_ids from named""")
 def context_pack_receipt(spark, sf):
-    return compiler.receipt(context_pack_build(spark, sf))
+    return compiler.receipt(_packed(spark, sf)).select("id", "context_pack_id", F.to_json("included_ids").alias("included_ids"))
+
+
+_TASK = {"task_id": "task-1", "task_title": "title", "task_type": "research", "task_summary": "summary", "project_id": None, "risk_class": "low", "sensitivity": "internal"}
+
+
+@query(_PACK + """, cited as (select distinct to_id id from edge where relation = 'cites' and from_id in (select id from top)), span as (select distinct c.id, s.source_id, s.episode_id from cited c join evidence_span s on s.id = c.id)
+select ledger_type || '_ids' slot, id from top union all select 'evidence_span_ids', id from (select distinct id from span) union all select distinct 'source_record_ids', source_id from span where source_id is not null
+union all select distinct 'episode_record_ids', episode_id from span where episode_id is not null union all select 'primary_evidence_span_ids', id from (select distinct id from span order by id limit 5)
+union all select 'included_ids', id from (select id from top union select id from span union select source_id from span union select episode_id from span) where id is not null""")
+def context_pack_document(spark, sf):
+    """The lists of a pack as a whole document, a row per id."""
+    spans = _table(spark, sf, "evidence_span").select("id", "source_id", "episode_id", F.lit(None).cast("string").alias("created_at"))
+    pack = compiler.document(_selected(spark, sf, "recent"), _graph(spark, sf), spans, task=_TASK, state={}, created_at=NOW)
+    lists = {**{f: f"trusted_memory.{f}" for f in ("fact_ids", "preference_ids", "decision_ids")}, **{f: f"evidence.{f}" for f in ("source_record_ids", "episode_record_ids", "evidence_span_ids", "primary_evidence_span_ids")}, "included_ids": "retrieval_trace.included_ids"}
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("slot"), F.col(c).alias("ids")) for f, c in lists.items()]))
+    return pack.select(both.alias("l")).select("l.slot", F.explode("l.ids").alias("id"))
 
 
 @query(_SELECT + """, top as (select id from k order by score desc, id limit 100) select distinct to_id id from edge where relation = 'cites' and from_id in (select id from top) order by id limit 5""")
@@ -634,12 +775,13 @@ def _lined(label: str, field: str) -> str:
 
 
 _FOOT = "coalesce('Evidence: ' || nullif(array_to_string(evidence_span_ids, ', '), ''), '')"
+_META = """concat_ws(',', '"record_id":' || to_json(coalesce(id, '')), '"record_type":"' || ledger_type || '_ledger_entry"', '"privacy_class":"internal"', '"plane":"ledger"', """ + ", ".join(f"""'"{f}":' || to_json(nullif("{f}", ''))""" for f in ("subject", "predicate", "object", "scope", "confidence", "domain")) + ")"
 _TEXTS = f"""with t as (
-select id, ledger_type || '_ledger_entry' k, case ledger_type
+select id, ledger_type || '_ledger_entry' k, {_META} m, case ledger_type
  when 'fact' then concat_ws(chr(10), nullif(fact_text, ''), 'Subject: ' || nullif(subject, '') || ' ' || nullif(predicate, '') || ' ' || nullif("object", ''), {_lined('Scope', 'scope')}, 'Confidence: ' || coalesce(nullif(confidence, ''), 'unknown'), {_lined('Valid from', 'valid_from')}, {_FOOT})
  when 'preference' then concat_ws(chr(10), {_lined('Preference', 'preference_text')}, {_lined('Subject', 'subject')}, {_lined('Domain', 'domain')}, {_lined('Strength', 'strength')}, {_FOOT})
  when 'decision' then concat_ws(chr(10), {_lined('Decision', 'decision_text')}, {_lined('Scope', 'decision_scope')}, {_lined('Owner', 'owner')}, {_lined('Reversibility', 'reversibility')}, {_FOOT}) end x from ledger_entry where ledger_type in ('fact', 'preference', 'decision')
-union all select id, 'evidence_span', concat_ws(chr(10), 'Span ' || coalesce(nullif(id, ''), 'unknown') || ' in source ' || coalesce(nullif(source_id, ''), 'unknown'), case when locator is not null then 'Locator: ' || coalesce(locator.kind, '?') || '=' || coalesce(locator.value, '?') end,
+union all select id, 'evidence_span', '"record_id":' || to_json(coalesce(id, '')) || ',"record_type":"evidence_span","privacy_class":' || to_json(coalesce(nullif(privacy_class, ''), 'internal')) || ',"plane":"evidence"', concat_ws(chr(10), 'Span ' || coalesce(nullif(id, ''), 'unknown') || ' in source ' || coalesce(nullif(source_id, ''), 'unknown'), case when locator is not null then 'Locator: ' || coalesce(locator.kind, '?') || '=' || coalesce(locator.value, '?') end,
  coalesce('Text: ' || nullif(text_excerpt, ''), 'Text: [no excerpt; excerpt_policy=' || coalesce(nullif(excerpt_policy, ''), 'none') || ']'), 'Privacy: ' || coalesce(nullif(privacy_class, ''), 'internal')) from evidence_span) """
 
 
@@ -659,12 +801,12 @@ def embedding_dedup(spark, sf):
     return render.distinct_texts(_texts(spark, sf))
 
 
-@query()
+@query(_TEXTS + "select coalesce(id, '') record_id, case when k = 'evidence_span' then 'evidence' else 'ledger' end plane, cast(length(x) as int) char_count, '{' || m || '}' metadata from t where x <> ''")
 def embedding_metadata(spark, sf):
     return _texts(spark, sf).select("record_id", "plane", "char_count", F.to_json("metadata").alias("metadata"))
 
 
-@query()
+@query("select coalesce(id, '') record_id, 'memory_reducer_decision' record_type, 'audit' plane, concat_ws(chr(10), " + ", ".join(f"'{f}: ' || {f}" for f in ("confidence", "decided_at", "decision_type", "id", "rationale", "risk_class", "schema_version")) + ") \"text\" from memory_reducer_decision")
 def embedding_generic(spark, sf):
     rows = _table(spark, sf, "memory_reducer_decision").select("id", "schema_version", "decision_type", "rationale", "decided_at", "confidence", "risk_class")
     return render.embedding_inputs(rows, "memory_reducer_decision").select("record_id", "record_type", "plane", "text")
@@ -675,7 +817,13 @@ def session_latest_n(spark, sf):
     return sessions.latest_turns(_table(spark, sf, "events"), session="user_id", turn="event_id", keep=5).select("user_id", "event_id", "event_type")
 
 
-@query()
+_SOURCE = "'src_' || substr(sha256('{\"content_hash_sha256\":\"' || sha256(cast(user_id as varchar)) || '\",\"origin_or_raw_ref\":{\"kind\":\"synthetic_fixture\",\"value\":\"' || user_id || '\"},\"source_type\":\"other\"}'), 1, 24)"
+_TURNS = "with t as (select user_id, event_id, event_type, props, " + _SOURCE + " src from events)"
+_PLACE = lambda part: "'\"locator_kind\":\"message_range\",\"locator_value\":\"' || event_id || '" + part + "\",\"source_id\":\"' || src || '\"}'"
+
+
+@query(_TURNS + " select user_id session_id, event_id turn, 'episode' kind, 'ep_' || substr(sha256('{\"episode_type\":\"conversation_segment\",' || " + _PLACE("") + "), 1, 24) id, null \"text\" from t union all select user_id, event_id, 'span', 'span_' || substr(sha256('{' || "
+       + _PLACE(":input") + "), 1, 24), event_type from t union all select user_id, event_id, 'span', 'span_' || substr(sha256('{' || " + _PLACE(":output") + "), 1, 24), props from t")
 def session_records(spark, sf):
     turns = _table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("input"), F.col("props").alias("output"))
     return sessions.turn_records(turns)
