@@ -73,7 +73,9 @@ def normalised(values: DataFrame, *, value: str, home: str, source: Sequence[str
     rows = values.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(kept)})
     place = {c: f"_{i}" for i, c in enumerate(kept)}
     v = F.col(place[value])
-    plain = rows.where(v.rlike(CANONICAL)).withColumns({"epoch_us": F.unix_micros(v.try_cast("timestamp")), "format": F.lit("canonical"), "posterior": F.lit(1.0)})
+    instant = F.unix_micros(v.try_cast("timestamp"))
+    # An impossible date denotes nothing, however well it is written.
+    plain = rows.where(v.rlike(CANONICAL)).withColumns({"epoch_us": instant, "format": F.when(instant.isNotNull(), "canonical"), "posterior": F.when(instant.isNotNull(), 1.0)})
     other = rows.where(~F.coalesce(v.rlike(CANONICAL), F.lit(False))).withColumns({"value": v, "home": F.col(place[home])})
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in other.schema)}, readings {_READINGS}"
     read = cut(other.mapInArrow(_read, schema).drop("value", "home"))
