@@ -1,7 +1,9 @@
-"""JSON Schema validation of JSON texts, batch by batch.
+"""JSON Schema validation of JSON texts: a schema compiles to one column over VARIANT values.
 
 Covers what record schemas use: type, const, enum, required, properties, additionalProperties, items,
 contains, pattern, length, size and number bounds, allOf, anyOf, oneOf, not, if/then/else and local $ref.
+`errors` is the same for a single value in Python. Only texts that VARIANT can't hold (no JSON, or with keys
+that repeat) and schemas that refer to themselves are looked at there.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 _TYPES = {
@@ -39,7 +42,7 @@ def errors(value, schema, root: dict | None = None, path: str = "$") -> Iterator
         return
     if "$ref" in schema:
         target = root
-        for part in schema["$ref"].lstrip("#/").split("/"):
+        for part in filter(None, schema["$ref"].lstrip("#").split("/")):
             target = target[part]
         yield from errors(value, target, root, path)
     kinds = schema.get("type")
@@ -98,19 +101,169 @@ def valid(value, schema, root: dict | None = None) -> bool:
     return next(errors(value, schema, root), None) is None
 
 
+class _Recursive(Exception):
+    """A schema that refers to itself has no column."""
+
+
+_NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
+
+
+class _Compiler:
+    """Columns of ARRAY<STRING>: the violations of a VARIANT column, in the order of the schema."""
+
+    def __init__(self, root: dict) -> None:
+        self.root = root
+        self.none = F.array().cast("array<string>")
+
+    def _message(self, path: Column, text: str | Column) -> Column:
+        return F.concat(path, F.lit(": "), F.lit(text) if isinstance(text, str) else text)
+
+    def _if(self, wrong: Column, path: Column, text: str | Column) -> Column:
+        return F.when(wrong, F.array(self._message(path, text))).otherwise(self.none)
+
+    def _is(self, name: str, value: Column, kind: Column) -> Column:
+        number = kind.rlike(_NUMBER)
+        whole = F.try_variant_get(value, "$", "double")
+        return {
+            "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "number": number,
+            "integer": number & (kind.startswith("BIGINT") | F.coalesce(whole == F.rint(whole), F.lit(False))),
+        }[name]
+
+    def _equals(self, value: Column, kind: Column, wanted) -> Column:
+        if isinstance(wanted, bool):
+            return (kind == "BOOLEAN") & F.coalesce(F.try_variant_get(value, "$", "boolean") == wanted, F.lit(False))
+        if isinstance(wanted, (int, float)):
+            return kind.rlike(_NUMBER) & F.coalesce(F.try_variant_get(value, "$", "double") == float(wanted), F.lit(False))
+        if isinstance(wanted, str):
+            return (kind == "STRING") & F.coalesce(F.try_variant_get(value, "$", "string") == wanted, F.lit(False))
+        if wanted is None:
+            return kind == "VOID"
+        return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+
+    def errors(self, value: Column, schema, path: Column, refs: tuple[str, ...] = ()) -> Column:
+        if schema is True:
+            return self.none
+        if schema is False:
+            return F.array(self._message(path, "not allowed"))
+        if "$ref" in schema:
+            if schema["$ref"] in refs:
+                raise _Recursive
+            target = self.root
+            for part in filter(None, schema["$ref"].lstrip("#").split("/")):
+                target = target[part]
+            return self.errors(value, target, path, (*refs, schema["$ref"]))
+        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        valid = lambda part, v=value: F.size(self.errors(v, part, path, refs)) == 0
+        found: list[Column] = []
+        if "const" in schema:
+            found.append(self._if(~self._equals(value, kind, schema["const"]), path, f"is not {json.dumps(schema['const'])}"))
+        if "enum" in schema:
+            known = F.lit(False)
+            for wanted in schema["enum"]:
+                known = known | self._equals(value, kind, wanted)
+            found.append(self._if(~known, path, f"is not one of {json.dumps(schema['enum'])}"))
+        found += self._text(value, kind, schema, path) + self._number(value, kind, schema, path) + self._list(value, kind, schema, path, refs) + self._object(value, kind, schema, path, refs)
+        found += [self.errors(value, part, path, refs) for part in schema.get("allOf", ())]
+        if "anyOf" in schema:
+            fits = F.lit(False)
+            for part in schema["anyOf"]:
+                fits = fits | valid(part)
+            found.append(self._if(~fits, path, "fits none of the alternatives"))
+        if "oneOf" in schema:
+            fitting = F.lit(0)
+            for part in schema["oneOf"]:
+                fitting = fitting + valid(part).cast("int")
+            found.append(self._if(fitting != 1, path, "fits not exactly one of the alternatives"))
+        if "not" in schema:
+            found.append(self._if(valid(schema["not"]), path, "fits what it must not"))
+        if "if" in schema:
+            found.append(F.when(valid(schema["if"]), self.errors(value, schema.get("then", True), path, refs)).otherwise(self.errors(value, schema.get("else", True), path, refs)))
+        out = F.concat(*found) if len(found) > 1 else found[0] if found else self.none
+        kinds = schema.get("type")
+        if kinds is None:
+            return out
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        right = F.lit(False)
+        for name in kinds:
+            right = right | self._is(name, value, kind)
+        return F.when(right, out).otherwise(F.array(self._message(path, f"is not of type {' or '.join(kinds)}")))
+
+    def _text(self, value: Column, kind: Column, schema: dict, path: Column) -> list[Column]:
+        text, mine, out = F.try_variant_get(value, "$", "string"), kind == "STRING", []
+        if {"minLength", "maxLength"} & schema.keys():
+            size = F.length(text)
+            out.append(self._if(mine & ((size < schema.get("minLength", 0)) | (size > schema.get("maxLength", 1 << 31))), path, "has a wrong length"))
+        if "pattern" in schema:
+            out.append(self._if(mine & ~text.rlike(schema["pattern"]), path, f"does not match {schema['pattern']}"))
+        return out
+
+    def _number(self, value: Column, kind: Column, schema: dict, path: Column) -> list[Column]:
+        if not {"minimum", "maximum"} & schema.keys():
+            return []
+        number, beyond = F.try_variant_get(value, "$", "double"), F.lit(False)
+        if "minimum" in schema:
+            beyond = beyond | (number < schema["minimum"])
+        if "maximum" in schema:
+            beyond = beyond | (number > schema["maximum"])
+        return [self._if(kind.rlike(_NUMBER) & beyond, path, "is out of range")]
+
+    def _list(self, value: Column, kind: Column, schema: dict, path: Column, refs: tuple[str, ...]) -> list[Column]:
+        items, mine, out = F.try_variant_get(value, "$", "array<variant>"), kind.startswith("ARRAY"), []
+        if {"minItems", "maxItems"} & schema.keys():
+            size = F.size(items)
+            out.append(self._if(mine & ((size < schema.get("minItems", 0)) | (size > schema.get("maxItems", 1 << 31))), path, "has a wrong number of items"))
+        if "items" in schema and schema["items"] is not True:
+            each = F.transform(items, lambda x, i: self.errors(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), refs))
+            out.append(F.when(mine, F.flatten(each)).otherwise(self.none))
+        if "contains" in schema:
+            there = F.exists(items, lambda x: F.size(self.errors(x, schema["contains"], path, refs)) == 0)
+            out.append(self._if(mine & ~F.coalesce(there, F.lit(False)), path, "contains no required item"))
+        return out
+
+    def _object(self, value: Column, kind: Column, schema: dict, path: Column, refs: tuple[str, ...]) -> list[Column]:
+        known, rest, mine = schema.get("properties", {}), schema.get("additionalProperties", True), kind.startswith("OBJECT")
+        if not known and rest is True and not schema.get("required"):
+            return []
+        keys, out = F.when(mine, F.json_object_keys(F.to_json(value))), []
+        for name in schema.get("required", ()):
+            out.append(self._if(mine & ~F.array_contains(keys, name), path, f"{name} is missing"))
+        for name, part in known.items():
+            member = F.try_variant_get(value, f"$[{json.dumps(name)}]", "variant")
+            out.append(F.when(mine & F.array_contains(keys, name), self.errors(member, part, F.concat(path, F.lit(f".{name}")), refs)).otherwise(self.none))
+        if rest is not True:
+            more = F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))
+            if rest is False:
+                each = F.transform(more, lambda k: self._message(path, F.concat(k, F.lit(" is unknown"))))
+            else:
+                members = F.try_variant_get(value, "$", "map<string,variant>")
+                each = F.flatten(F.transform(more, lambda k: self.errors(F.try_element_at(members, k), rest, F.concat(path, F.lit("."), k), refs)))
+            out.append(F.when(mine, each).otherwise(self.none))
+        return out
+
+
 def schema_errors(text: Column, schema: dict) -> Column:
-    """ARRAY<STRING> of violations of a JSON text; null and texts that are no JSON have one."""
+    """ARRAY<STRING> of violations of a JSON text, in the order of the schema; null and texts that are no JSON have one."""
 
     @arrow_udf("array<string>")
     def check(texts: pa.Array) -> pa.Array:
-        out = []
+        out: list[list[str] | None] = []
         for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
             try:
-                value = json.loads(t) if t is not None else json.loads("")
+                value = json.loads(t)
             except ValueError:
                 out.append(["$: is no JSON"])
                 continue
             out.append(list(errors(value, schema)))
         return pa.array(out, pa.list_(pa.string()))
 
-    return check(text)
+    nothing = F.array(F.lit("$: is no JSON"))
+    try:
+        value = F.try_parse_json(text)
+        compiled = _Compiler(schema).errors(value, schema, F.lit("$"))
+    except _Recursive:
+        return F.coalesce(check(text), nothing)
+    # Texts that are fine don't leave the JVM: what the function gets for them is null.
+    return F.when(value.isNotNull(), compiled).otherwise(F.coalesce(check(F.when(value.isNull(), text)), nothing))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -159,6 +160,28 @@ def test_schema_keywords(schema, good, bad):
     assert not any(jsonschema.valid(v, schema) for v in bad)
 
 
+def test_compiled_schemas_agree_with_the_single_value_form(spark):
+    schemas_ = [
+        {"type": "object", "required": ["a", "b c"], "properties": {"a": {"type": "integer", "minimum": 1}, "b c": {"enum": ["x", 1, None, True]}, "t": {"type": "array", "items": {"type": "string", "pattern": "^x"}, "minItems": 1, "contains": {"const": "x1"}}, "o": {"type": ["object", "null"], "additionalProperties": {"type": "number", "maximum": 3}}}, "additionalProperties": False},
+        {"$defs": {"n": {"type": "number"}}, "anyOf": [{"$ref": "#/$defs/n"}, {"type": "array", "items": {"$ref": "#/$defs/n"}}], "not": {"const": 7}},
+        {"oneOf": [{"type": "integer"}, {"type": "number", "maximum": 2}], "if": {"type": "integer"}, "then": {"minimum": 0}, "else": {"allOf": [{"maximum": 9}, {"minimum": -9}]}},
+        {"type": "object", "properties": {"child": {"$ref": "#"}}, "additionalProperties": False},
+        schemas.json_schema("evidence_span"), schemas.json_schema("context_pack"), True, False,
+    ]
+    texts = [
+        '{"a": 1, "b c": "x", "t": ["x1", "x2"], "o": {"p": 1, "q": 4, "r": "s"}}', '{"a": 1.0, "b c": true, "t": [], "o": null}', '{"a": 0, "b c": 1.0, "t": ["y", 1, null], "z": 1}', '{"a": 1.5, "b c": null, "o": [1]}', '{"a": true, "b c": "q"}', "[]", "[1, 2.5]", '[1, "a"]', "7", "7.0", "-1", "1.5", "12.5", '"text"', "null", "true", "", "no json", "{", '{"a": 1, "a": 2, "b c": "x"}', None,
+        '{"child": {"child": {"x": 1}}}', '{"id": "", "schema_version": "1", "source_id": null, "locator": {"kind": "k"}, "metadata": {"any": [1]}, "privacy_class": "odd", "more": 1}', '{"task": {"task_id": 1}, "evidence": {"evidence_span_ids": ["a", 1]}, "conflicts_and_uncertainties": [{"kind": "x"}, 3]}', "123456789012345678901234567890", '{"\u00e9": "\ud83d\ude00"}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for schema in schemas_:
+        for row in df.select("t", jsonschema.schema_errors(F.col("t"), schema).alias("e")).collect():
+            try:
+                want = sorted(jsonschema.errors(json.loads(row.t if row.t is not None else ""), schema))
+            except ValueError:
+                want = ["$: is no JSON"]
+            assert sorted(row.e) == want, (schema, row.t)
+
+
 def test_texts(spark):
     fact = spark.createDataFrame([("f1", "said", "s", "p", "o", "g", None, "t", ["span_1", "span_2"]), ("f2", None, "s", None, "o", "", "low", None, [])], "id string, fact_text string, subject string, predicate string, object string, scope string, confidence string, valid_from string, evidence_span_ids array<string>")
     got = {r.record_id: r for r in render.embedding_inputs(fact, "fact_ledger_entry").collect()}
