@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import content_id, ledger_id
 from ..functions.instants import instant
 from ..schemas import ENUMS
+from .blocks import numbered
 
 #: Candidates older than this are stale.
 RECENCY_DAYS = 90
@@ -52,6 +53,20 @@ def judge(candidates: DataFrame, spans: DataFrame, *, now: Column, min_confidenc
     return rows.join(lost, "id", "left").withColumn("v", verdict).withColumns({"reason": F.col("v.reason"), "message": F.col("v.message")}).drop("lost", "v")
 
 
+def spread_over_spans(candidates: DataFrame, spans: DataFrame) -> DataFrame:
+    """Candidates with one span each as their evidence, dealt out in turn by id; without spans, with none.
+
+    Both sides are numbered in range sorts, so dealing out needs neither one task nor the driver.
+    """
+    last = spans.where("id is not null").select("id").distinct()
+    many = last.count()
+    if not many:
+        return candidates.withColumn("evidence_span_ids", F.array().cast("array<string>"))
+    placed = numbered(last, [F.col("id")], "place").select(F.col("id").alias("span_id"), (F.col("place") - 1).alias("turn"))
+    dealt = numbered(candidates, [F.col("id")], "place").withColumn("turn", F.pmod(F.col("place") - 1, F.lit(many)))
+    return dealt.join(placed, "turn").withColumn("evidence_span_ids", F.array("span_id")).select(candidates.columns if "evidence_span_ids" in candidates.columns else [*candidates.columns, "evidence_span_ids"])
+
+
 def rejections(judged: DataFrame) -> DataFrame:
     """(reason, candidates)."""
     return judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("candidates"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from mnemolith import schemas
 from mnemolith.functions import access
-from mnemolith.operators import citations, conflicts, hygiene, integrity
+from mnemolith.operators import citations, conflicts, hygiene, integrity, records, reducer, taste
 from mnemolith.plans import compiler
 from mnemolith.streaming import sessions
 from tests.helpers import rows
@@ -246,3 +246,41 @@ def test_hygiene_report_has_an_id(spark):
     assert (report.orphaned_evidence, report.missing_evidence, report.window_start, report.computed_at) == (2, 1, "2024-01-01T00:00:00Z", DAY) and "of which resolved: 1" in report.markdown()
     with pytest.raises(ValueError):
         hygiene.report(df, df.select("id"), now=now, window_start="2025-02-01T00:00:00Z", window_end=DAY)
+
+
+def test_cards_from_signals_make_a_sound_bundle(spark):
+    sources, episodes, spans = evidence(spark)
+    schema = "id string, candidate_type string, domain string, signal_kind string, taste_text string, strength_hint string, confidence string, evidence_span_ids array<string>, example_span_ids array<string>, contrast_span_ids array<string>, source_record_ids array<string>"
+    data = [("cand_taste_1", "taste_signal", "writing", "principle", "short", "strong", "high", ["span_1"], ["span_1"], ["span_2"], ["src_1"]), ("cand_taste_2", "taste_signal", "code", "principle", "plain", "weak", "low", ["span_2"], None, None, None), ("cand_taste_3", "taste_signal", "x", "y", "z", "weak", "low", [], None, None, None)]
+    signals = spark.createDataFrame([*data, data[0]], schema)
+    cards, decisions = taste.cards_from_signals(signals, now=F.lit(DAY).cast("timestamp"))
+    found = integrity.taste_bundle(sources, spans, signals.distinct(), decisions, cards, episodes=episodes)
+    assert rows(found) == []
+    got = {r.principle: r for r in cards.collect()}
+    assert sorted(got) == ["plain", "short"] and got["short"].id.startswith("taste_") and got["short"].evidence_span_ids == ["span_1", "span_2"]
+    assert [(p.preferred_span_id, p.rejected_span_id) for p in got["short"].contrast_pairs] == [("span_1", "span_2")] and got["plain"].contrast_pairs == []
+    assert set(cards.columns) >= {f for f, _, _ in schemas.fields_of("taste_card")} - {"freshness_score"}
+
+
+def test_records_as_typed_tables(spark):
+    docs = ['{"ledger_type": "fact", "id": "fact_1", "evidence_span_ids": ["s"], "metadata": {"k": [1, 2]}, "odd": 1}', '{"ledger_type": "decision", "id": "dec_1"}', '{"ledger_type": "other"}', "no json", None]
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    tables = records.of_family(df, "ledger")
+    fact = tables["fact_ledger_entry"].first()
+    assert (fact.id, fact.evidence_span_ids, fact.metadata, fact.unknown_fields) == ("fact_1", ["s"], '{"k":[1,2]}', ["odd"]) and "status" in fact.missing_fields and "id" not in fact.missing_fields
+    assert {k: t.count() for k, t in tables.items()} == {"fact_ledger_entry": 1, "preference_ledger_entry": 0, "decision_ledger_entry": 1}
+    assert sorted(map(repr, (r.doc for r in records.strangers(df, "ledger").collect()))) == sorted(map(repr, docs[2:]))
+    assert records.typed(df.limit(0), "context_pack").count() == 0
+
+
+def test_candidates_are_dealt_out_over_spans(spark):
+    candidates = spark.createDataFrame([(f"c{i}", None) for i in range(7)], "id string, evidence_span_ids array<string>")
+    spans = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s2",)], "id string")
+    assert rows(reducer.spread_over_spans(candidates, spans)) == [(f"c{i}", [f"s{i % 3 + 1}"]) for i in range(7)]
+    assert rows(reducer.spread_over_spans(candidates.limit(1), spans.limit(0)), "evidence_span_ids") == [([],)]
+
+
+def test_a_null_id_or_empty_plane_is_no_fault(spark):
+    nothing = spark.createDataFrame([], "rule string, record_id string, ref_id string")
+    sources, episodes, spans = (df.limit(0) for df in evidence(spark))
+    assert rows(integrity.taste_bundle(sources, spans, spark.createDataFrame([], "id string, candidate_type string"), table(spark, "taste_reducer_decision"), table(spark, "taste_card"))) == rows(nothing)
