@@ -1,4 +1,4 @@
-"""Long orders cut into blocks, so that no key's rows need one task."""
+"""Places in a long order, without putting it through one task."""
 
 from __future__ import annotations
 
@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def cut_points(values: DataFrame, column: str, blocks: int) -> list[int]:
-    """At most `blocks` - 1 values at which a numeric column falls into parts of about equal size."""
-    if blocks < 2:
-        return []
-    found = values.approxQuantile(column, [i / blocks for i in range(1, blocks)], 0.2 / blocks)
-    return sorted({int(x) for x in found})
-
-
-def block_of(value: Column, cuts: list[int]) -> Column:
-    """The block of a value: the number of cut points below it."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < value)) if cuts else F.lit(0)
-
-
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """`rows` with their place, from 1, in a total order: a range sort, numbered by partition and offset."""
     placed = cut(rows.orderBy(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.validity import holds_as_of, is_active, period
 from ..session import cut, groups_for
-from .blocks import block_of, cut_points
 
 _FIELDS = ("status", "superseded_by", "valid_from", "valid_until", "stale_after")
 
@@ -62,12 +61,12 @@ def overlaps(records: DataFrame, *, group: str, key: str = "id", blocks: int | N
     Periods run from valid_from to the earlier of valid_until and stale_after; touching isn't overlapping.
     One running maximum per group instead of pairs: each record is reported against the earlier record
     that ends last, so every overlap is found, though not every pair is listed. The maximum runs inside
-    blocks of time and is carried over the few blocks of a group, so a big group is many tasks.
+    range partitions by group and time and is carried from one to the next, so a big group is many tasks.
     """
     rows = records.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), period(F.col("valid_from"), F.col("valid_until"), F.col("stale_after")).alias("p"))
     rows = cut(rows.select("g", "k", "p.begins", "p.ends").where("begins < ends"))
-    blocks = blocks or groups_for(max(1, rows.count()), least=4, most=1024)
-    rows = rows.withColumn("block", block_of(F.col("begins"), cut_points(rows, "begins", blocks)))
+    # Written once more, so that a task that runs again finds the same blocks.
+    rows = cut(rows.repartitionByRange(blocks or groups_for(rows.count(), least=2), "g", "begins", "ends", "k").withColumn("block", F.spark_partition_id()))
     longest = F.max(F.struct(F.col("ends").alias("ends"), F.col("k").alias("id")))
     earlier = Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy("g", "block").agg(longest.alias("last")).select("g", "block", F.max("last").over(earlier).alias("carried"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mnemolith import schemas
 from mnemolith.functions import access, canonical, classify, decay, jsonschema, render, validity
-from mnemolith.operators import rules, temporal
+from mnemolith.operators import bundles, rules, temporal
+from mnemolith.plans import compiler
 from tests.helpers import SF, rows
 
 
@@ -280,3 +281,43 @@ def test_ledger_rule_violations_reports_every_rule(spark, tmp_path):
     broken.write.parquet(str(tmp_path / "ledger_entry.parquet"))
     got = {r.rule for r in reference.ledger_rule_violations(spark, str(tmp_path)).collect()}
     assert {"schema_version is known", "decision has its prefix", "links have their prefix", "valid_from is a time"} <= got
+
+
+RENDERED = [
+    ("source_record", {"title": "t", "author_or_sender": None, "source_type": "pdf", "origin_uri": None, "raw_ref": {"kind": "k", "value": "v"}, "captured_at": "c"}, "Title: t\nAuthor: unknown\nType: pdf\nURI: v\nCaptured: c"),
+    ("episode_record", {"title": "e", "episode_type": "other", "source_id": "src_1", "actors": ["a", "b"], "event_time_start": "x", "evidence_span_ids": ["span_1"]}, "Episode: e\nType: other\nSource: src_1\nActors: a, b\nTime: x to ongoing\nEvidence: span_1"),
+    ("candidate_claim", {"claim_text": "c", "subject": "s", "predicate": "p", "object": "o", "claim_scope": "", "evidence_span_ids": []}, "Claim: c\nSubject: s p o\nConfidence: unknown\n"),
+    ("candidate_preference", {"preference_text": "p", "subject": "s", "domain": "d", "scope": "w", "strength_hint": "weak"}, "Preference: p\nSubject: s\nDomain: d\nScope: w\nStrength: weak\n"),
+    ("candidate_decision", {"decision_text": "d", "owner_hint": "o", "alternatives_mentioned": ["x", "y"]}, "Decision: d\nOwner: o\nAlternatives: x, y\n"),
+    ("candidate_task", {"task_text": "t", "task_kind": "k", "project_refs": ["p"], "urgency_hint": "u", "evidence_span_ids": ["a", "b"]}, "Task: t\nKind: k\nProjects: p\nUrgency: u\nEvidence: a, b"),
+    ("candidate_taste_signal", {"taste_text": "t", "domain": "d", "signal_kind": "k", "example_span_ids": ["e"], "contrast_span_ids": ["c"]}, "Taste: t\nDomain: d\nKind: k\nExamples: e\nContrast: c\n"),
+    ("taste_card", {"principle": "p", "rationale": "r", "subject": "s", "taste_kind": "k", "strength": "strong"}, "Principle: p\nRationale: r\nSubject: s\nKind: k\nStrength: strong\n"),
+    ("context_pack", {"pack_type": "context_pack", "task": {"task_summary": "", "task_title": "title"}, "trusted_memory": {"fact_ids": ["f2", "f1"], "taste_card_ids": ["t"]}, "candidate_context": {"candidate_task_ids": []}}, "ContextPack: context_pack\nTask: title\nTrusted memory: f2, f1, t"),
+    ("memory_reducer_decision", {"id": "r", "rationale": "why", "decided_by": {"agent": "a"}, "evidence_span_ids": ["s", None, "t"], "checks": {"b": "fail", "a": "pass"}}, 'checks: {"a": "pass", "b": "fail"}\ndecided_by: {"agent": "a", "model": null, "prompt_ref": null, "tool": null}\nevidence_span_ids: s, t\nid: r\nrationale: why'),
+]
+
+
+@pytest.mark.parametrize(("kind", "record", "text"), RENDERED)
+def test_rendered_texts(spark, kind, record, text):
+    schema = schemas.struct_type(kind)
+    whole = {f.name: None for f in schema.fields} | record
+    found = render.embedding_inputs(spark.createDataFrame([whole], schema), kind)
+    assert found.first().text == text
+    again = render.from_documents(render.to_documents(found))
+    assert sorted(again.columns) == sorted(found.columns) and again.select(sorted(found.columns)).collect() == found.select(sorted(found.columns)).collect()
+    assert render.from_documents(spark.createDataFrame([('{"text": "x", "more": 1}',)], "doc string")).first().asDict() == {"record_id": "", "record_type": "", "plane": "audit", "privacy_class": "internal", "text": "x", "truncated": False, "char_count": 0, "content_hash_sha256": "", "metadata": {}}
+
+
+def test_selection_excludes_for_the_first_reason(spark):
+    data = [(0, "a", "1.0.0", "fact", "active", "high", "public"), (1, "a", "1.0.0", "fact", "active", "high", "secret"), (2, "b", "1.0.0", "fact", "stale", "low", "private"), (3, "", "1.0.0", "fact", "active", "low", None), (4, "c", None, "fact", "stale", "low", None), (5, "d", "1.0.0", "fact", "contested", None, "internal"), (6, "e", "1.0.0", "fact", "superseded", "low", "internal"), (7, "f", "1.0.0", "fact", "active", None, "internal")]
+    df = spark.createDataFrame(data, "pos int, id string, schema_version string, record_type string, status string, confidence string, privacy_class string")
+    found = compiler.select_records(df, None, access.team_scope(), compiler.Policy(max_records=2))
+    assert rows(found, "id", "excluded", "rank") == sorted([("a", None, 1), ("e", None, 2), ("a", "duplicate_id", None), ("b", "outside_scope", None), ("", "schema_invalid", None), ("c", "schema_invalid", None), ("d", "status_contested", None), ("f", "exceeded_max_records", None)], key=repr)
+
+
+def test_planes_in_order_and_first_seen_places(spark):
+    one_, two = (spark.createDataFrame(d, "pos long, id string, doc string") for d in ([(1, "b", "1"), (2, "a", "2"), (3, "b", "3"), (4, None, "4")], [(1, "a", "5")]))
+    assert rows(bundles.flatten_planes({"x": one_, "y": two}), "plane_ord", "plane", "id") == [(0, "x", "a"), (0, "x", "b"), (0, "x", "b"), (0, "x", None), (1, "y", "a")]
+    assert [tuple(r) for r in bundles.dedup_in_order(one_).orderBy("place").collect()] == [("b", "3", 1), ("a", "2", 2)]
+    with pytest.raises(ValueError):
+        bundles.flatten_planes({})
