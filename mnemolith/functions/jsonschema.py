@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -101,6 +101,11 @@ def valid(value, schema, root: dict | None = None) -> bool:
     return next(errors(value, schema, root), None) is None
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 class _Recursive(Exception):
     """A schema that refers to itself has no column."""
 
@@ -152,8 +157,16 @@ class _Compiler:
             for part in filter(None, schema["$ref"].lstrip("#").split("/")):
                 target = target[part]
             return self.errors(value, target, path, (*refs, schema["$ref"]))
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        valid = lambda part, v=value: F.size(self.errors(v, part, path, refs)) == 0
+        scalar = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        kinds = schema.get("type", ())
+        if not ({"properties", "required", "additionalProperties"} & schema.keys() or "object" in kinds):
+            return let(scalar, lambda kind: self._checks(value, kind, None, schema, path, refs))
+        # The schema of a whole object would be worked out for nothing: that it has members says enough.
+        kind_of = lambda members: F.when(members.isNotNull(), "OBJECT").otherwise(scalar)
+        return let(F.try_variant_get(value, "$", "map<string,variant>"), lambda members: let(kind_of(members), lambda kind: self._checks(value, kind, members, schema, path, refs)))
+
+    def _checks(self, value: Column, kind: Column, members: Column | None, schema: dict, path: Column, refs: tuple[str, ...]) -> Column:
+        valid = lambda part: F.size(self.errors(value, part, path, refs)) == 0
         found: list[Column] = []
         if "const" in schema:
             found.append(self._if(~self._equals(value, kind, schema["const"]), path, f"is not {json.dumps(schema['const'])}"))
@@ -162,7 +175,7 @@ class _Compiler:
             for wanted in schema["enum"]:
                 known = known | self._equals(value, kind, wanted)
             found.append(self._if(~known, path, f"is not one of {json.dumps(schema['enum'])}"))
-        found += self._text(value, kind, schema, path) + self._number(value, kind, schema, path) + self._list(value, kind, schema, path, refs) + self._object(value, kind, schema, path, refs)
+        found += self._text(value, kind, schema, path) + self._number(value, kind, schema, path) + self._list(value, kind, schema, path, refs) + self._object(kind, members, schema, path, refs)
         found += [self.errors(value, part, path, refs) for part in schema.get("allOf", ())]
         if "anyOf" in schema:
             fits = F.lit(False)
@@ -220,25 +233,27 @@ class _Compiler:
             out.append(self._if(mine & ~F.coalesce(there, F.lit(False)), path, "contains no required item"))
         return out
 
-    def _object(self, value: Column, kind: Column, schema: dict, path: Column, refs: tuple[str, ...]) -> list[Column]:
+    def _object(self, kind: Column, members: Column | None, schema: dict, path: Column, refs: tuple[str, ...]) -> list[Column]:
         known, rest, mine = schema.get("properties", {}), schema.get("additionalProperties", True), kind.startswith("OBJECT")
         if not known and rest is True and not schema.get("required"):
             return []
-        keys, out = F.when(mine, F.json_object_keys(F.to_json(value))), []
-        for name in schema.get("required", ()):
-            out.append(self._if(mine & ~F.array_contains(keys, name), path, f"{name} is missing"))
+        return [F.when(mine, self._members(members, known, rest, schema.get("required", ()), path, refs)).otherwise(self.none)]
+
+    def _then(self, schema, path: Column, refs: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda value: self.errors(value, schema, path, refs)
+
+    def _members(self, members: Column, known: dict, rest, required: Sequence[str], path: Column, refs: tuple[str, ...]) -> Column:
+        out = [self._if(~F.map_contains_key(members, name), path, f"{name} is missing") for name in required]
         for name, part in known.items():
-            member = F.try_variant_get(value, f"$[{json.dumps(name)}]", "variant")
-            out.append(F.when(mine & F.array_contains(keys, name), self.errors(member, part, F.concat(path, F.lit(f".{name}")), refs)).otherwise(self.none))
+            found = let(F.try_element_at(members, F.lit(name)), self._then(part, F.concat(path, F.lit(f".{name}")), refs))
+            out.append(F.when(F.map_contains_key(members, name), found).otherwise(self.none))
         if rest is not True:
-            more = F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))
+            more = F.array_except(F.map_keys(members), F.array(*map(F.lit, known)).cast("array<string>"))
             if rest is False:
-                each = F.transform(more, lambda k: self._message(path, F.concat(k, F.lit(" is unknown"))))
+                out.append(F.transform(more, lambda k: self._message(path, F.concat(k, F.lit(" is unknown")))))
             else:
-                members = F.try_variant_get(value, "$", "map<string,variant>")
-                each = F.flatten(F.transform(more, lambda k: self.errors(F.try_element_at(members, k), rest, F.concat(path, F.lit("."), k), refs)))
-            out.append(F.when(mine, each).otherwise(self.none))
-        return out
+                out.append(F.flatten(F.transform(more, lambda k: self.errors(F.try_element_at(members, k), rest, F.concat(path, F.lit("."), k), refs))))
+        return F.concat(*out) if len(out) > 1 else out[0] if out else self.none
 
 
 def schema_errors(text: Column, schema: dict) -> Column:
@@ -261,9 +276,9 @@ def schema_errors(text: Column, schema: dict) -> Column:
 
     nothing = F.array(F.lit("$: is no JSON"))
     try:
-        value = F.try_parse_json(text)
-        compiled = _Compiler(schema).errors(value, schema, F.lit("$"))
+        compiler = _Compiler(schema)
+        compiled = let(F.try_parse_json(text), lambda value: F.when(value.isNotNull(), compiler.errors(value, schema, F.lit("$"))))
     except _Recursive:
         return F.coalesce(check(text), nothing)
-    # Texts that are fine don't leave the JVM: what the function gets for them is null.
-    return F.when(value.isNotNull(), compiled).otherwise(F.coalesce(check(F.when(value.isNull(), text)), nothing))
+    # Texts that VARIANT holds don't leave the JVM: what the function gets for them is null.
+    return F.coalesce(compiled, check(F.when(F.try_parse_json(text).isNull(), text)), nothing)
