@@ -1,7 +1,9 @@
-"""What kind of record a row is, from the keys it has. Four views that differ on purpose."""
+"""What kind of record a row is, from the keys or values it has. Views that differ on purpose."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,34 @@ def citation_kind(keys: Column) -> Column:
     )
 
 
+def claim_type(keys: Column, candidate_type: Column, ledger_type: Column) -> Column:
+    """The type of a claim in a citation graph: what it says it is, else what its keys tell, else claim."""
+    taste = _has(keys, "taste_card") | (_has(keys, "domain") & _has(keys, "signal_kind"))
+    return (
+        F.when(_has(keys, "ledger_type"), F.coalesce(ledger_type, F.lit("ledger_entry")))
+        .when(_has(keys, "candidate_type"), F.coalesce(candidate_type, F.lit("candidate")))
+        .when(taste, "taste_signal_candidate")
+        .when(_has(keys, "context_pack_kind") | _has(keys, "primary_evidence_span_ids"), "context_pack")
+        .otherwise("claim")
+    )
+
+
+def compiler_type(values: Mapping[str, Column]) -> Column:
+    """The type by which the pack compiler groups records: the first member, in this order, that has a value.
+
+    Null and empty values count as none; members that aren't given have none.
+    """
+    has = lambda name: F.coalesce(values[name] != "", F.lit(False)) if name in values else F.lit(False)
+    value = lambda name: values.get(name, F.lit(""))
+    out = F
+    for name, kind in _KEYS:
+        out = out.when(has(name), kind)
+    out = out.when(has("candidate_type"), F.concat(F.lit("candidate_"), value("candidate_type"))).when(has("ledger_type"), F.concat(value("ledger_type"), F.lit("_ledger_entry")))
+    for name, kind in _LATER_KEYS:
+        out = out.when(has(name), kind)
+    return out.otherwise("unknown")
+
+
 def record_type(keys: Column, candidate_type: Column, ledger_type: Column) -> Column:
     """The full type name, by which texts are rendered."""
     out = F

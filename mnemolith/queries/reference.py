@@ -229,6 +229,14 @@ def classify_shape(spark, sf):
     return rows.groupBy("bundle_ix", classify.record_type(keys, F.get_json_object("doc", "$.candidate_type"), kind).alias("record_type"), classify.citation_kind(keys).alias("citation_kind")).agg(F.count("*").alias("records"))
 
 
+@query("""select bundle_ix, case when list_contains(keys, 'ledger_type') then coalesce(doc ->> '$.ledger_type', 'ledger_entry') else 'claim' end claim_type,
+case when coalesce(doc ->> '$.ledger_type', '') <> '' then (doc ->> '$.ledger_type') || '_ledger_entry' else 'unknown' end compiler_type, count(*) records from bundle_record group by all""")
+def classify_values(spark, sf):
+    rows = _table(spark, sf, "bundle_record")
+    values = {f: F.get_json_object("doc", f"$.{f}") for f in ("source_type", "episode_type", "span_hash_sha256", "candidate_type", "ledger_type", "card_type", "pack_type", "decision_type")}
+    return rows.groupBy("bundle_ix", classify.claim_type(F.col("keys"), values["candidate_type"], values["ledger_type"]).alias("claim_type"), classify.compiler_type(values).alias("compiler_type")).agg(F.count("*").alias("records"))
+
+
 def _decisions(spark, sf):
     spans = _table(spark, sf, "evidence_span").select("id", "privacy_class")
     return access.decide(spans, access.team_scope(), privacy_class=F.col("privacy_class"), record_type=F.lit("evidence_span"))
@@ -394,7 +402,8 @@ select source_id, target_id, min(path) path from hop group by all""")
 def shortest_path(spark, sf):
     """From every claim to every source that its spans lead to."""
     g = citations.held(_graph(spark, sf))
-    ends = citations.paths(g, g.nodes.where("kind = 'claim'")).where("end_kind = 'source'").select(F.col("start_id").alias("source_id"), F.element_at("path", -1).alias("target_id"))
+    cites, derives = (g.edges.where(F.col("relation") == r) for r in ("cites", "derives_from"))
+    ends = cites.select(F.col("from_id").alias("source_id"), F.col("to_id").alias("span")).join(derives.select(F.col("from_id").alias("span"), F.col("to_id").alias("target_id")), "span")
     return citations.shortest_paths(g, ends).select("source_id", "target_id", F.array_join("path", " > ").alias("path"))
 
 

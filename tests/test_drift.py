@@ -183,3 +183,9 @@ def test_fields_beyond_the_columns_come_out_in_a_map(spark):
     assert found.columns == ["source_feed", "source_file", "source_line", "id", "f0", "f1", "f2", "more_fields"]
     assert (got["1"].f0, got["1"].f2, got["1"].more_fields) == ("0", "2", {"f3": "3", "f4": "4", "f5": "5", "f6": "6"})
     assert (got["2"].f0, got["2"].f1, got["2"].more_fields) == ("0", None, {})
+
+
+def test_a_move_ends_one_field_and_begins_another(spark):
+    data = lines("1", 0, [{"id": "1", "a": 5, "o": {"s": 1, "k": 2}}]) + lines("2", 1, [{"id": "1", "b": 5, "s": 1, "o": {"k": 2}}])
+    got = [(f, a, s, json.loads(o)) for f, a, s, o in unified(spark, data, "a", "s", "o")]
+    assert got == [("1", "5", None, {"s": 1, "k": 2}), ("2", "5", "1", {"k": 2})]

@@ -118,6 +118,13 @@ def test_classifiers(spark):
     assert [r[0] for r in ids.select(classify.plane_of_id(F.col("i"))).collect()] == ["taste", "contextpack", "reducer_decision", "other"]
 
 
+def test_types_of_claims_and_for_the_compiler(spark):
+    data = [(["ledger_type"], None, ""), (["candidate_type"], "task", None), (["domain", "signal_kind"], None, None), (["primary_evidence_span_ids"], None, None), (["evidence_span_ids"], None, "fact"), (None, "", None)]
+    df = spark.createDataFrame(data, "k array<string>, c string, l string")
+    kinds = df.select(classify.claim_type(F.col("k"), F.col("c"), F.col("l")), classify.compiler_type({"candidate_type": F.col("c"), "ledger_type": F.col("l")})).collect()
+    assert [tuple(r) for r in kinds] == [("", "unknown"), ("task", "candidate_task"), ("taste_signal_candidate", "unknown"), ("context_pack", "unknown"), ("claim", "fact_ledger_entry"), ("claim", "unknown")]
+
+
 def test_rules_and_raising(spark):
     df = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "id string, n int")
     found = rules.violations(df, {"n is small": F.col("n") < 3, "n is there": F.col("n").isNotNull()})
