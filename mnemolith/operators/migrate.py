@@ -118,10 +118,9 @@ def upgraded(records: DataFrame) -> DataFrame:
     """
     if "schema_version" not in records.columns:
         return records
-    migrator = default_migrator()
-    old = F.coalesce("schema_version", F.lit(DEFAULT_VERSION)).isin(*migrator.versions())
-    rest = records.where(~old)
-    return migrator.migrate(records.where(old), TRUSTED_VERSION).drop("migrated_from").unionByName(add_freshness(rest), allowMissingColumns=True)
+    # The default steps only add a column, so all versions are one projection and the table is read once.
+    version = F.coalesce("schema_version", F.lit(DEFAULT_VERSION))
+    return add_freshness(records).withColumn("schema_version", F.when(version.isin(*default_migrator().versions()), TRUSTED_VERSION).otherwise(version))
 
 
 def default_migrator() -> Migrator:
